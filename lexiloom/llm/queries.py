@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.chat_format import format_chats, unescape
 from lexiloom.llm.common import docs_of
 from lexiloom.llm.exact_dedup import exact_dedup
+from lexiloom.llm.packing import pack_documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +61,14 @@ FROM e GROUP BY conv_id
 """
 
 
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(docs_of(spark, sf_dir))
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset", "bound", "bins"
+    )
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs_of(spark, sf_dir), keep="largest")
