@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.shipping import ship_package
+
 _own_base: dict[str, str] = {}
 
 
@@ -52,6 +54,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -108,6 +108,21 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, np.array(fill, np.int64)
 
 
+def _packer(names: list[str], turn: int, capacity: int):
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = frame["length"].to_numpy(np.int64)
+        part = int(frame["part"].iloc[0])
+        bins, offsets, fill = best_fit_decreasing(sizes, capacity)
+        out = frame[names].copy()
+        out["sequence_id"] = (turn << 58) + (part << 26) + bins
+        out["offset"] = offsets
+        out["fill"] = fill[bins]
+        out["bound"], out["bins"] = lower_bound(sizes, capacity), len(fill)
+        return out
+
+    return pack
+
+
 def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, items_per_partition: int = 250_000, rounds: int = 2) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``; ``pieces`` has ``length`` (1 to capacity) and ``salt`` and should be a written table.
 
@@ -120,21 +135,9 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, items_per_partit
     todo, parts = pieces, max(1, -(-pieces.count() // items_per_partition))
     for turn in range(rounds + 1):
 
-        def pack(frame: pd.DataFrame, turn: int = turn) -> pd.DataFrame:
-            sizes = frame["length"].to_numpy(np.int64)
-            part = int(frame["part"].iloc[0])
-            bins, offsets, fill = best_fit_decreasing(sizes, capacity)
-            bound = lower_bound(sizes, capacity)
-            out = frame[names].copy()
-            out["sequence_id"] = (turn << 58) + (part << 26) + bins
-            out["offset"] = offsets
-            out["fill"] = fill[bins]
-            out["bound"], out["bins"] = bound, len(fill)
-            return out
-
         schema = f"{kinds}, sequence_id long, `offset` long, fill long, bound long, bins long"
         spread = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(parts)).cast("int")
-        packed = todo.withColumn("part", spread).groupBy("part").applyInPandas(pack, schema)
+        packed = todo.withColumn("part", spread).groupBy("part").applyInPandas(_packer(names, turn, capacity), schema)
         packed = materialise(packed, "packed") if parts > 1 or turn else packed
         loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
         if turn == rounds or parts == 1:

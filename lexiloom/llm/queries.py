@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm.chat_format import format_chats, unescape
 from lexiloom.llm.common import docs_of
 from lexiloom.llm.exact_dedup import exact_dedup
+from lexiloom.llm.language_id import identify
 from lexiloom.llm.packing import pack_documents
+from lexiloom.llm.toxicity import learn, score
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +21,25 @@ def query(fn):
     return fn
 
 
+def fold(modulus: int, remainder: int):
+    """Whether crc32 of the identifier as text leaves ``remainder``; null identifiers don't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels")
+    rows = docs.where(~fold(5, 0)).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    model = learn(rows.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text", "toxic"))
+    return score(docs.withColumn("held_out", fold(5, 0)), model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir).withColumn("held_out", fold(4, 2))
+    return identify(docs, ~fold(4, 2), keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
