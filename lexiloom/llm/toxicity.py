@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-1. Token log-odds of toxic against clean texts, each text counting a token once,
+1. Token log-odds (words and their stems) of toxic against clean texts, each text counting a token once,
    with an informative Dirichlet prior of mass ``prior`` that follows the token's
    share in both classes together; tokens whose log-odds aren't significant score as the rest of the tokens do.
 2. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments.
@@ -30,8 +30,13 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"\w+")
 
 
+def _forms(word: str) -> list[str]:
+    """A word and its stems of 4 to 6 letters, so that inflections of a toxic stem count together."""
+    return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) >= n)]
+
+
 class _Scores(dict):
-    """Score of a white-space separated token: the sum over its words; filled as tokens come."""
+    """Score of a white-space separated token: the highest among its words and their stems; filled as tokens come."""
 
     def __init__(self, words: dict[str, float], rest: float, most: int = 500_000):
         super().__init__()
@@ -39,7 +44,7 @@ class _Scores(dict):
 
     def __missing__(self, token: str) -> float:
         own = _WORD.findall(token.lower())
-        value = max((self.words.get(w, self.rest) for w in own), default=0.0)
+        value = max((self.words.get(f, self.rest) for w in own for f in _forms(w)), default=0.0)
         if len(token) <= 60:
             if len(self) >= self.most:
                 self.clear()
@@ -154,7 +159,7 @@ def learn(rows: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, p
         for batch in batches:
             tally = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                tally[int(toxic)].update(set(_WORD.findall(text.lower())))  # a text counts once
+                tally[int(toxic)].update({f for w in set(_WORD.findall(text.lower())) for f in _forms(w)})  # a text counts once
             words = list(tally[0].keys() | tally[1].keys())
             yield pd.DataFrame({"word": words, "bad": [tally[1][w] for w in words], "good": [tally[0][w] for w in words]})
 
