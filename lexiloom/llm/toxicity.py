@@ -31,8 +31,8 @@ _WORD = re.compile(r"\w+")
 
 
 def _forms(word: str) -> list[str]:
-    """A word and its stems of 4 to 6 letters, so that inflections of a toxic stem count together."""
-    return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) >= n)]
+    """A word and its proper stems of 4 to 8 letters: inflections of a stem count together, apart from the bare stem."""
+    return [word, *(f"{word[:n]}~" for n in range(4, min(9, len(word))))]
 
 
 class _Scores(dict):
