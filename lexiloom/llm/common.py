@@ -66,47 +66,44 @@ def id_text(col: str | Column) -> Column:
     return F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
 
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique in ``right``, whose ``count`` is the number of left rows with that key.
+
+    Keys that hold over a thousandth of the ``total`` left rows are fewer than
+    1000, so they are broadcast; the other keys are joined by a shuffle in which
+    no key is large. ``how`` is inner or left.
+    """
+    floor = max(total // 1000, 1)
+    names = [c for c in right.columns if c != key]
+    packed = right.select(key, F.struct(*names).alias("_r"))
+    hot = packed.where(F.col(f"_r.{count}") > floor).withColumnRenamed("_r", "_hot")
+    cold = packed.where(F.col(f"_r.{count}") <= floor).withColumnRenamed("_r", "_cold")
+    first = left.join(F.broadcast(hot), key, "left")
+    done = first.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_r")
+    rest = first.where(F.col("_hot").isNull()).drop("_hot").join(cold.withColumnRenamed("_cold", "_r"), key, how)
+    return done.unionByName(rest).select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in names])
+
+
+def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 
-    Returns ``(node, component)`` for each node that occurs in an edge, with the
-    smallest node of its component. Each round is a shuffle on one node column
-    with a partial minimum first, so a hub is never gathered in one task; rounds
-    are written to the shared folder. Self-edges are kept as single nodes.
+    Returns ``(node, component)`` for each node that isn't the smallest of its
+    component. Each round groups by node with a partial minimum first, so a hub
+    is never gathered in one task, and is written to the shared folder.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
-    nodes = None
-    current = materialise(e, "edges")
-    nodes = current.select(F.col("u").alias("node")).union(current.select("v")).distinct()
-    before = -1
+    current = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
-        # large star: every larger neighbour of u points to the smallest of u's neighbourhood
+        n, nodes = current.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if n == nodes and current.join(current.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # large star: each larger neighbour of u points to the smallest of u and its neighbours
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours point to the smallest of them
-        down = large.union(current.where("u <> v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(least, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         old, current = current, materialise(small, "edges")
-        stats = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        drop_table(old) if old is not current else None
-        state = (stats[0], stats[1])
-        # a star forest: one edge per node, and no root has a parent
-        if state == before:
-            break
-        before = state
-        if stats[0] == stats[2]:
-            deep = current.join(current.select(F.col("u").alias("v")), "v", "left_semi")
-            if deep.isEmpty():
-                break
-    roots = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return roots
+        drop_table(old)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm.chat_format import format_chats, unescape
 from lexiloom.llm.common import docs_of
 from lexiloom.llm.exact_dedup import exact_dedup
+from lexiloom.llm.jaccard_join import jaccard_components
 from lexiloom.llm.language_id import identify
+from lexiloom.llm.line_dedup import line_dedup
 from lexiloom.llm.packing import pack_documents
 from lexiloom.llm.toxicity import learn, score
 
@@ -34,6 +36,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.withColumn("held_out", fold(5, 0)), model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(docs_of(spark, sf_dir), n=3, percent=90)
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(docs_of(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir).withColumn("held_out", fold(4, 2))
