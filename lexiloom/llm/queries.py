@@ -11,7 +11,9 @@ from lexiloom.llm.exact_dedup import exact_dedup
 from lexiloom.llm.jaccard_join import jaccard_components
 from lexiloom.llm.language_id import identify
 from lexiloom.llm.line_dedup import line_dedup
+from lexiloom.llm import mixing
 from lexiloom.llm.packing import pack_documents
+from lexiloom.llm.topk_search import top_k
 from lexiloom.llm.toxicity import learn, score
 
 QUERIES: dict = {}
@@ -28,6 +30,31 @@ def fold(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+@query
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(docs_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op1_topk_search"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs_of(spark, sf_dir), max_repeats=2.0).select("doc_id", "n_tokens", "copies")
+
+
+ORACLES["op2_mixing"] = mixing.ORACLE
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels")
