@@ -13,6 +13,7 @@ from lexiloom.llm.language_id import identify
 from lexiloom.llm.line_dedup import line_dedup
 from lexiloom.llm import mixing
 from lexiloom.llm.packing import pack_documents
+from lexiloom.llm.suffix_dedup import remove_repeats
 from lexiloom.llm.topk_search import top_k
 from lexiloom.llm.toxicity import learn, score
 
@@ -139,3 +140,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(docs_of(spark, sf_dir))
