@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.common import materialise
+
 _WORD = re.compile(r"\w+")
 
 
@@ -145,15 +147,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(rows: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, prior: float = 10_000.0, z: float = 4.0, e_value: float = 0.01) -> ToxicModel:
-    """Fit on ``rows`` (h: hash of the identifier, text, toxic 0/1); rows with nulls are left out."""
-    rows = rows.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & F.col("h").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, prior: float = 10_000.0, z: float = 4.0, e_value: float = 0.01) -> ToxicModel:
+    """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1); rows with nulls are left out.
+
+    The labels are sampled first, by a hash of the identifier, so the broadcast
+    side of the join has about 2 x ``per_class`` rows at any size of the input
+    and no text is shuffled.
+    """
+    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     slots = 2**20
-    most = F.when(F.col("toxic") == 1, int(slots * min(1.0, per_class / max(1, sizes.get(1, 0))))).otherwise(
-        int(slots * min(1.0, per_class / max(1, sizes.get(0, 0))))
-    )
-    sample = rows.where(F.pmod("h", F.lit(slots)) < most).select("text", "toxic")
+    most = [int(slots * min(1.0, per_class / max(1, sizes.get(c, 0)))) for c in (0, 1)]
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots))
+    chosen = labels.where(place < F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).distinct()
+    sample = materialise(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,8 +171,6 @@ def learn(rows: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, p
             yield pd.DataFrame({"word": words, "bad": [tally[1][w] for w in words], "good": [tally[0][w] for w in words]})
 
     counts = sample.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    from lexiloom.llm.common import materialise
-
     counts = materialise(counts, "counts")
     n_bad, n_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n_bad or not n_good:
