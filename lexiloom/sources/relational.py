@@ -89,10 +89,9 @@ SCHEMA = [
 
 def view_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(g, s, p, o) of the whole view."""
-    parts = []
+    parts, tables = [], {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {v[1] for v in VIEW}}
     for graph, table, distinct, s, p, o, where in VIEW:
-        df = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(where)
-        df = df.select(F.lit(f"<{EX}graph/{graph}>").alias("g"), F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"))
+        df = tables[table].where(where).select(F.lit(f"<{EX}graph/{graph}>").alias("g"), F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"))
         parts.append(df.distinct() if distinct else df)
     return reduce(DataFrame.unionAll, parts)
 
