@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import write_table
 from lexiloom.operators.closure import distances, longest_depths, reachable
 
 
@@ -130,9 +131,7 @@ def borda_children(edges: DataFrame, counts: DataFrame, degrees: DataFrame, flag
 def subtree_levels(children: DataFrame, root: str, max_depth: int = 5, max_children: int = 12) -> DataFrame:
     """(node, parent, level) of the tree below a root with at most ``max_children`` ranked children a node; cycles end."""
     spark = children.sparkSession
-    from lexiloom.functions.tables import write_table
-
-    top = children.where(F.col("pos") <= max_children).select("parent", "child")
+    top = write_table(children.where(F.col("pos") <= max_children).select("parent", "child"), "children")
     level = spark.createDataFrame([(root, None, 0)], "node string, parent string, level int")
     seen = level
     for depth in range(1, max_depth + 1):
