@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +112,9 @@ def identify(
             x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)
             names, matrix = fit(x, got["lang"].tolist(), landmarks, ridge)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = rows["text"].tolist()
+            texts = rows.column("_text").to_pylist()
             pred, value = ["und"] * len(texts), np.zeros(len(texts))
             able = [i for i, t in enumerate(texts) if names and has_letter(t)]
             for at in range(0, len(able), batch):
@@ -126,13 +127,10 @@ def identify(
                 for k, i in enumerate(own):
                     pred[i] = names[best[k]]
                     value[i] = min(1.0, max(0.0, (float(f[k, best[k]]) + 1) / 2))
-            out = rows[list(keep)].copy()
-            out["lang_pred"], out["score"] = pred, value
-            yield out
+            columns = [rows.column(i) for i in range(rows.num_columns - 1)]  # as they came
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(value)], names=[*order, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
-    own = [F.col(c) for c in keep if c != "text"]
-    named = df.select(*own, F.col(text_col).alias("text"))
     order = [f.name for f in df.schema.fields if f.name in keep]
-    keep = tuple(order)
-    return named.mapInPandas(score, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    named = df.select(*[F.col(f"`{c}`") for c in order], F.col(text_col).alias("_text"))
+    return named.mapInArrow(score, f"{fields}, lang_pred string, score double" if order else "lang_pred string, score double")

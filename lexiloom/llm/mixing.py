@@ -76,9 +76,9 @@ def mix(
     ``budget`` is in tokens, by default as many as there are. Rows with null
     source form a source of their own; rows without tokens (null, empty or blank
     text) take no part and get 0 copies, and so does every row of an empty mix.
-    Rows that share an identifier and text are taken together. Other columns stay.
+    Rows that share an identifier and text are taken together. Other columns stay, but for those that have the new names.
     """
-    names = df.columns
+    names = [c for c in df.columns if c not in ("n_tokens", "copies")]
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("string")))
     rows = df.withColumn("n_tokens", token_count(F.col(text_col))).withColumn("_key", key)
     rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
@@ -88,7 +88,7 @@ def mix(
     )  # at most `blocks` rows a source
     total = table.agg(F.sum("tokens")).first()[0]
     if not total:
-        return df.withColumn("n_tokens", token_count(F.col(text_col))).withColumn("copies", F.lit(0))
+        return df.withColumn("n_tokens", token_count(F.col(text_col))).withColumn("copies", F.lit(0)).select(*names, "n_tokens", "copies")
     budget = int(total) if budget is None else int(budget)
     shares = materialise(table.groupBy("_source").agg(F.sum("tokens").alias("tokens")).withColumn("share", F.col("tokens") / F.lit(total)).coalesce(1), "shares")
     exponent = fit_exponent(shares, budget, max_repeats=max_repeats, entropy=entropy)

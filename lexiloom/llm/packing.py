@@ -26,11 +26,12 @@ from lexiloom.llm.common import materialise
 from lexiloom.llm.tokens import coder, default_vocabulary
 
 CAPACITY, END = 1024, 2
+NO_ID = -(2**63)  # stands for a missing doc_id inside Python, where a null would turn the column into floats
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, salt int"
 
 
 def tokenize_pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, salt`` (and ``ids``: packed 32-bit identifiers) of each piece."""
+    """``doc_id, piece, start, length, ids_crc32, salt`` (and ``ids``: packed 32-bit identifiers) of each piece; a null doc_id is NO_ID."""
     path = vocabulary or default_vocabulary()
     end = int(end_id).to_bytes(4, "little")
 
@@ -42,7 +43,6 @@ def tokenize_pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 at, k = 0, 0
-                doc = None if doc != doc or doc is None else int(doc)
                 while at < n:
                     size = (n - at - 1) % capacity + 1 if at == 0 else capacity
                     part = ids[4 * at : 4 * (at + size)]
@@ -51,10 +51,9 @@ def tokenize_pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     out.append((doc, k, at, size, crc, salt, *([part] if with_ids else [])))
                     at, k, row = at + size, k + 1, row + 1
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
@@ -139,7 +138,8 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, items_per_partit
         spread = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(parts)).cast("int")
         packed = todo.withColumn("part", spread).groupBy("part").applyInPandas(_packer(names, turn, capacity), schema)
         packed = materialise(packed, "packed") if parts > 1 or turn else packed
-        loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
+        # sequences at most half full, of which a partition has one or so, are also worth an exchange
+        loose = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (2 * F.col("fill") <= capacity))
         if turn == rounds or parts == 1:
             done.append(packed)
             break
@@ -163,7 +163,8 @@ def pack_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     columns are ignored. An empty table gives no rows.
     """
     pieces = materialise(tokenize_pieces(df, id_col=id_col, text_col=text_col, vocabulary=vocabulary, capacity=capacity, end_id=end_id, with_ids=with_ids), "pieces")
-    return pack_pieces(pieces, capacity=capacity, items_per_partition=items_per_partition, rounds=rounds).drop("salt")
+    packed = pack_pieces(pieces, capacity=capacity, items_per_partition=items_per_partition, rounds=rounds).drop("salt")
+    return packed.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

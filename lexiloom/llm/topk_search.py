@@ -38,7 +38,7 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _padded(x: np.ndarray, segments: int) -> np.ndarray:
-    width = -(-x.shape[1] // segments) * segments
+    width = max(1, -(-x.shape[1] // segments)) * segments
     return np.pad(x, ((0, 0), (0, width - x.shape[1]))) if width != x.shape[1] else x
 
 
@@ -105,8 +105,8 @@ def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col
         for dims, q in left.groupby("dims"):
             v = right[right["dims"] == dims]
             if len(v):
-                a = np.array(q["v"].tolist(), np.float64).reshape(len(q), -1)
-                b = np.array(v["v"].tolist(), np.float64).reshape(len(v), -1)
+                a = np.array(q["v"].tolist(), np.float64).reshape(len(q), dims)
+                b = np.array(v["v"].tolist(), np.float64).reshape(len(v), dims)
                 for row in block_top_k(q["vec_id"].to_numpy(), a, v["vec_id"].to_numpy(), b, k):
                     out.append((*row[:2], max(-(2**63), min(2**63 - 1, row[2]))))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")

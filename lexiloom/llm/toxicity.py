@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 1. Token log-odds (words and their stems) of toxic against clean texts, each text counting a token once,
-   with an informative Dirichlet prior of mass ``prior`` that follows the token's
-   share in both classes together; tokens whose log-odds aren't significant score as the rest of the tokens do.
+   with an informative Dirichlet prior that follows the token's share in both
+   classes together; tokens whose log-odds aren't significant score as the rest of the tokens do.
 2. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments.
 3. Extreme-value calibration: a segment of score S in a text of n tokens has
    E = K n exp(-lambda S) chance segments; ``lambda`` is fitted on the scores of
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class ToxicModel:
     """Token scores and calibration; small and sent to the executors with the code."""
 
-    def __init__(self, words: dict[str, float], rest: float, scale: float, k: float, slope: float = 1.0, offset: float = 0.0, e_value: float = 0.01):
+    def __init__(self, words: dict[str, float], rest: float, scale: float, k: float, slope: float = 1.0, offset: float = 0.0, e_value: float = 0.05):
         self.words, self.rest, self.scale, self.k = words, rest, scale, k
         self.slope, self.offset, self.e_value = slope, offset, e_value
         self._tokens: _Scores | None = None
@@ -147,7 +148,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, prior: float = 10_000.0, z: float = 4.0, e_value: float = 0.01) -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, prior: float = 4.0, z: float = 3.0, e_value: float = 0.05) -> ToxicModel:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1); rows with nulls are left out.
 
     The labels are sampled first, by a hash of the identifier, so the broadcast
@@ -174,7 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabula
     counts = materialise(counts, "counts")
     n_bad, n_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n_bad or not n_good:
-        return ToxicModel({}, -1.0, 1.0, 1.0, e_value=e_value)
+        return ToxicModel({}, -1.0, 1.0, 1.0, offset=-1.0, e_value=e_value)
+    n_toxic = sample.where("toxic = 1").count()
+    # of the prior's mass a token gets one count where a quarter of the toxic texts hold it
+    prior = prior * (n_bad + n_good) / n_toxic
     share = (F.col("bad") + F.col("good")) / float(n_bad + n_good)
     bad, good = F.col("bad") + prior * share, F.col("good") + prior * share
     odds = F.log(bad / (n_bad + prior - bad)) - F.log(good / (n_good + prior - good))
@@ -206,17 +210,17 @@ def score(df: DataFrame, model: ToxicModel, *, text_col: str = "text", keep: tup
     order = [f for f in df.schema.fields if f.name in keep]
     names = [f.name for f in order]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in order)
+    passage = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.passages(t)[0] for t in batch["_text"]]
-            out = batch[names].copy()
-            out["score"] = [model.probability(model.evidence(f)) for f in found]
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            out["n_passages"] = [len(f) for f in found]
+            found = [model.passages(t)[0] for t in batch.column("_text").to_pylist()]
+            scores = np.array([model.probability(model.evidence(f)) for f in found], np.float64)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]  # as they came
+            made = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([len(f) for f in found], pa.int32())]
             if spans:
-                out["passages"] = [[{"first": s, "after": e, "score": v, "e_value": x} for s, e, v, x in f] for f in found]
-            yield out
+                made.append(pa.array([[{"first": s, "after": e, "score": v, "e_value": x} for s, e, v, x in f] for f in found], passage))
+            yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "score", "predicted", "n_passages", *(["passages"] if spans else [])])
 
     schema = f"{fields}score double, predicted int, n_passages int" + (", passages array<struct<first:int,after:int,score:double,e_value:double>>" if spans else "")
-    return df.select(*names, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).alias("_text")).mapInArrow(run, schema)
