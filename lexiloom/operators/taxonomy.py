@@ -155,3 +155,21 @@ def bounded_tree(children: dict[str, list[str]], root: str, max_depth: int = 5,
         return {"node": node, "children": [grow(c, depth + 1, path | {c}) for c in own]}
 
     return grow(root, 0, frozenset((root,)))
+
+
+def similarity_functions(namespace: str, dist: DataFrame, depths: DataFrame, max_depth: DataFrame | int) -> dict:
+    """Scalar functions ``path``, ``lch`` and ``wup`` of two nodes for queries; a null argument or result is unbound.
+
+    Each is a join: the distinct argument pairs of a solution are scored once.
+    """
+
+    def make(measure: str):
+        def call(df: DataFrame, columns: list, name: str) -> DataFrame:
+            asked = df.withColumn("_a", columns[0]).withColumn("_b", columns[1])
+            pairs = asked.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a is not null and b is not null").distinct()
+            scored = similarity(pairs, dist, depths, max_depth).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col(measure).alias(name))
+            return asked.join(scored, ["_a", "_b"], "left").drop("_a", "_b")
+
+        return call
+
+    return {f"<{namespace}{m}>": make(m) for m in ("path", "lch", "wup")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import labels as L
 from lexiloom.functions import terms as T
-from lexiloom.operators import entity, etl, search, taxonomy, validate
+from lexiloom.operators import entity, etl, export, search, taxonomy, validate
 from lexiloom.operators.closure import distances
 from lexiloom.operators.infer import infer, superproperties
 from lexiloom.plans.lower import Lowering
@@ -597,3 +597,58 @@ def rate_limit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_limit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the production limit of 400 events no user of these tables is ever blocked."""
     return rate_limit(spark.read.parquet(f"{sf_dir}/events.parquet"), limit=400, seconds=60)
+
+
+# --- exports ---------------------------------------------------------------------------------
+
+
+@query(sql(f"SELECT a.s AS s, substr(a.o, 2, length(a.o) - 2) AS c0, substr(b.o, 2, length(b.o) - 5) AS c1 FROM t a JOIN t b ON b.s = a.s AND b.p = '{LABEL}' WHERE a.{p('brand')}"))
+def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.csv_table(view_triples(spark, sf_dir).where(F.col("s").startswith(f"<{EX}part-")), ex("brand"), LABEL)
+
+
+@query(sql(f"SELECT DISTINCT s, p, o FROM t WHERE s LIKE '<{EX}part-%' AND o LIKE '<{EX}part-%'"))
+def csv_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.relation_table(view_triples(spark, sf_dir), f"{EX}part-")
+
+
+@query(
+    sql(
+        f"SELECT w.s AS id, min(substr(w.o, 2, length(w.o) - 5)) AS lemma, string_agg(DISTINCT a.o || ' ' || b.s, '|' ORDER BY a.o || ' ' || b.s) AS senses FROM t w "
+        f"JOIN t a ON a.s = w.s AND a.{p('sense')} JOIN t b ON b.o = a.o AND b.{p('lexicalizedSense')} WHERE w.{p('writtenRep')} GROUP BY w.s"
+    )
+)
+def lexicon_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.lexicon_entries(view_triples(spark, sf_dir), ex("writtenRep"), ex("sense"), ex("lexicalizedSense"))
+    text = F.array_sort(F.transform("senses", lambda s: F.concat(s["id"], F.lit(" "), s["synset"])))
+    return rows.select("id", "lemma", F.array_join(text, "|").alias("senses"))
+
+
+@query(sql(f"SELECT DISTINCT s AS a, o AS b FROM t WHERE {p('hypernym')} AND s <> o"))
+def relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = infer(view_triples(spark, sf_dir).where(F.col("p") == HYPER), SCHEMA)
+    return export.relation_pairs(t, HYPER, ex("hyponym"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) = 1 THEN p_name WHEN count(*) OVER (PARTITION BY p_brand, p_type) = 1 THEN p_type END AS indicator FROM part"
+)
+def sense_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return export.indicators(rows, "p_brand", "p_name", "p_type").select("p_partkey", "indicator")
+
+
+@query(sql(f"SELECT DISTINCT o AS uri FROM t WHERE p IN ('{ex('in')}', '{ex('partOf')}')"))
+def catalog_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.catalog(view_triples(spark, sf_dir), [ex("in"), ex("partOf")])
+
+
+@query(sql("SELECT b, round(2.0 * (depth + 1) / (da + db + 2 * (depth + 1)), 6) AS score FROM pairs LEFT JOIN best USING (a, b)", *_SIM, recursive=True))
+def sparql_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A similarity function called from query text."""
+    t = view_triples(spark, sf_dir)
+    edges = _graph(spark, sf_dir).select("src", "dst")
+    concepts = t.where((F.col("p") == TYPE) & (F.col("o") == ex("Concept"))).select(F.col("s").alias("node"))
+    functions = taxonomy.similarity_functions(f"{EX}fn/", distances(edges, concepts), taxonomy.node_depths(edges), 13)
+    text = f"SELECT ?b ?score WHERE {{ ?b a ex:Concept FILTER(?b != {_SOURCE}) BIND(<{EX}fn/wup>({_SOURCE}, ?b) AS ?score) }}"
+    return Lowering(t, functions=functions).run(parse(text)).withColumn("score", F.round("score", 6))
