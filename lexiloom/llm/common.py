@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -84,6 +85,40 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     return done.unionByName(rest).select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in names])
 
 
+#: Bits of a membership filter; 2**26 bits are 8 MiB, the most that is ever broadcast for one.
+FILTER_BITS = 2**26
+_PAGE = 32768  # bits of one page, as bitmap_construct_agg makes them
+
+
+def maybe_in(rows: DataFrame, column: str, members: DataFrame, n_members: int) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``column`` is surely not among the values of the one column of ``members``.
+
+    The members set bits of a bitmap of at most FILTER_BITS bits, so what is
+    broadcast is bounded at any size; with very many members the filter lets more
+    rows through and saves less, but it never drops a member.
+    """
+    bits = min(FILTER_BITS, max(_PAGE, 2 ** math.ceil(math.log2(16 * max(1, n_members)))))
+    member = members.columns[0]
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    pages = (
+        members.select(slot(member).alias("slot"))
+        .groupBy(F.floor(F.col("slot") / _PAGE).cast("int").alias("_page"))
+        .agg(F.expr(f"bitmap_construct_agg(slot % {_PAGE})").alias("_bitmap"))
+    )
+    byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast((_slot % {_PAGE}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    out = rows.withColumn("_slot", slot(column)).withColumn("_page", F.floor(F.col("_slot") / _PAGE).cast("int"))
+    out = out.join(F.broadcast(pages), "_page", "left").withColumn("_byte", byte)
+    bit = F.expr("shiftright(_byte, cast(_slot % 8 as int))").bitwiseAND(F.lit(1)) == 1
+    return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).select(*rows.columns, "_maybe")
+
+
+def fetch(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted`` (one column of that name), one for each key; others aren't shuffled."""
+    wanted = materialise(wanted.distinct(), "wanted")
+    near = maybe_in(rows, key, wanted, wanted.count()).where("_maybe").drop("_maybe")
+    return near.join(wanted, key, "left_semi").dropDuplicates([key])
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 

@@ -20,11 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialise, shuffle_partitions
-
-#: Bits of the hit filter; 2**26 bits are 8 MiB, the most that is ever broadcast.
-FILTER_BITS = 2**26
-_PAGE = 32768  # bits of one page, as bitmap_construct_agg makes them
+from lexiloom.llm.common import materialise, maybe_in, shuffle_partitions
 
 
 def _flush(rows: DataFrame, memtable_rows: int) -> DataFrame:
@@ -69,29 +65,6 @@ def build_index(rows: DataFrame, memtable_rows: int, fan_in: int) -> DataFrame:
     return index.drop("run")
 
 
-def _filtered(rows: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
-    """The rows whose digest may be among ``hits``: a bitmap of at most FILTER_BITS bits, no false negatives."""
-    bits = min(FILTER_BITS, max(_PAGE, 2 ** math.ceil(math.log2(16 * max(1, n_hits)))))
-    slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    pages = (
-        hits.select(slot.alias("slot"))
-        .groupBy(F.floor(F.col("slot") / _PAGE).cast("int").alias("page"))
-        .agg(F.expr(f"bitmap_construct_agg(slot % {_PAGE})").alias("bitmap"))
-    )
-    inside = F.col("slot") % _PAGE
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast((slot % {_PAGE}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, cast(slot % 8 as int))").bitwiseAND(F.lit(1)) == 1
-    del inside
-    return (
-        rows.withColumn("slot", slot)
-        .withColumn("page", F.floor(F.col("slot") / _PAGE).cast("int"))
-        .join(F.broadcast(pages), "page")  # at most FILTER_BITS / 8 bytes
-        .withColumn("byte", byte)
-        .where(hit)
-        .drop("slot", "page", "bitmap", "byte")
-    )
-
-
 def _with_hits(rows: DataFrame, hits: DataFrame, total: int) -> DataFrame:
     """Left join on digest. Groups of over a thousandth of all rows, of which there are fewer than 1000, are broadcast."""
     floor = max(total // 1000, 1)
@@ -139,7 +112,7 @@ def exact_dedup(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 1, 1)), F.count(F.when(F.col("at_rid") > 1, 1))
     ).first()
     hits = index.where(F.col("n") > 1)
-    checked = _filtered(base.select("digest", "text"), hits, n_hits)
+    checked = maybe_in(base.select("digest", "text"), "digest", hits.select("digest"), n_hits).where("_maybe")
     differing = materialise(
         checked.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count(F.lit(1)).alias("n"))
         .where("low <> high").select("digest", "n"),

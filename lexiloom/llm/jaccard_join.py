@@ -22,10 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import join_hot, materialise
+from lexiloom.llm.common import fetch, join_hot, materialise
 from lexiloom.llm.linking import linked_groups
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+NO_ID = -(2**63)  # stands for a missing doc_id inside Python, where a null would turn the column into floats
 SKETCH = 256  # bits of the parity sketch
 
 
@@ -163,7 +164,9 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"])
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>")
+    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    out = named.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def _can_link(percent: int):
@@ -192,7 +195,9 @@ def _verifier(docs: DataFrame, n: int, percent: int):
             yield batch.loc[good, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id"), "text")
+        # the texts of candidates only, fetched once
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+        texts = materialise(fetch(docs, "doc_id", wanted), "candidates")
         rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return rows.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
@@ -219,11 +224,10 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     total = able.count()
     # a representative's row, once even where its row repeats
     heads = able.withColumn("digest", digest).join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    heads = heads.select(F.col("doc_id").alias("node"), "keys", F.struct(F.col("n_shingles").alias("n"), "sketch").alias("info"))
+    heads = materialise(heads.select(F.col("doc_id").alias("node"), "keys", F.struct(F.col("n_shingles").alias("n"), "sketch").alias("info")), "heads")
     keys = heads.select("node", F.explode("keys").alias("key"))
     attributes = heads.groupBy("node").agg(F.max("info").alias("info"))
-    own = docs.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    groups = linked_groups(keys, attributes, _can_link(percent), _verifier(own, n, percent))
+    groups = linked_groups(keys, attributes, _can_link(percent), _verifier(docs, n, percent))
     named = classes.join(groups, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id"))
     out = join_hot(able.select("doc_id", "n_shingles", digest.alias("digest")), named, "digest", "copies", total)
     rest = sets.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import components, materialise
+from lexiloom.llm.common import components, materialise, shuffle_partitions
 
 
 def linked_groups(keys: DataFrame, attributes: DataFrame, may_link: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -25,8 +25,11 @@ def linked_groups(keys: DataFrame, attributes: DataFrame, may_link: Callable[[Co
     ``may_link``: from two infos, false only for pairs that can't be linked.
     ``verify``: from (a, b) with a < b to the pairs that are linked.
     """
+    # keys are nearly all met once, so a partial aggregation would not shrink them: they are
+    # dealt out once, and both the aggregation and the join read that one exchange
+    keys = keys.repartition(shuffle_partitions(keys.sparkSession), "key")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    live = keys.join(shared.select("key", "low"), "key").distinct()
+    live = keys.join(shared.select("key", "low"), "key")
     live = materialise(live.join(attributes, "node").select("key", "node", "low", "info"), "live")
     heads = attributes.select(F.col("node").alias("low"), F.col("info").alias("low_info"))
     star = (
