@@ -8,7 +8,7 @@ in the presence vector, landmarks and coefficients fold into one matrix, and a
 batch of texts is scored by one matrix product.
 
 Training takes at most ``per_language`` texts of each of at most ``languages``
-languages, by a hash of the identifier; every text is read whole and scored.
+languages, about ``samples`` in all, by a hash of the identifier; every text is read whole and scored.
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ def identify(
     keep: tuple[str, ...] = (),
     per_language: int = 400,
     languages: int = 256,
+    samples: int = 2000,
     landmarks: int = 512,
     ridge: float = 1e-2,
     batch: int = 64,
@@ -89,6 +90,7 @@ def identify(
     counts = taught.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages).collect()
     slots, names, matrix = 2**20, [], np.zeros((DIMS, 0), np.float32)
     if counts:
+        per_language = max(8, min(per_language, samples // len(counts)))
         rate = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(int(slots * min(1.0, per_language / r[1]))))])
         place = F.pmod(F.xxhash64(ids), F.lit(slots))
         sample = taught.where(place < F.try_element_at(rate, F.col(lang_col))).select(
