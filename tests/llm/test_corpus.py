@@ -219,6 +219,15 @@ def test_line_dedup(spark):
         assert line_dedup.line_dedup(df).count() == df.count()
 
 
+def test_simhash_and_edit_distance():
+    rng = random.Random(13)
+    lines = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 2, 5, 254, 255, 256, 257, 600, 1, 1200, 3)]
+    assert [line_dedup.simhash(x) for x in lines] == line_dedup.simhashes(lines).tolist()
+    for _ in range(500):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        assert line_dedup.edit_distance(x, y) == levenshtein(x, y)
+
+
 def test_simhash_blocks(spark):
     """Hashes within three bits share a key."""
     rng = random.Random(6)
