@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fetch, join_hot, materialise
+from lexiloom.llm.common import drop_table, fetch, join_hot, materialise
 from lexiloom.llm.linking import linked_groups
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 NO_ID = -(2**63)  # stands for a missing doc_id inside Python, where a null would turn the column into floats
+KEY_BITS = np.uint64(2**40 - 1)
 SKETCH = 256  # bits of the parity sketch
 
 
@@ -133,7 +134,8 @@ class Scheme:
                 if near.any():
                     spot = place[near]
                     out.append(_mix(sums[spot] - element[near] + salt[spot]))
-        return np.unique(np.concatenate(out))
+        # 40 bits are enough: a key met by accident costs a candidate, never a link
+        return np.unique(np.concatenate(out) & KEY_BITS)
 
 
 @lru_cache(maxsize=8)
@@ -216,15 +218,17 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doc_id have no links and a null component. Other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(shingle_sets(docs, n, percent), "sets")
+    wide = materialise(shingle_sets(docs, n, percent), "sets")
+    sets = materialise(wide.select("doc_id", "n_shingles", "c1", "c2"), "sizes")
     digest = F.struct("n_shingles", "c1", "c2")
     able = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = able.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "classes")
     total = able.count()
     # a representative's row, once even where its row repeats
-    heads = able.withColumn("digest", digest).join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    heads = wide.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).withColumn("digest", digest).join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     heads = materialise(heads.select(F.col("doc_id").alias("node"), "keys", F.struct(F.col("n_shingles").alias("n"), "sketch").alias("info")), "heads")
+    drop_table(wide)
     keys = heads.select("node", F.explode("keys").alias("key"))
     attributes = heads.groupBy("node").agg(F.max("info").alias("info"))
     groups = linked_groups(keys, attributes, _can_link(percent), _verifier(docs, n, percent))

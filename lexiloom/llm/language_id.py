@@ -73,7 +73,7 @@ def identify(
     keep: tuple[str, ...] = (),
     per_language: int = 400,
     languages: int = 256,
-    samples: int = 2000,
+    samples: int = 1000,
     landmarks: int = 512,
     ridge: float = 1e-2,
     batch: int = 64,

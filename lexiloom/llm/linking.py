@@ -27,7 +27,7 @@ def linked_groups(keys: DataFrame, attributes: DataFrame, may_link: Callable[[Co
     """
     # keys are nearly all met once, so a partial aggregation would not shrink them: they are
     # dealt out once, and both the aggregation and the join read that one exchange
-    keys = keys.repartition(shuffle_partitions(keys.sparkSession), "key")
+    keys = keys.where("key is not null").repartition(shuffle_partitions(keys.sparkSession), "key")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     live = keys.join(shared.select("key", "low"), "key")
     live = materialise(live.join(attributes, "node").select("key", "node", "low", "info"), "live")
