@@ -219,6 +219,49 @@ def test_line_dedup(spark):
         assert line_dedup.line_dedup(df).count() == df.count()
 
 
+def test_near_lines_against_edit_similarity_alone(spark):
+    """A letter added to one word, and three to three words of a longer line, at all lengths: all copies go, as by brute force over all pairs."""
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (14, 18, 25, 38, 50, 70, 110, 180, 300, 500) for _ in range(5)]
+    lines = [line_dedup.normalise("one two three four " + x) for x in lines]
+    copies = []
+    for line in lines:
+        own = line.split()
+        for i in rng.sample(range(len(own)), 1 if len(line) < 60 else 3):
+            own[i] += "q"
+        copies.append(" ".join(own))
+    both = lines + copies
+    near = {j for j, y in enumerate(both) for x in both[:j] if line_dedup.edit_distance(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9)}
+    assert len(near) == len(copies)
+    got = line_dedup.line_dedup(table(spark, both)).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in got} == near
+
+
+def test_edit_distance_left_early():
+    rng = random.Random(23)
+    for _ in range(500):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        for most in (0, 2, 6):
+            assert (line_dedup.edit_distance(x, y, most) <= most) == (levenshtein(x, y) <= most)
+
+
+def test_near_line_filter_keeps_near_pairs(spark):
+    """What the lengths and character counts rule out has too many edits."""
+    rng = random.Random(22)
+    rows = []
+    for _ in range(300):
+        x = "".join(rng.choice("abcdxyz é日") for _ in range(rng.randint(10, 60)))
+        y = list(x)
+        for _ in range(rng.randint(1, 7)):
+            y[rng.randrange(len(y))] = rng.choice(["", "q", "bb"])
+        rows.append((x, "".join(y)))
+    counts = [line_dedup.character_counts([x, y]).tolist() for x, y in rows]
+    data = [((len(x), *a), (len(y), *b), line_dedup.edit_distance(x, y) <= line_dedup.most_edits(max(len(x), len(y)), 0.9)) for (x, y), (a, b) in zip(rows, counts, strict=True)]
+    info = "struct<chars:int,low:long,high:long>"
+    df = spark.createDataFrame(data, f"x {info}, y {info}, near boolean").withColumn("may", line_dedup.may_be_near(F.col("x"), F.col("y"), 0.9))
+    assert df.where("near").count() > 50 and df.where("near and not may").count() == 0 and df.where("not may").count() > 50
+
+
 def test_simhash_and_edit_distance():
     rng = random.Random(13)
     lines = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 2, 5, 254, 255, 256, 257, 600, 1, 1200, 3)]
