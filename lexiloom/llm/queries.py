@@ -70,7 +70,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(docs_of(spark, sf_dir).select("doc_id", "text"))
+    return line_dedup(docs_of(spark, sf_dir).select("doc_id", "text"), min_words=1)
 
 
 @query

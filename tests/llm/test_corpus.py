@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiloom.functions.shipping import ship_package
-from lexiloom.llm import chat_format, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, suffix_dedup, tokens, topk_search, toxicity
+from lexiloom.llm import chat_format, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, queries, suffix_dedup, tokens, topk_search, toxicity
 from lexiloom.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, score double"
@@ -262,6 +262,17 @@ def test_near_line_filter_keeps_near_pairs(spark):
     assert df.where("near").count() > 50 and df.where("near and not may").count() == 0 and df.where("not may").count() > 50
 
 
+def test_short_lines_repeat(spark, tmp_path):
+    """In the query and in the pipeline lines of a few words, and of scripts without spaces, go like others; lines without a letter stay."""
+    texts = ["Read more\nfirst text of its own", "read more!\n---\n日本語の行は一語です", "日本語の行は一語です\n---\n\nOK", "ok\nOKs"]
+    want = [texts[0], "---\n日本語の行は一語です", "---\n\nOK", "OKs"]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == want
+    staged = dict(corpus_pipeline.STAGES)["line_dedup"](spark, table(spark, texts), str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in staged] == want
+
+
 def test_simhash_and_edit_distance():
     rng = random.Random(13)
     lines = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 2, 5, 254, 255, 256, 257, 600, 1, 1200, 3)]
