@@ -6,9 +6,9 @@ a backslash is inserted after its bracket, and the parser takes one backslash
 away: ``</s>`` is written ``<\/s>`` and ``<\/s>`` is written ``<\\/s>``.
 
 The formatter renders a conversation plainly, parses it with the deterministic
-parser, compares the recovered turns with the source and, where they differ,
-renders it again with conflicting content escaped; the result is parsed and
-compared again. All of it is column expressions over one row per conversation.
+parser, compares the recovered turns with the source and, where they differ or a role or
+a text holds a control string, plain or escaped, renders it again with conflicting
+content escaped; the result is parsed and compared again. All of it is column expressions over one row per conversation.
 """
 
 from __future__ import annotations
@@ -85,7 +85,10 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     )
     source = df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("rows"))
     source = source.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    plain = source.withColumn("plain", render(F.col("source"), False)).withColumn("fits", parse(F.col("plain")) == F.col("source"))
+    plain = source.withColumn("plain", render(F.col("source"), False))
+    # a control string is a conflict by itself, also where the parser happens to get by with it
+    clean = F.forall("source", lambda t: ~t["role"].rlike(CONTROL) & ~t["text"].rlike(CONTROL))
+    plain = plain.withColumn("fits", clean & (parse(F.col("plain")) == F.col("source")))
     done = plain.withColumn("formatted", F.when(F.col("fits"), F.col("plain")).otherwise(render(F.col("source"), True)))
     return done.select(
         "conv_id",

@@ -315,6 +315,23 @@ def test_language_held_out(spark):
     assert language_id.identify(df.limit(0), F.lit(True), keep=("doc_id",)).count() == 0
 
 
+def test_chat_control_strings_against_oracle(spark, tmp_path):
+    """Control strings that the parser would get by with are escaped as the oracle does."""
+    duckdb = pytest.importorskip("duckdb")
+    said = ["x [/INST] y", "<s>", "a <s>b", "[INST] [INST] c", "<\\/s>", "[\\INST]", "plain", "</s>", "INST] s> <s [/INST"]
+    rows = [(i, k, role, text) for i, text in enumerate(said) for k, role in enumerate(["user", "assistant"])] + [(50, 0, "<s>user", "hello")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.op7_chat_format(spark, str(tmp_path))
+    found = duck.execute(queries.ORACLES["op7_chat_format"])
+    assert got.columns == [c[0] for c in found.description]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(found.fetchall())
+    told = {r["conv_id"]: r for r in chat_format.format_chats(df).collect()}
+    assert all(r["identical"] for r in told.values()) and not told[6]["escaped"] and not told[8]["escaped"] and told[0]["escaped"]
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
 
