@@ -386,6 +386,17 @@ def test_tokens_match_the_library():
         assert [*struct.unpack(f"<{len(ids) // 4}I", ids)] == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_as_the_library_loads_them():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    library = Tokenizer.from_file(path)
+    coder = tokens.coder(path)
+    for t in ["<|endoftext|> x", "a <|endoftext|>", "a b<|endoftext|><|endoftext|>\n\nc  d ", "<|endoftext|", "<|endoftext|>", "plain text", ""]:
+        ids = coder(t)
+        assert [*struct.unpack(f"<{len(ids) // 4}I", ids)] == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing(spark, corpus):
     df = table(spark, [*corpus, "word " * 3000])
     packed = packing.pack_documents(df, items_per_partition=25, with_ids=True).collect()
