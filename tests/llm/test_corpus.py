@@ -315,6 +315,19 @@ def test_language_held_out(spark):
     assert language_id.identify(df.limit(0), F.lit(True), keep=("doc_id",)).count() == 0
 
 
+def test_language_stage_rejects_what_was_never_learned(spark, tmp_path):
+    """Alien scripts and noise go, clean documents of each language stay, short ones as well."""
+    rng = random.Random(18)
+    stems = {a: ["".join(rng.choice("etaoinshr") for _ in range(3)) + rng.choice(e) for _ in range(40)] for a, e in (("en", "ing"), ("fr", "eaux"), ("de", "sch"), ("es", "dos"))}
+    prose = lambda a, n: " ".join(rng.choice(stems[a]) for _ in range(n))
+    rows = [(i, prose(list(stems)[i % 4], 5 if i % 10 == 0 else 80), list(stems)[i % 4]) for i in range(240)]
+    noise = ["абвгдежзиклмнопрст", "日本語行一私達学校時間人", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"]
+    rows += [(1000 + i, "".join(rng.choice(noise[i % 4]) for _ in range(400)), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(240))
+
+
 def test_chat_control_strings_against_oracle(spark, tmp_path):
     """Control strings that the parser would get by with are escaped as the oracle does."""
     duckdb = pytest.importorskip("duckdb")
