@@ -13,8 +13,10 @@ text's n-grams of at least KNOWN_N characters, with repeats, are usual in the
 language it was told as, which doesn't hang on the text's length, against what learned
 texts have that are held out of the count.
 
-Training takes at most ``per_language`` texts of each of at most ``languages``
-languages, about ``samples`` in all, by a hash of the identifier; every text is read whole and scored.
+Training takes at most ``per_language`` texts of every language, about ``samples``
+in all but up to 8 of each, by a hash of the identifier; every text is read whole
+and scored. More than ``languages`` languages, whose model would not fit a worker,
+are an error.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def identify(
     lang_col: str = "lang",
     keep: tuple[str, ...] = (),
     per_language: int = 400,
-    languages: int = 256,
+    languages: int = 1024,
     samples: int = 1000,
     landmarks: int = 512,
     ridge: float = 1e-2,
@@ -128,7 +130,9 @@ def identify(
     """
     ids = F.col(id_col).cast("string")
     taught = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ids.isNotNull())
-    counts = taught.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages).collect()
+    counts = taught.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages to learn")
     slots, names, matrix = 2**20, [], np.zeros((DIMS, 0), np.float32)
     usual, mark = np.zeros((0, DIMS), bool), 0.0
     if counts:
@@ -154,7 +158,7 @@ def identify(
         got = got.groupby("lang", sort=False).head(per_language)
         if len(got):
             x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)
-            names, matrix = fit(x, got["lang"].tolist(), landmarks, ridge)
+            names, matrix = fit(x, got["lang"].tolist(), max(landmarks, len(counts)), ridge)
             if tell_known:
                 usual, mark = usual_slots(x, got["lang"].tolist(), got["head"].tolist())
 

@@ -315,6 +315,18 @@ def test_language_held_out(spark):
     assert language_id.identify(df.limit(0), F.lit(True), keep=("doc_id",)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More than 256 values of lang, each told; beyond the bound it fails."""
+    rng = random.Random(19)
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300)]
+    rows = [(3 * i + k, " ".join(rng.choice((x, x + x[:2])) for _ in range(8)), f"l{i}") for i, x in enumerate(stems) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, F.lit(True), keep=("lang",)).collect()
+    assert len({r["lang_pred"] for r in got}) == 300 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    with pytest.raises(ValueError):
+        language_id.identify(df, F.lit(True), languages=299)
+
+
 def test_language_stage_rejects_what_was_never_learned(spark, tmp_path):
     """Alien scripts and noise go, clean documents of each language stay, short ones as well."""
     rng = random.Random(18)
