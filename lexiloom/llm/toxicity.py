@@ -6,7 +6,7 @@
 2. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments.
 3. Extreme-value calibration: a segment of score S in a text of n tokens has
    E = K n exp(-lambda S) chance segments; ``lambda`` is fitted on the scores of
-   clean tokens, and segments with E below ``e_value`` are the passages.
+   clean tokens, K on the best segments of random texts of such tokens, and segments with E below ``e_value`` are the passages.
 4. A text's score is a logistic curve over the total calibrated score of its
    passages, fitted on the training rows.
 
@@ -130,6 +130,23 @@ def _fit_scale(scores: np.ndarray, weights: np.ndarray) -> float:
     return high
 
 
+def _fit_k(scores: np.ndarray, weights: np.ndarray, scale: float, texts: int = 1000) -> float:
+    """K of the extreme-value law, from the best scores of random texts of n tokens: a tenth of them reach the score at which E is -ln 0.9.
+
+    The tail is what E-values are asked of. About 30 tokens of positive score are in a text.
+    """
+    good = float(weights[scores > 0].sum())
+    if good <= 0:
+        return 1.0
+    rng, n = np.random.default_rng(1), int(min(50_000, max(2000, 30 / good)))
+    upto = np.cumsum(weights)
+    best = []
+    for _ in range(texts):
+        walk = np.cumsum(scores[np.minimum(np.searchsorted(upto, rng.random(n) * upto[-1], side="right"), len(scores) - 1)])
+        best.append((walk - np.minimum.accumulate(np.append(0.0, walk[:-1]))).max())
+    return float(-math.log(0.9) * np.exp(scale * np.quantile(best, 0.9)) / n)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps with a slight ridge; classes count alike."""
     a, b = 0.0, 0.0
@@ -190,7 +207,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabula
     rest = min(-0.5, math.log(max(rest_bad, 1) / n_bad) - math.log(max(rest_good, 1) / n_good))
     scores = np.array([*words.values(), rest])
     weights = np.array([*(float(r[3]) + prior * (r[2] + r[3]) / (n_bad + n_good) for r in top), float(rest_good)])
-    model = ToxicModel(words, rest, _fit_scale(scores, weights / weights.sum()), 0.1, e_value=e_value)
+    weights /= weights.sum()
+    scale = _fit_scale(scores, weights)
+    model = ToxicModel(words, rest, scale, _fit_k(scores, weights, scale), e_value=e_value)
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

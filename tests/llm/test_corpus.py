@@ -373,6 +373,19 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == slow(s, 0, len(s))
 
 
+def test_chance_passages_are_as_many_as_expected():
+    """Of random clean texts, about the share e_value has a segment of that E."""
+    rng = np.random.default_rng(4)
+    scores, weights = np.append(rng.uniform(0.1, 0.8, 200), -1.5), np.append(np.full(200, 0.4 / 200), 0.6)
+    scale = toxicity._fit_scale(scores, weights)
+    k, n, hits = toxicity._fit_k(scores, weights, scale), 3000, 0
+    for _ in range(2000):
+        walk = np.cumsum(rng.choice(scores, n, p=weights))
+        best = (walk - np.minimum.accumulate(np.append(0.0, walk[:-1]))).max()
+        hits += k * n * np.exp(-scale * best) <= 0.05
+    assert 0.03 <= hits / 2000 <= 0.075, (k, hits)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     rows, labels = [], []
