@@ -12,10 +12,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this process only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, as in tests, a folder of this process, but on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         folder = tempfile.TemporaryDirectory(prefix="lexiloom-")
         atexit.register(folder.cleanup)
@@ -23,8 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage that survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/lexiloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`write_table` wrote."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
