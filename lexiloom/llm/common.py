@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.shipping import ship_package
+from lexiloom.functions.tables import drop_table, write_table as materialise
 
-_own_base: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach.
-
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in local tests, a temporary folder of this process is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if "dir" not in _own_base:
-        own = tempfile.TemporaryDirectory(prefix="lexiloom-")
-        atexit.register(own.cleanup)
-        _own_base["dir"] = f"file://{own.name}"
-    return _own_base["dir"]
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}/{name}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs at most a reread of the table.
-    """
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table written by :func:`materialise`."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "materialise", "maybe_in", "shuffle_partitions"]
 
 
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -63,10 +22,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def id_text(col: str | Column) -> Column:
-    return F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """Join on ``key``, unique in ``right``, whose ``count`` is the number of left rows with that key.
 

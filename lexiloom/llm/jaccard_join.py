@@ -7,8 +7,10 @@ set in that segment must be equal) or 2 (it may differ by one shingle, found by
 its one-deletion neighbourhood). Weights that sum to H + 1 make it sure that
 linked sets agree on a segment. How many segments get weight 2 follows a cost
 model per band: signatures written against accidental agreements, which short
-segments of small sets invite. Candidates pass size and parity-sketch bounds,
-neither of which can drop a link, and are verified on the texts.
+segments of small sets invite. Signatures are made in a second pass over the texts
+and sent in packed runs (see ``linking``), so they are never written row by row.
+Candidates pass size and parity-sketch bounds, neither of which can drop a link,
+and are verified on the texts.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import drop_table, fetch, join_hot, materialise
-from lexiloom.llm.linking import linked_groups
+from lexiloom.llm.common import join_hot, materialise, maybe_in
+from lexiloom.llm.linking import KEY_BITS, Keyed, linked_groups, shared_keys
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 NO_ID = -(2**63)  # stands for a missing doc_id inside Python, where a null would turn the column into floats
-KEY_BITS = np.uint64(2**40 - 1)
-SKETCH = 256  # bits of the parity sketch
+SKETCH = 1024  # bits of the parity sketch
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -134,8 +136,15 @@ class Scheme:
                 if near.any():
                     spot = place[near]
                     out.append(_mix(sums[spot] - element[near] + salt[spot]))
-        # 40 bits are enough: a key met by accident costs a candidate, never a link
-        return np.unique(np.concatenate(out) & KEY_BITS)
+        return np.unique(np.concatenate(out) & np.uint64(2**KEY_BITS - 1))
+
+    def written(self, size: int) -> int:
+        """About how many keys a set of so many shingles has."""
+        out, own = 0, self.band(size)
+        for band in {own, max(0, own - 1)}:
+            parts, double = self.plan(band)
+            out += parts + size * double // parts
+        return out
 
 
 @lru_cache(maxsize=8)
@@ -148,42 +157,77 @@ def _sketch(h: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _digests(h: np.ndarray) -> tuple[int, int]:
+    return int(np.add.reduce(_mix(h * _K1)).astype(np.int64)), int(np.add.reduce(_mix(h ^ _K3)).astype(np.int64))
+
+
 def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sketch, keys) of (doc_id, text): set size, digest, parity sketch, signature keys."""
+    """(uid, doc_id, text_hash, n_shingles, c1, c2, n_keys, sketch) of (doc_id, text_hash, text): a number of its own, set size, digest, parity sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan = scheme(percent)
+        plan, uid = scheme(percent), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 h = shingle_hashes(text, n)
-                if len(h):
-                    c1, c2 = int(np.add.reduce(_mix(h * _K1)).astype(np.int64)), int(np.add.reduce(_mix(h ^ _K3)).astype(np.int64))
-                    rows.append((len(h), c1, c2, _sketch(h), plan.signatures(h).astype(np.int64)))
-                else:
-                    rows.append((0, 0, 0, [0] * (SKETCH // 64), np.zeros(0, np.int64)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "sketch", "keys"], index=batch.index)
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
+                rows.append((uid, len(h), *_digests(h), plan.written(len(h)), _sketch(h)) if len(h) else (uid, 0, 0, 0, 0, [0] * (SKETCH // 64)))
+                uid += 1
+            out = pd.DataFrame(rows, columns=["uid", "n_shingles", "c1", "c2", "n_keys", "sketch"], index=batch.index)
+            yield out.assign(doc_id=batch["doc_id"], text_hash=batch["text_hash"])
 
     named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    out = named.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>")
+    out = named.mapInPandas(run, "uid long, doc_id long, text_hash long, n_shingles long, c1 long, c2 long, n_keys long, sketch array<long>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def _signatures(n: int, percent: int):
+    """Keys of the sets of a batch of texts, each set once, tagged with its first digest."""
+
+    def run(batch: pd.DataFrame) -> Iterator[Keyed]:
+        plan = scheme(percent)
+        tags: dict[int, np.ndarray] = {}
+        held = 0
+        for text in batch["text"]:
+            h = shingle_hashes(text, n)
+            if len(h) and (tag := _digests(h)[0]) not in tags:
+                tags[tag] = plan.signatures(h)
+                held += len(tags[tag])
+            if held > 1_000_000:
+                yield _keyed(tags)
+                tags, held = {}, 0
+        if tags:
+            yield _keyed(tags)
+
+    return run
+
+
+def _keyed(tags: dict[int, np.ndarray]) -> Keyed:
+    sizes = [len(k) for k in tags.values()]
+    return np.array(list(tags), np.int64), np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(tags.values()))
+
+
 def _can_link(percent: int):
-    def test(x: Column, y: Column) -> Column:
+    """Whether sizes and parity sketches allow a link: as a test of columns, and of arrays."""
+    # the parity sketches of two sets differ in at most as many bits as the sets differ in shingles
+
+    def columns(x: Column, y: Column) -> Column:
         small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
         differ = F.lit(0)
         for i in range(SKETCH // 64):
-            differ = differ + F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i]))
-        # the parity sketches of two sets differ in at most as many bits as the sets differ in shingles
+            differ = differ + F.bit_count(x[f"s{i}"].bitwiseXOR(y[f"s{i}"]))
         return (small * 100 >= large * percent) & (differ * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent))
 
-    return test
+    def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        able = np.minimum(x[:, 0], y[:, 0]) * 100 >= np.maximum(x[:, 0], y[:, 0]) * percent
+        differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
+        return able & (differ * (100 + percent) <= (x[:, 0] + y[:, 0]) * (100 - percent))
+
+    return columns, rows
+
 
+def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
+    """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash), the text that stands for a node."""
 
-def _verifier(docs: DataFrame, n: int, percent: int):
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, kept = None, None
         for batch in batches:
@@ -198,10 +242,13 @@ def _verifier(docs: DataFrame, n: int, percent: int):
 
     def verify(pairs: DataFrame) -> DataFrame:
         # the texts of candidates only, fetched once
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-        texts = materialise(fetch(docs, "doc_id", wanted), "candidates")
-        rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        wanted = materialise(wanted, "wanted")
+        near = maybe_in(docs, "text_hash", wanted.select("text_hash"), wanted.count()).where("_maybe").drop("_maybe")
+        texts = near.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+        texts = materialise(texts, "candidates", compression="zstd")
+        rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return rows.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
     return verify
@@ -214,25 +261,30 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets of ``n``-word shingles; a text of fewer words is one shingle, and null,
     empty or blank texts have no shingle and no link. ``component_id`` is the
     smallest doc_id reachable. Documents of one set are one node, whose copies
-    aren't expanded. Rows that share a doc_id are one document; rows without
-    doc_id have no links and a null component. Other columns are ignored.
+    aren't expanded. Rows that share a doc_id but not the text are judged each by
+    its own text; rows without doc_id have no links and a null component. Other
+    columns are ignored.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wide = materialise(shingle_sets(docs, n, percent), "sets")
-    sets = materialise(wide.select("doc_id", "n_shingles", "c1", "c2"), "sizes")
-    digest = F.struct("n_shingles", "c1", "c2")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    sets = materialise(shingle_sets(docs, n, percent), "sets")
     able = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = able.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    total, n_keys = able.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    # one node for each set: the row with the smallest number stands for it
+    digest = ["n_shingles", "c1", "c2"]
+    classes = able.groupBy(*digest).agg(
+        F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min_by("doc_id", "uid").alias("doc_id"), F.min_by("text_hash", "uid").alias("text_hash")
+    )
     classes = materialise(classes, "classes")
-    total = able.count()
-    # a representative's row, once even where its row repeats
-    heads = wide.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).withColumn("digest", digest).join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    heads = materialise(heads.select(F.col("doc_id").alias("node"), "keys", F.struct(F.col("n_shingles").alias("n"), "sketch").alias("info")), "heads")
-    drop_table(wide)
-    keys = heads.select("node", F.explode("keys").alias("key"))
-    attributes = heads.groupBy("node").agg(F.max("info").alias("info"))
-    groups = linked_groups(keys, attributes, _can_link(percent), _verifier(docs, n, percent))
-    named = classes.join(groups, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id"))
-    out = join_hot(able.select("doc_id", "n_shingles", digest.alias("digest")), named, "digest", "copies", total)
+    found = materialise(shared_keys(docs.where(F.col("doc_id").isNotNull()), _signatures(n, percent), int(n_keys)), "shared")
+    # a tag that sets share by accident stands for each of them
+    tagged = materialise(found.select("tag").distinct(), "tags")
+    tagged = materialise(classes.select("node", F.col("c1").alias("tag")).join(tagged, "tag", "left_semi"), "tagged")
+    info = sets.join(tagged.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]).alias("info"))
+    live = materialise(found.join(tagged.join(info, "node"), "tag").select("key", "node", "large", "info"), "live", compression="zstd")
+    groups = linked_groups(live, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash"), n, percent))
+    named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").select(F.struct(*digest).alias("digest"), "copies", "component_id")
+    out = join_hot(able.select("doc_id", "n_shingles", F.struct(*digest).alias("digest")), named, "digest", "copies", total)
     rest = sets.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     return out.select("doc_id", "n_shingles", "component_id").unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

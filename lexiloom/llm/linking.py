@@ -1,48 +1,245 @@
 """Connected groups of a similarity join whose candidates share a key.
 
-Groups are found without all pairs of a bucket. First each bucket contributes a
-star: every member against the bucket's smallest node. Verified links give
-components. Only in buckets that still span several components are the pairs
-across components compared, so every pair that shares a bucket is either in one
-component already or has been verified: no link between components is lost, and
-a bucket of near-identical members costs a row each.
+Keys are nearly all met once, so they are not dealt out row by row. Each task
+sorts the keys of many rows into a unit, which sends every bucket of the key
+range one packed run of its distinct keys with their tags, at most SMALL + 1 of
+a key; all tags of a key of more are sent as they are to a bucket that takes
+turns. A bucket merges its runs and keeps the keys of two tags or more. A key
+that a third of all rows have thus costs its bucket a few entries for each unit.
+
+Candidates of a key of up to SMALL nodes are all its pairs that may be linked. Of
+a larger key each member meets one node only. Of a node's candidates the
+one with most common keys is verified first, then, where two are not in one
+component yet, the others. Only for larger keys that still span several components
+are the pairs across components compared, so every pair that shares a key is
+either in one component already or has been verified: no link between components
+is lost. A join whose keys find pairs by chance may leave that last step out, which
+grows with the square of the members that stay apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import components, materialise, shuffle_partitions
 
+KEY_BITS, RANK_BITS = 40, 24
+UNIT_KEYS, BUCKET_KEYS = 2_000_000, 2_500_000
+SMALL = 32
+_KEY, _RANK = np.uint64((1 << KEY_BITS) - 1), np.uint64((1 << RANK_BITS) - 1)
+
+Keyed = tuple[np.ndarray, np.ndarray, np.ndarray]  # tags of rows, place of each key's row, keys
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, each with its kind and length."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
+    data = head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    data = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head, at, out = np.frombuffer(data, np.int64, 2 * n, 8), 8 + 16 * n, []
+    for width, count in head.reshape(-1, 2).tolist():
+        out.append(np.frombuffer(data, f"u{width}", count, at))
+        at += width * count
+    return out
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    top = int(values.max(initial=0))
+    return values.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64)
+
+
+def _entries(keys: np.ndarray, ranks: np.ndarray, tags: np.ndarray) -> bytes:
+    """Sorted keys as steps, and their tags by a list of those that occur."""
+    used, place = np.unique(ranks, return_inverse=True)
+    return _pack(_narrow(np.diff(keys, prepend=np.uint64(0))), tags[used].view(np.uint64), _narrow(place))
+
+
+def _read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, tags, place = _unpack(blob)
+    return np.cumsum(steps, dtype=np.uint64), tags.view(np.int64)[place]
+
+
+def _unit(tags: list[np.ndarray], places: list[np.ndarray], keys: list[np.ndarray], buckets: int, turn: int) -> pd.DataFrame:
+    distinct, rank = np.unique(np.concatenate(tags), return_inverse=True)
+    packed = ((np.concatenate(keys) & _KEY) << np.uint64(RANK_BITS)) | rank[np.concatenate(places)].astype(np.uint64)
+    packed.sort()
+    packed = packed[np.append(True, packed[1:] != packed[:-1])]
+    key, rank = packed >> np.uint64(RANK_BITS), (packed & _RANK).astype(np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    out = []
+    many = np.repeat(count > SMALL, count)
+    if many.any():
+        out.append((turn % buckets, 1, _entries(key[many], rank[many], distinct)))
+        few = np.arange(len(key)) - np.repeat(first, count) <= SMALL
+        key, rank = key[few], rank[few]
+    bounds = np.array([(b << KEY_BITS) // buckets for b in range(1, buckets)], np.uint64)
+    cuts = np.concatenate(([0], np.searchsorted(key, bounds), [len(key)])).tolist()
+    for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if x < y:
+            out.append((b, 0, _entries(key[x:y], rank[x:y], distinct)))
+    return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    read = [_read(b) for b in frame.loc[frame["kind"] == 0, "blob"]]
+    out = [(k, t, np.ones(len(k), bool)) for k, t in (_read(b) for b in frame.loc[frame["kind"] == 1, "blob"])]
+    if read:
+        key, tag = (np.concatenate(x) for x in zip(*read, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, tag = key[order], tag[order]
+        _, count = _runs(key)
+        shared = np.repeat(count > 1, count)
+        key, tag = key[shared], tag[shared]
+        if len(key):
+            order = np.lexsort((tag, key))
+            key, tag = key[order], tag[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]))
+            key, tag = key[new], tag[new]
+            _, count = _runs(key)
+            live = np.repeat(count > 1, count)
+            out.append((key[live], tag[live], np.repeat(count > SMALL, count)[live]))
+    names = ["key", "tag", "large"]
+    if not out:
+        return pd.DataFrame({"key": np.zeros(0, np.int64), "tag": np.zeros(0, np.int64), "large": np.zeros(0, bool)})
+    key, tag, large = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame(dict(zip(names, (key.astype(np.int64), tag, large), strict=True)))
 
-def linked_groups(keys: DataFrame, attributes: DataFrame, may_link: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def shared_keys(rows: DataFrame, keys_of: Callable[[pd.DataFrame], Iterator[Keyed]], total: int) -> DataFrame:
+    """(key, tag, large) of the keys that two tags or more have; a row of a large key may come twice.
+
+    ``keys_of`` gives, for a batch of ``rows``, the tags of some rows and the
+    keys of each, of which KEY_BITS bits count: a key met by accident costs a
+    candidate, never a link. ``total`` is about the number of keys in all.
+    """
+    buckets = max(48, -(-total // BUCKET_KEYS))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = TaskContext.get().partitionId()
+        held: tuple[list, list, list] = ([], [], [])
+        n_rows = n_keys = 0
+        for batch in batches:
+            for tags, places, keys in keys_of(batch):
+                for own, more in zip(held, (tags, places + n_rows, keys), strict=True):
+                    own.append(more)
+                n_rows, n_keys = n_rows + len(tags), n_keys + len(keys)
+                if n_keys >= UNIT_KEYS or n_rows >= 1 << (RANK_BITS - 1):
+                    yield _unit(*held, buckets, turn)
+                    held, n_rows, n_keys, turn = ([], [], []), 0, 0, turn + 1
+        if n_keys:
+            yield _unit(*held, buckets, turn)
+
+    dealt = rows.mapInPandas(deal, "bucket int, kind int, blob binary")
+    return dealt.groupBy("bucket").applyInPandas(_meet, "key long, tag long, large boolean")
+
+
+def _close_pairs(fields: int, may_link: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Pairs (a, b) with a < b of neighbouring rows (key, node, info) of one key that may be linked."""
+
+    def pairs(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+        first, count = _runs(key)
+        found = []
+        for m in np.unique(count[count > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            starts = first[count == m]
+            for at in range(0, len(starts), max(1, 200_000 // len(i))):
+                own = starts[at : at + max(1, 200_000 // len(i)), None]
+                x, y = (own + i).ravel(), (own + j).ravel()
+                near = (node[x] != node[y]) & may_link(info[x], info[y])
+                found.append(np.stack((node[x[near]], node[y[near]]), 1))
+        both = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2 + fields)]
+            held.append((columns[0], columns[1], np.stack(columns[2:], 1)))
+            if sum(len(h[0]) for h in held) < 50_000 or held[0][0][0] == columns[0][-1]:
+                continue
+            key, node, info = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            yield pairs(key[:cut], node[:cut], info[:cut])
+            held = [(key[cut:], node[cut:], info[cut:])]
+        if held:
+            yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def linked_groups(
+    live: DataFrame, may_link: Callable[[Column, Column], Column], may_link_rows: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], *, centres: int = 0
+) -> DataFrame:
     """``(node, component)`` of every node that is linked and isn't its component's smallest.
 
-    ``keys``: (node, key). ``attributes``: (node, info), one row per node.
-    ``may_link``: from two infos, false only for pairs that can't be linked.
+    ``live``: (key, node, large, info), a written table; ``info`` is a struct of
+    whole numbers, the same in all rows of a node.
+    ``may_link``: from two infos, false only for pairs that can't be linked;
+    ``may_link_rows``: the same from two arrays of infos.
     ``verify``: from (a, b) with a < b to the pairs that are linked.
+    ``centres``: members of a larger key meet so many nodes of it, others for each
+    key, and no more, for keys that are themselves found by chance; 0: all links.
     """
-    # keys are nearly all met once, so a partial aggregation would not shrink them: they are
-    # dealt out once, and both the aggregation and the join read that one exchange
-    keys = keys.where("key is not null").repartition(shuffle_partitions(keys.sparkSession), "key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    live = keys.join(shared.select("key", "low"), "key")
-    live = materialise(live.join(attributes, "node").select("key", "node", "low", "info"), "live")
-    heads = attributes.select(F.col("node").alias("low"), F.col("info").alias("low_info"))
-    star = (
-        live.where("node <> low").select(F.col("low"), F.col("node"), "info").distinct()
-        .join(heads, "low").where(may_link(F.col("low_info"), F.col("info")))
-        .select(F.col("low").alias("a"), F.col("node").alias("b"))
-    )
+    fields = [f.name for f in live.schema["info"].dataType.fields]
+    small = live.where("not large").select("key", "node", *[F.col(f"info.{f}").alias(f"info_{f}") for f in fields])
+    small = small.repartition(shuffle_partitions(live.sparkSession), "key").sortWithinPartitions("key")
+    star = small.mapInArrow(_close_pairs(len(fields), may_link_rows), "a long, b long")
+    big = materialise(live.where("large").select("key", "node", "info").distinct(), "large")
+    has_big = not big.isEmpty()
+    if has_big:
+        # others for each key, so that the members of a large group meet many nodes
+        turns = [F.xxhash64("key", "node", F.lit(i)) for i in range(centres or 1)]
+        low = big.groupBy("key").agg(F.array(*[F.min_by("node", t) for t in turns]).alias("lows")).select("key", F.explode(F.array_distinct("lows")).alias("low"))
+        met = big.join(low, "key").where("node <> low").select("low", "node").distinct()
+        info = big.select("node", "info").dropDuplicates(["node"])
+        met = met.join(info.select(F.col("node").alias("low"), F.col("info").alias("low_info")), "low").join(info, "node")
+        star = star.unionByName(met.where(may_link(F.col("low_info"), F.col("info"))).select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")))
+    star = star.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
     star = materialise(star, "pairs")
-    edges = materialise(verify(star), "links")
-    groups = components(edges)
-    named = live.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("x <> y and n > 2").select("key")
+    groups = live.limit(0).select("node", F.col("node").alias("component"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        named = pairs.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
+        named = named.join(groups.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
+        return named.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b", "hits")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    # twice the likeliest partner of each node, then all that is left
+    left = star
+    for turn in range(3):
+        chosen = left.groupBy("b").agg(F.max_by("a", "hits").alias("a")).select("a", "b") if turn < 2 else left.select("a", "b")
+        chosen = materialise(chosen, "chosen")
+        links = verify(chosen)
+        groups = joined(links) if turn else components(materialise(links, "links"))
+        left = materialise(apart(left.join(chosen, ["a", "b"], "left_anti")), "left")
+        if left.isEmpty():
+            break
+    if not has_big or centres:
+        return groups
+    named = big.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = materialise(named.join(mixed, "key", "left_semi").select("key", "node", "info", "component"), "mixed")
     if left.isEmpty():
         return groups
@@ -53,7 +250,4 @@ def linked_groups(keys: DataFrame, attributes: DataFrame, may_link: Callable[[Co
         (F.col("key") == F.col("key_2")) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & may_link(F.col("a_info"), F.col("b_info")),
     )
     across = materialise(across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    if across.isEmpty():
-        return groups
-    more = verify(across)
-    return components(edges.unionByName(more))
+    return groups if across.isEmpty() else joined(verify(across))

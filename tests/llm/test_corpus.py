@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiloom.functions.shipping import ship_package
-from lexiloom.llm import chat_format, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, queries, suffix_dedup, tokens, topk_search, toxicity
+from lexiloom.llm import chat_format, exact_dedup, jaccard_join, language_id, line_dedup, linking, mixing, packing, queries, suffix_dedup, tokens, topk_search, toxicity
 from lexiloom.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, score double"
@@ -196,7 +196,7 @@ def test_line_dedup(spark):
         for k, line in enumerate((t or "").split("\n")):
             norm = line_dedup.normalise(line)
             if len(norm.split()) >= 5:
-                seen.append((i, k, norm, line_dedup.simhash(norm.split(" "))))
+                seen.append((i, k, norm))
     group = list(range(len(seen)))
 
     def find(x):
@@ -204,11 +204,10 @@ def test_line_dedup(spark):
             x = group[x]
         return x
 
-    for i, (_, _, x, h) in enumerate(seen):
+    for i, (_, _, x) in enumerate(seen):
         for j in range(i):
-            y, g = seen[j][2], seen[j][3]
-            near = bin((h ^ g) & (2**64 - 1)).count("1") <= 3 and levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9)
-            if x == y or near:
+            y = seen[j][2]
+            if levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
                 a, b = find(i), find(j)
                 group[max(a, b)] = min(a, b)
     gone = {(seen[i][0], seen[i][1]) for i in range(len(seen)) if find(i) != i}
@@ -231,35 +230,50 @@ def test_near_lines_against_edit_similarity_alone(spark):
             own[i] += "q"
         copies.append(" ".join(own))
     both = lines + copies
-    near = {j for j, y in enumerate(both) for x in both[:j] if line_dedup.edit_distance(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9)}
+    near = {j for j, y in enumerate(both) for x in both[:j] if levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9)}
     assert len(near) == len(copies)
     got = line_dedup.line_dedup(table(spark, both)).where("n_removed > 0").collect()
     assert {r["doc_id"] for r in got} == near
 
 
-def test_edit_distance_left_early():
+def test_within_edits():
     rng = random.Random(23)
-    for _ in range(500):
-        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(2))
-        for most in (0, 2, 6):
-            assert (line_dedup.edit_distance(x, y, most) <= most) == (levenshtein(x, y) <= most)
+    pairs = [tuple("".join(rng.choice("abcé日") for _ in range(rng.randint(0, 25))) for _ in range(2)) for _ in range(500)]
+    pairs += [(x, edited(rng, x, rng.uniform(0, 0.3))) for x in ("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 120))) for _ in range(400))]
+    pairs += [(x, edited(rng, x, rng.uniform(0, 0.2))) for x in ("".join(rng.choice("abcdefgh ") for _ in range(1200)) for _ in range(6))]
+    distance = [levenshtein(x, y) for x, y in pairs]
+    for most in ([0] * len(pairs), [2] * len(pairs), [rng.randint(0, 15) for _ in pairs], [max(0, d - 1 + k % 2) for k, d in enumerate(distance)]):
+        got = line_dedup.within_edits([x for x, _ in pairs], [y for _, y in pairs], most, group=64)
+        assert got.tolist() == [d <= m for d, m in zip(distance, most, strict=True)]
 
 
 def test_near_line_filter_keeps_near_pairs(spark):
-    """What the lengths and character counts rule out has too many edits."""
+    """What the lengths and MinHashes rule out has too many edits, but for one in a hundred."""
     rng = random.Random(22)
     rows = []
-    for _ in range(300):
-        x = "".join(rng.choice("abcdxyz é日") for _ in range(rng.randint(10, 60)))
+    for k in range(600):
+        x = "".join(rng.choice("abcdefghijklmnopxyz é日") for _ in range(rng.randint(10, 60) if k % 2 else rng.randint(60, 300)))
         y = list(x)
-        for _ in range(rng.randint(1, 7)):
+        for _ in range(rng.randint(1, 7) if len(x) <= 60 else rng.randint(1, len(x) // 8)):
             y[rng.randrange(len(y))] = rng.choice(["", "q", "bb"])
         rows.append((x, "".join(y)))
-    counts = [line_dedup.character_counts([x, y]).tolist() for x, y in rows]
-    data = [((len(x), *a), (len(y), *b), line_dedup.edit_distance(x, y) <= line_dedup.most_edits(max(len(x), len(y)), 0.9)) for (x, y), (a, b) in zip(rows, counts, strict=True)]
-    info = "struct<chars:int,low:long,high:long>"
-    df = spark.createDataFrame(data, f"x {info}, y {info}, near boolean").withColumn("may", line_dedup.may_be_near(F.col("x"), F.col("y"), 0.9))
-    assert df.where("near").count() > 50 and df.where("near and not may").count() == 0 and df.where("not may").count() > 50
+    data = []
+    for pair in rows:
+        pair = [line_dedup.normalise(z) or "a" for z in pair]
+        made = line_dedup.signatures(pair, 0.9)
+        sketch = line_dedup.sketches(made, pair, 0.9).tolist()
+        near = levenshtein(*pair) <= line_dedup.most_edits(max(map(len, pair)), 0.9)
+        data.append((*((len(z), *k) for z, k in zip(pair, sketch, strict=True)), near))
+    info = "struct<chars:int," + ",".join(f"s{i}:long" for i in range(2 * line_dedup.NIBBLES)) + ">"
+    columns, arrays = line_dedup.may_be_near(0.9)
+    df = spark.createDataFrame(data, f"x {info}, y {info}, near boolean").withColumn("may", columns(F.col("x"), F.col("y"))).cache()
+    assert [r["may"] for r in df.collect()] == arrays(np.array([r["x"] for r in df.collect()]), np.array([r["y"] for r in df.collect()])).tolist()
+    n = df.where("near").count()
+    assert n > 50 and df.where("near and not may").count() <= 0.01 * n and df.where("not may").count() > 30
+    # 3-grams rule out no near pair
+    for x, y in rows:
+        apart = np.abs(line_dedup.gram_counts([x]) - line_dedup.gram_counts([y])).sum()
+        assert apart <= 6 * levenshtein(x, y)
 
 
 def test_short_lines_repeat(spark, tmp_path):
@@ -273,27 +287,60 @@ def test_short_lines_repeat(spark, tmp_path):
     assert [r["text"] for r in staged] == want
 
 
-def test_simhash_and_edit_distance():
-    rng = random.Random(13)
-    lines = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 2, 5, 254, 255, 256, 257, 600, 1, 1200, 3)]
-    assert [line_dedup.simhash(x) for x in lines] == line_dedup.simhashes(lines).tolist()
-    for _ in range(500):
-        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(2))
-        assert line_dedup.edit_distance(x, y) == levenshtein(x, y)
-
-
-def test_simhash_blocks(spark):
-    """Hashes within three bits share a key."""
-    rng = random.Random(6)
-    values = []
-    for _ in range(50):
-        h = rng.getrandbits(64)
-        g = h
-        for b in rng.sample(range(64), 3):
-            g ^= 1 << b
-        values.append(tuple(v - (1 << 64) if v >> 63 else v for v in (h, g)))
-    df = spark.createDataFrame(values, "h long, g long")
-    assert df.where(~F.arrays_overlap(line_dedup.block_keys(F.col("h")), line_dedup.block_keys(F.col("g")))).count() == 0
+def edited(rng, line, share):
+    """The line with that share of its characters changed, dropped or followed by another one."""
+    own = list(line)
+    for i in rng.sample(range(len(own)), int(share * len(own))):
+        own[i] = rng.choice([rng.choice("etaoins"), "", own[i] + rng.choice("etaoins")])
+    return "".join(own)
+
+
+@pytest.mark.parametrize(("low", "high"), [(10, 20), (20, 38), (38, 86), (86, 130), (130, 300), (300, 900)])
+def test_near_line_keys_recall(low, high):
+    """Of near lines with edits in 0 to 10 % of their characters, at least 0.9 share a key, in each length class; short ones all do."""
+    rng = random.Random(low)
+    lines = [line_dedup.normalise("".join(rng.choice("abcdefghilmnoprstu   ") for _ in range(rng.randint(low, high - 1)))) for _ in range(300)]
+    pairs = [(x, edited(rng, x, rng.uniform(0, 0.1))) for x in lines if x]
+    pairs = [(x, y) for x, y in pairs if levenshtein(x, y) <= line_dedup.most_edits(max(len(x), len(y)), 0.9)]
+    where, keys = line_dedup.line_keys([z for pair in pairs for z in pair], 0.9)
+    sets = [set() for _ in range(2 * len(pairs))]
+    for i, k in zip(where.tolist(), keys.tolist(), strict=True):
+        sets[i].add(k)
+    found = sum(x == y or bool(sets[2 * i] & sets[2 * i + 1]) for i, (x, y) in enumerate(pairs))
+    assert len(pairs) > 200 and found >= (1 if high <= 20 else 0.9) * len(pairs), found / len(pairs)
+
+
+def test_shared_keys(spark):
+    """Keys that two tags or more have, whatever unit they come in, and a key of all."""
+    rng = random.Random(31)
+    rows = [(rng.randrange(400), [rng.randrange(3000) for _ in range(rng.randrange(6))] + [7]) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "tag long, keys array<long>").repartition(5)
+    spread = np.uint64(2**linking.KEY_BITS // 3001)
+
+    def keys_of(batch):
+        yield batch["tag"].to_numpy(), np.repeat(np.arange(len(batch)), [len(k) for k in batch["keys"]]), np.concatenate(list(batch["keys"])).astype(np.uint64) * spread
+
+    want = {}
+    for tag, keys in rows:
+        for k in keys:
+            want.setdefault(k, set()).add(tag)
+    want = {(k * int(spread), t) for k, tags in want.items() if len(tags) > 1 for t in tags}
+    got = linking.shared_keys(df, keys_of, 10_000).collect()
+    assert {tuple(r)[:2] for r in got} == want
+    sizes = {}
+    for k, _ in want:
+        sizes[k] = sizes.get(k, 0) + 1
+    assert all(r["large"] == (sizes[r["key"]] > linking.SMALL) for r in got) and any(r["large"] for r in got)
+    assert linking.shared_keys(df.limit(0), keys_of, 0).count() == 0
+
+
+def test_lines_of_rows_that_share_an_identifier(spark):
+    """Each row loses its own repeats only; a copy of a whole row has the same result; a clashing column survives."""
+    rows = [(1, "first line of its own\nthe line that both have", "x", 5), (1, "the line that both have\nanother line of its own", "y", 6), (1, "the line that both have\nanother line of its own", "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, n_removed long").withColumn("row", F.lit(1)).withColumn("places", F.lit(2))
+    got = sorted((r["_gone"], r["text"], r["n_removed"], r["row"], r["places"]) for r in line_dedup.line_dedup(df).collect())
+    assert sum(r[2] for r in got[1:]) in (0, 2) and got[1][1:] == got[2][1:] and sum(r[2] > 0 for r in got) in (1, 2)
+    assert all("of its own" in r[1] and r[3:] == (1, 2) for r in got)
 
 
 def test_language_held_out(spark):
