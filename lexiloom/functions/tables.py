@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,16 +29,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage that survives lost executors."""
+def write_table(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    Inside :func:`scratch` the table goes when that ends; with ``keep`` it stays for whoever called it.
+    """
     path = f"{shared_folder(df.sparkSession)}/lexiloom/{uuid.uuid4().hex}/{name}"
+    open_scopes = _scopes[:-1] if keep else _scopes
+    if open_scopes:
+        open_scopes[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, so what leaves has to be written with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that :func:`write_table` wrote."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
