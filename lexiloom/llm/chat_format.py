@@ -8,7 +8,10 @@ away: ``</s>`` is written ``<\/s>`` and ``<\/s>`` is written ``<\\/s>``.
 The formatter renders a conversation plainly, parses it with the deterministic
 parser, compares the recovered turns with the source and, where they differ or a role or
 a text holds a control string, plain or escaped, renders it again with conflicting
-content escaped; the result is parsed and compared again. All of it is column expressions over one row per conversation.
+content escaped; the result is parsed and compared again, and a conversation that
+is not identical then fails the job. The parser takes a turn only where it follows
+the grammar: all marks in their places and no unescaped control string in role or
+text. All of it is column expressions over one row per conversation.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PLAIN = r"</?s>|\[/?INST\]"
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\])"
 OPEN, HEAD, TAIL, CLOSE = "<s>", "[INST] ", " [/INST]", "</s>"
@@ -37,7 +41,8 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Array of (role, text) of a formatted text; what doesn't follow the grammar is left out of the turn."""
+    """Array of (role, text) of a formatted text; a piece that doesn't follow the grammar is a null, as is what stands after the last mark."""
+    rest = F.element_at(F.split(formatted, CLOSE), -1)
     pieces = F.slice(F.split(formatted, CLOSE), 1, F.greatest(F.size(F.split(formatted, CLOSE)) - 1, F.lit(0)))
 
     def turn(piece: Column) -> Column:
@@ -45,9 +50,11 @@ def parse(formatted: Column) -> Column:
         role = F.substring(piece, F.lit(len(OPEN) + 1), at - F.lit(len(OPEN) + 1))
         start = at + F.lit(len(HEAD))
         text = F.substring(piece, start, F.length(piece) - F.lit(len(TAIL)) - start + F.lit(1))
-        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        fits = piece.startswith(OPEN) & (at > 0) & piece.endswith(TAIL) & (F.length(piece) >= start + len(TAIL) - 1) & ~role.rlike(PLAIN) & ~text.rlike(PLAIN)
+        return F.when(fits, F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
 
-    return F.transform(pieces, turn)
+    turns = F.transform(pieces, turn)
+    return F.when(rest == "", turns).otherwise(F.array_append(turns, F.lit(None)))
 
 
 def loss_spans(formatted: Column) -> Column:
@@ -76,25 +83,29 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     ``turns`` and ``loss`` (start, length, text as it stands in ``formatted``) are
     read back from ``formatted``. Turns are ordered by ``turn``, ties by role and
     text, null turns first; repeated rows are kept. Null roles and texts are
-    empty. Rows without ``conv_id`` form one conversation of their own.
+    empty. Each row without ``conv_id`` is a conversation of its own.
     """
+    own = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    df = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), own.alias("own"))
     turn = F.struct(
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    source = df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("rows"))
+    source = df.groupBy(F.col("conv").alias("conv_id"), "own").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
     source = source.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("plain", render(F.col("source"), False))
     # a control string is a conflict by itself, also where the parser happens to get by with it
     clean = F.forall("source", lambda t: ~t["role"].rlike(CONTROL) & ~t["text"].rlike(CONTROL))
-    plain = plain.withColumn("fits", clean & (parse(F.col("plain")) == F.col("source")))
+    plain = plain.withColumn("fits", clean & F.coalesce(parse(F.col("plain")) == F.col("source"), F.lit(False)))
     done = plain.withColumn("formatted", F.when(F.col("fits"), F.col("plain")).otherwise(render(F.col("source"), True)))
+    same = F.coalesce(parse(F.col("formatted")) == F.col("source"), F.lit(False))
+    done = done.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation can't be read back"))))
     return done.select(
         "conv_id",
         "formatted",
         parse(F.col("formatted")).alias("turns"),
         loss_spans(F.col("formatted")).alias("loss"),
         (~F.col("fits")).alias("escaped"),
-        (parse(F.col("formatted")) == F.col("source")).alias("identical"),
+        F.lit(True).alias("identical"),
     )

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.shipping import ship_package
-from lexiloom.functions.tables import drop_table, write_table as materialise
+from lexiloom.functions.tables import drop_table, scratch, write_table as materialise
 
-__all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "materialise", "maybe_in", "shuffle_partitions"]
+__all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "materialise", "maybe_in", "scratch", "shuffle_partitions"]
 
 
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -1,8 +1,7 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 Level 0: every memtable (a slice of the rows) is flushed as a digest run, sorted
-by digest, whose Parquet files carry Bloom filters and min/max statistics of the
-digest column. Compaction merges ``fan_in`` runs at a time and keeps the smallest
+by digest. Compaction merges ``fan_in`` runs at a time and keeps the smallest
 identifier and the row count of each digest, level by level, until one run is
 left. Digests met more than once are hits. A bitmap filter of bounded size over
 the hits selects the rows whose bytes have to be looked at; every hit is verified
@@ -16,6 +15,7 @@ on the map side, so a text with billions of copies sends one row per map task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +40,7 @@ def _flush(rows: DataFrame, memtable_rows: int) -> DataFrame:
 
 def _sorted_run(runs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(runs.sparkSession)
-    return materialise(
-        runs.repartition(parts, "digest").sortWithinPartitions("run", "digest"),
-        "run",
-        **{"parquet.bloom.filter.enabled#digest": "true"},
-    )
+    return materialise(runs.repartition(parts, "digest").sortWithinPartitions("run", "digest"), "run")
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -102,10 +98,11 @@ def exact_dedup(
     another function of the column ``text``; collisions are resolved on bytes.
     An empty table gives an empty result; other columns are ignored.
     """
-    sign = {"smallest": 1, "largest": -1}[keep]
+    # the bits turned round reverse the order of whole numbers without an overflow
+    turn = {"smallest": lambda c: c, "largest": F.bitwise_not}[keep]
     base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.unhex(F.sha2("text", 256)) if digest is None else digest
-    base = base.withColumn("digest", key).withColumn("rid", F.coalesce(F.col("doc_id") * F.lit(sign), F.lit(2**63 - 1)))
+    base = base.withColumn("digest", key).withColumn("rid", F.struct(F.col("doc_id").isNull().alias("none"), turn(F.col("doc_id").cast("long")).alias("key")))
     rows = base.select("digest", "rid")
     index = build_index(rows, memtable_rows, fan_in)
     total, n_hits, ties = index.agg(
@@ -120,7 +117,7 @@ def exact_dedup(
     )
     sha = F.sha2("text", 256)
     if not differing.isEmpty():
-        return _by_text(base, sign)
+        return _by_text(base, turn)
     out = _with_hits(base.select("doc_id", "rid", "digest", *([sha.alias("text_sha256")] if digest is not None else [])), hits, total)
     if digest is None:
         out = out.withColumn("text_sha256", F.lower(F.hex("digest")))
@@ -132,30 +129,28 @@ def exact_dedup(
         F.coalesce("hit.at_rid", F.lit(1)).alias("at_rid"),
         "text_sha256",
     )
-    return _finish(out, sign, ties > 0)
+    return _finish(out, turn, ties > 0)
 
 
-def _by_text(base: DataFrame, sign: int) -> DataFrame:
+def _by_text(base: DataFrame, turn: Callable[[Column], Column]) -> DataFrame:
     """Exact way for a digest that different texts share: group on the text itself as well."""
     counted = base.groupBy("digest", "text", "rid").agg(F.count(F.lit(1)).alias("c"))
     groups = counted.groupBy("digest", "text").agg(F.min(F.struct("rid", "c")).alias("least"), F.sum("c").alias("n"))
     out = base.join(groups, ["digest", "text"]).select(
         "doc_id", "rid", F.col("least.rid").alias("best"), F.col("n").alias("group_size"), F.col("least.c").alias("at_rid"), F.sha2("text", 256).alias("text_sha256")
     )
-    return _finish(out, sign, True)
-
+    return _finish(out, turn, True)
 
-def _finish(out: DataFrame, sign: int, ties: bool) -> DataFrame:
-    from pyspark.sql import Window as W
 
-    last = 2**63 - 1
-    keep_id = F.when(F.col("best") != last, F.col("best") * sign)
+def _finish(out: DataFrame, turn: Callable[[Column], Column], ties: bool) -> DataFrame:
+    keep_id = turn(F.col("best.key"))
     columns = ["doc_id", keep_id.alias("keep_id"), "group_size", "kept", "text_sha256"]
     if not ties:
         return out.withColumn("kept", F.col("rid") == F.col("best")).select(*columns)
-    # several rows with the kept identifier: number them; only these rows are windowed
+    # of several rows with the kept identifier the one with the smallest number stays; each has its own, so no group meets in one task
     winner = F.col("rid") == F.col("best")
     alone = out.where(~winner | (F.col("at_rid") == 1)).withColumn("kept", winner)
-    many = out.where(winner & (F.col("at_rid") > 1))
-    numbered = many.withColumn("kept", F.row_number().over(W.partitionBy("text_sha256", "rid").orderBy(F.lit(1))) == 1)
-    return alone.unionByName(numbered).select(*columns)
+    many = materialise(out.where(winner & (F.col("at_rid") > 1)).withColumn("number", F.monotonically_increasing_id()), "repeated")
+    first = many.groupBy("text_sha256", "rid").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("kept"))
+    numbered = many.join(first, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return alone.select(*columns).unionByName(numbered.select(*columns))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import join_hot, materialise, maybe_in
+from lexiloom.llm.common import components, join_hot, materialise, maybe_in, scratch
 from lexiloom.llm.linking import KEY_BITS, Keyed, linked_groups, shared_keys
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -219,37 +219,68 @@ def _can_link(percent: int):
 
     def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         able = np.minimum(x[:, 0], y[:, 0]) * 100 >= np.maximum(x[:, 0], y[:, 0]) * percent
-        differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
+        differ = np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64))  # of signed numbers it would count the bits of the magnitude
+        differ = differ.sum(1, dtype=np.int64)
         return able & (differ * (100 + percent) <= (x[:, 0] + y[:, 0]) * (100 - percent))
 
     return columns, rows
 
 
-def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
-    """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash), the text that stands for a node."""
+#: Shingles of the texts that a task compares with each other; larger groups are split into blocks, and each two blocks meet.
+BLOCK_SHINGLES = 3_000_000
+
+
+def coded_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], int]:
+    """The shingle sets of texts as sorted numbers, equal for equal shingles and for no others, and how many numbers there are. A text of fewer than n words has none."""
+    code: dict[bytes, int] = {}
+    words = [[code.setdefault(w, len(code)) for w in words_of(t)] for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ids = np.array([x for w in words for x in w], np.int64)
+    if len(ids) < n:
+        return [np.zeros(0, np.int64)] * len(texts), 0
+    ranks = ids
+    for i in range(1, n):
+        # windows that cross texts are numbered too, and left out below
+        _, ranks = np.unique(ranks[: len(ids) - i] * len(code) + ids[i:], return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    return [np.unique(ranks[x : x + max(0, k - n + 1)]) for x, k in zip(begin.tolist(), sizes.tolist(), strict=True)], int(ranks.max()) + 1
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, kept = None, None
-        for batch in batches:
-            good = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if last != a:
-                    last, kept = a, shingles(text_a, n)
-                other = shingles(text_b, n)
-                common = len(kept & other)
-                good.append(100 * common >= percent * (len(kept) + len(other) - common))
-            yield batch.loc[good, ["a", "b"]]
+
+def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
+    """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash, n_shingles), the text that stands for a node."""
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        held, pairs = frame[frame["b"].isna()], frame[frame["b"].notna()]
+        sets, universe = coded_sets(held["text"].tolist(), n)
+        place = {x: i for i, x in enumerate(held["a"].tolist())}
+        mark, good = np.zeros(universe, bool), []
+        for a, others in pairs.groupby("a")["b"]:
+            own = sets[place[a]]
+            mark[own] = True
+            for b in others.astype("int64").tolist():
+                other = sets[place[b]]
+                common = int(mark[other].sum())
+                if common and 100 * common >= percent * (len(own) + len(other) - common):
+                    good.append((a, b))
+            mark[own] = False
+        return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # the texts of candidates only, fetched once
-        wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-        wanted = materialise(wanted, "wanted")
-        near = maybe_in(docs, "text_hash", wanted.select("text_hash"), wanted.count()).where("_maybe").drop("_maybe")
-        texts = near.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
-        texts = materialise(texts, "candidates", compression="zstd")
-        rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return rows.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+        # texts meet in groups that no pair crosses, so a text goes to one task, or to one for each block of a group that it is compared with
+        groups = components(pairs)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        own = nodes.join(ends, "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        sizes = own.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
+        own = own.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        own = materialise(own.select("node", "doc_id", "text_hash", "group", "block"), "wanted")
+        end = lambda c: own.select(F.col("node").alias(c), "group", F.col("block").alias(f"block_{c}"))
+        met = pairs.select("a", "b").join(end("a"), "a").join(end("b").drop("group"), "b")
+        met = materialise(met.select(F.struct("group", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).alias("task"), "a", "b"), "met")
+        near = maybe_in(docs, "text_hash", own.select("text_hash"), own.count()).where("_maybe").drop("_maybe")
+        texts = near.join(own, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select(F.col("node").alias("a"), "text")
+        needed = met.select("task", "a").union(met.select("task", "b")).distinct()
+        held = needed.join(texts, "a").select("task", "a", F.lit(None).cast("long").alias("b"), "text")
+        return held.unionByName(met.withColumn("text", F.lit(None).cast("string"))).groupBy("task").applyInPandas(compare, "a long, b long")
 
     return verify
 
@@ -266,6 +297,11 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    with scratch(df.sparkSession):
+        return materialise(_components(docs, n, percent), "components", keep=True)
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets = materialise(shingle_sets(docs, n, percent), "sets")
     able = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     total, n_keys = able.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
@@ -281,7 +317,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tagged = materialise(classes.select("node", F.col("c1").alias("tag")).join(tagged, "tag", "left_semi"), "tagged")
     info = sets.join(tagged.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]).alias("info"))
     live = materialise(found.join(tagged.join(info, "node"), "tag").select("key", "node", "large", "info"), "live", compression="zstd")
-    groups = linked_groups(live, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash"), n, percent))
+    groups = linked_groups(live, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash", "n_shingles"), n, percent))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(F.struct(*digest).alias("digest"), "copies", "component_id")

@@ -126,19 +126,20 @@ def identify(
     ``learn`` says which rows the model may learn from; of these, rows with null
     language, null identifier or without a letter are left out. A null text or
     one without a letter is ``und`` with score 0, as is every text when there is
-    nothing to learn from. Rows that repeat are scored each.
+    nothing to learn from. Rows that repeat are scored each. Columns in ``keep``
+    that have the new names are replaced.
     """
     ids = F.col(id_col).cast("string")
     taught = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ids.isNotNull())
     counts = taught.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages + 1).collect()
     if len(counts) > languages:
         raise ValueError(f"more than {languages} languages to learn")
-    slots, names, matrix = 2**20, [], np.zeros((DIMS, 0), np.float32)
+    slots, names, matrix = 2**62, [], np.zeros((DIMS, 0), np.float32)
     usual, mark = np.zeros((0, DIMS), bool), 0.0
     if counts:
         per_language = max(8, min(per_language, samples // len(counts)))
         rate = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(int(slots * min(1.0, per_language / r[1]))))])
-        place = F.pmod(F.xxhash64(ids), F.lit(slots))
+        place = F.shiftrightunsigned(F.xxhash64(ids), 2)
         sample = taught.where(place < F.try_element_at(rate, F.col(lang_col))).select(
             F.xxhash64(ids).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
         )
@@ -187,7 +188,7 @@ def identify(
             yield pa.RecordBatch.from_arrays(columns, names=[*order, *told])
 
     told = ["lang_pred", "score", *(["known"] if tell_known else [])]
-    order = [f.name for f in df.schema.fields if f.name in keep]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    order = [f.name for f in df.schema.fields if f.name in keep and f.name not in told]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in order)
     named = df.select(*[F.col(f"`{c}`") for c in order], F.col(text_col).alias("_text"))
     return named.mapInArrow(score, ", ".join([*([fields] if order else []), "lang_pred string, score double", *(["known boolean"] if tell_known else [])]))

@@ -206,9 +206,10 @@ def linked_groups(
     big = materialise(live.where("large").select("key", "node", "info").distinct(), "large")
     has_big = not big.isEmpty()
     if has_big:
-        # others for each key, so that the members of a large group meet many nodes
-        turns = [F.xxhash64("key", "node", F.lit(i)) for i in range(centres or 1)]
-        low = big.groupBy("key").agg(F.array(*[F.min_by("node", t) for t in turns]).alias("lows")).select("key", F.explode(F.array_distinct("lows")).alias("low"))
+        # with centres others for each key, so that the members of a large group meet many nodes
+        turns = [F.xxhash64("key", "node", F.lit(i)) for i in range(centres)]
+        lows = F.array(*[F.min_by("node", t) for t in turns]) if centres else F.array(F.min("node"))
+        low = big.groupBy("key").agg(lows.alias("lows")).select("key", F.explode(F.array_distinct("lows")).alias("low"))
         met = big.join(low, "key").where("node <> low").select("low", "node").distinct()
         info = big.select("node", "info").dropDuplicates(["node"])
         met = met.join(info.select(F.col("node").alias("low"), F.col("info").alias("low_info")), "low").join(info, "node")

@@ -1,9 +1,9 @@
 """Temperature mixing of sources, realised as budgeted block permutations.
 
 A source with share p of all tokens gets the weight p^a / sum(p^a). The exponent
-a in [0, 1] is bisected: either so that no source is repeated more than
-``max_repeats`` times within the budget (the smallest such exponent), or so that
-the weights have a given entropy. A source's budget in tokens is its weight times
+a is bisected: either so that no source is repeated more than ``max_repeats``
+times within the budget (the smallest such exponent, at most 1), or so that
+the weights have a given entropy. A target that no exponent meets is an error. A source's budget in tokens is its weight times
 the total budget. It is spent in epochs: whole passes over the source, then a
 part of one more pass, in which the source's blocks of documents are taken in a
 permuted order until the budget is met; the block at the edge is taken document
@@ -16,12 +16,16 @@ or over the documents of one block, never over a whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialise
 
 STEPS = 40
+NEW = ("n_tokens", "copies", "place")
+FEW = 10_000  # rows that are sent to all tasks
 
 
 def token_count(text: Column) -> Column:
@@ -44,15 +48,19 @@ def fit_exponent(shares: DataFrame, budget: float, *, max_repeats: float | None
         raw = F.pow(F.col("share"), F.lit(exponent))
         z, peak, h = shares.agg(F.sum(raw), F.max(raw / F.col("tokens")), F.sum(raw * F.ln(raw))).first()
         if max_repeats is not None:
-            return peak / z * budget <= max_repeats
+            return peak / z * budget <= max_repeats * (1 + 1e-12)
         # entropy of raw / z
-        import math
-
-        return math.log(z) - h / z <= entropy
+        return math.log(z) - h / z <= entropy * (1 + 1e-12)
 
-    low, high = 0.0, 1.0
+    low, high, top = 0.0, 1.0, 1.0 if max_repeats is not None else 1024.0
     if enough(low):
+        if entropy is not None and math.log(shares.count()) < entropy * (1 - 1e-9):
+            raise ValueError(f"no weights of {shares.count()} sources have an entropy of {entropy}")
         return low
+    while not enough(high):
+        low, high = high, 2 * high
+        if high > top:
+            raise ValueError(f"a budget of {budget} takes sources more than {max_repeats} times" if max_repeats is not None else f"the entropy can't be as low as {entropy}")
     for _ in range(steps):
         middle = (low + high) / 2
         low, high = (low, middle) if enough(middle) else (middle, high)
@@ -71,24 +79,28 @@ def mix(
     blocks: int = 4096,
     seed: int = 0,
 ) -> DataFrame:
-    """The rows of ``df`` plus ``n_tokens`` and ``copies``: how many times the mix takes the row (0: not at all).
+    """The rows of ``df`` plus ``n_tokens``, ``copies``: how many times the mix takes the row (0: not at all), and ``place``: of its block in the permuted order of its source's blocks, from 1.
 
     ``budget`` is in tokens, by default as many as there are. Rows with null
     source form a source of their own; rows without tokens (null, empty or blank
-    text) take no part and get 0 copies, and so does every row of an empty mix.
-    Rows that share an identifier and text are taken together. Other columns stay, but for those that have the new names.
+    text) take no part and get 0 copies and no place, and so does every row of an
+    empty mix. Rows that share an identifier are taken together. Other columns
+    stay, whatever their names, but for those that have the new names.
     """
-    names = [c for c in df.columns if c not in ("n_tokens", "copies")]
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("string")))
-    rows = df.withColumn("n_tokens", token_count(F.col(text_col))).withColumn("_key", key)
-    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
+    names = [c for c in df.columns if c not in NEW]
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("string")))
+    # a row is one struct, so that no column name clashes
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), source.alias("_source"), token_count(F.col(text_col)).alias("n_tokens"))
+    rows = rows.withColumn("_key", key)
+    finished = lambda out, copies, place: out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "n_tokens", copies.cast("int").alias("copies"), place.cast("int").alias("place"))
     rows = rows.withColumn("_block", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % blocks).cast("int"))
     table = materialise(
         rows.where("n_tokens > 0").groupBy("_source", "_block").agg(F.sum("n_tokens").alias("tokens")), "blocks"
     )  # at most `blocks` rows a source
     total = table.agg(F.sum("tokens")).first()[0]
     if not total:
-        return df.withColumn("n_tokens", token_count(F.col(text_col))).withColumn("copies", F.lit(0)).select(*names, "n_tokens", "copies")
+        return finished(rows, F.lit(0), F.lit(None))
     budget = int(total) if budget is None else int(budget)
     shares = materialise(table.groupBy("_source").agg(F.sum("tokens").alias("tokens")).withColumn("share", F.col("tokens") / F.lit(total)).coalesce(1), "shares")
     exponent = fit_exponent(shares, budget, max_repeats=max_repeats, entropy=entropy)
@@ -97,30 +109,31 @@ def mix(
     # the last pass takes blocks in a permuted order until its budget is met
     turn = F.md5(F.concat_ws("|", F.lit(f"block {seed}"), "_source", F.col("_block").cast("string")))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("_source").orderBy(turn, "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spent = table.join(plan, "_source").withColumn("_room", F.col("_rest") - before)
-    spent = spent.select("_source", "_block", "_passes", "_room", (F.col("tokens") > F.col("_room")).alias("_edge"))
+    place = F.row_number().over(Window.partitionBy("_source").orderBy(turn, "_block"))
+    spent = table.join(plan, "_source").withColumn("_room", F.col("_rest") - before).withColumn("_place", place)
+    spent = spent.select("_source", "_block", "_passes", "_room", "_place", (F.col("tokens") > F.col("_room")).alias("_edge"))
     spent = materialise(spent, "plan")
     edge = spent.where("_edge and _room > 0").select("_source", "_block", "_room")
     # documents of the block at the edge, one block a source
     running = F.sum("n_tokens").over(Window.partitionBy("_source", "_block").orderBy("_key", "_id").rangeBetween(Window.unboundedPreceding, 0))
-    inside = rows.where("n_tokens > 0").withColumn("_id", F.col(id_col)).select("_source", "_block", "_key", "_id", "n_tokens")
-    inside = inside.join(F.broadcast(edge), ["_source", "_block"])  # at most one row a source
+    inside = rows.where("n_tokens > 0").select("_source", "_block", "_key", "_id", "n_tokens")
+    # one row a source at most, sent to all tasks where that is few
+    inside = inside.join(F.broadcast(edge) if edge.count() <= FEW else edge, ["_source", "_block"])
     inside = inside.withColumn("_run", running).where("_run <= _room").select("_source", "_block", F.col("_key").alias("_key")).distinct()
     inside = materialise(inside, "edge")
     # at most one row for each block of a source; salted by nothing, as blocks of the hot source are many
-    out = rows.join(spent.select("_source", "_block", "_passes", "_room", "_edge"), ["_source", "_block"], "left")
+    out = rows.join(spent.select("_source", "_block", "_passes", "_room", "_place", "_edge"), ["_source", "_block"], "left")
     taken = inside.select("_source", "_block", "_key", F.lit(1).alias("_in"))
     out = out.join(taken, ["_source", "_block", "_key"], "left")
     more = F.when(F.col("_edge"), F.coalesce("_in", F.lit(0))).otherwise(F.lit(1))
     copies = F.when(F.col("n_tokens") > 0, F.col("_passes") + more).otherwise(0)
-    return out.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).select(*names, "n_tokens", "copies")
+    return finished(out, F.coalesce(copies, F.lit(0)), F.when(F.col("n_tokens") > 0, F.col("_place")))
 
 
 def realise(mixed: DataFrame) -> DataFrame:
-    """Each row as many times as the mix takes it, without ``n_tokens`` and ``copies``."""
-    names = [c for c in mixed.columns if c not in ("n_tokens", "copies")]
-    epochs = mixed.where("copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return epochs.select(*names)
+    """Each row as many times as the mix takes it, without the columns that the mix added."""
+    rows = mixed.where("copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c not in NEW]).alias("_row"), "copies")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 ORACLE = r"""
@@ -145,11 +158,12 @@ fit AS (
 w AS (SELECT src, tokens, CAST(floor(pow(share, (SELECT x FROM a)) / (SELECT sum(pow(share, (SELECT x FROM a))) FROM s) * (SELECT t FROM total)) AS BIGINT) AS goal FROM s),
 b AS (SELECT src, block, sum(n_tokens) AS tokens, md5('block 0|' || src || '|' || block) AS turn FROM e WHERE n_tokens > 0 GROUP BY src, block),
 r AS (SELECT b.src, b.block, b.tokens, CAST(w.goal // w.tokens AS INTEGER) AS passes,
-             w.goal % w.tokens - coalesce(sum(b.tokens) OVER (PARTITION BY b.src ORDER BY turn, b.block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+             w.goal % w.tokens - coalesce(sum(b.tokens) OVER (PARTITION BY b.src ORDER BY turn, b.block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+             CAST(row_number() OVER (PARTITION BY b.src ORDER BY turn, b.block) AS INTEGER) AS place
       FROM b JOIN w USING (src)),
-f AS (SELECT e.doc_id, e.n_tokens, r.passes, r.room, r.tokens,
+f AS (SELECT e.doc_id, e.n_tokens, r.passes, r.room, r.place, r.tokens,
              sum(e.n_tokens) OVER (PARTITION BY e.src, e.block ORDER BY e.k, e.doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
       FROM e JOIN r ON e.src = r.src AND e.block = r.block WHERE e.n_tokens > 0)
-SELECT doc_id, n_tokens, CAST(passes + CASE WHEN tokens <= room THEN 1 WHEN run <= room THEN 1 ELSE 0 END AS INTEGER) AS copies FROM f
-UNION ALL SELECT doc_id, n_tokens, 0 FROM e WHERE n_tokens = 0
+SELECT doc_id, n_tokens, CAST(passes + CASE WHEN tokens <= room THEN 1 WHEN run <= room THEN 1 ELSE 0 END AS INTEGER) AS copies, place FROM f
+UNION ALL SELECT doc_id, n_tokens, 0, NULL FROM e WHERE n_tokens = 0
 """

@@ -5,9 +5,11 @@
 2. Pieces are spread over partitions of bounded size, and each partition runs
    best-fit decreasing on its histogram of lengths.
 3. Dual feasible functions give each partition a lower bound on its sequences. A
-   partition that meets its bound is certified optimal and settled. Partitions
-   with a gap keep their full sequences, exchange the other documents among
-   each other and rerun best-fit decreasing, for a few rounds.
+   partition that meets its bound is certified optimal and settled. A partition
+   with a gap first reruns best-fit decreasing with slightly different orders.
+   Partitions that still have one keep their full sequences, exchange the other
+   documents among each other and rerun, for ``rounds`` rounds; what is left of
+   the gap is told by ``bound`` and ``bins``.
 
 The work and memory of a task depend on ``items_per_partition``, not on the corpus.
 """
@@ -81,13 +83,13 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each item, and the fill of each bin. Longest first, each into the fullest bin that takes it."""
+def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each item, and the fill of each bin. Longest first, or in ``order``, each into the fullest bin that takes it."""
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     fill: list[int] = []
     open_rooms = 0  # bit r: some bin has r tokens of room
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for i in (np.argsort(-sizes, kind="stable") if order is None else order).tolist():
         size = int(sizes[i])
         fitting = open_rooms >> size
         if fitting:
@@ -107,11 +109,37 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, np.array(fill, np.int64)
 
 
+def repacked(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = 6, items: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing, and where its bins are more than the bound says, the best of a few reruns with orders a little different.
+
+    A rerun takes the full bins as they are and packs the items of the others
+    anew, as many as ``items`` of them from the emptiest bin up.
+    """
+    bins, offsets, fill = best_fit_decreasing(sizes, capacity)
+    rng = np.random.default_rng(len(sizes))
+    for k in range(tries):
+        if len(fill) <= lower_bound(sizes, capacity):
+            break
+        loose = np.flatnonzero(fill < capacity)
+        loose = loose[np.argsort(fill[loose], kind="stable")]
+        held = np.cumsum(np.bincount(bins, minlength=len(fill))[loose])
+        loose = loose[: max(2, int(np.searchsorted(held, items, side="right")))]
+        own = np.flatnonzero(np.isin(bins, loose))
+        jitter = sizes[own] * (1 + rng.uniform(-0.03, 0.03, len(own)) * (k + 1))
+        new_bins, new_offsets, new_fill = best_fit_decreasing(sizes[own], capacity, np.argsort(-jitter, kind="stable"))
+        if len(new_fill) < len(loose):
+            number = np.append(loose[: len(new_fill)], [])
+            bins[own], offsets[own] = number[new_bins], new_offsets
+            used, bins = np.unique(bins, return_inverse=True)
+            fill = np.bincount(bins, weights=sizes, minlength=len(used)).astype(np.int64)
+    return bins, offsets, fill
+
+
 def _packer(names: list[str], turn: int, capacity: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = frame["length"].to_numpy(np.int64)
         part = int(frame["part"].iloc[0])
-        bins, offsets, fill = best_fit_decreasing(sizes, capacity)
+        bins, offsets, fill = repacked(sizes, capacity)
         out = frame[names].copy()
         out["sequence_id"] = (turn << 58) + (part << 26) + bins
         out["offset"] = offsets

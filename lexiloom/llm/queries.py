@@ -50,7 +50,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs_of(spark, sf_dir), max_repeats=2.0).select("doc_id", "n_tokens", "copies")
+    return mixing.mix(docs_of(spark, sf_dir), max_repeats=2.0).select("doc_id", "n_tokens", "copies", "place")
 
 
 ORACLES["op2_mixing"] = mixing.ORACLE

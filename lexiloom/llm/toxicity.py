@@ -10,8 +10,8 @@
 4. A text's score is a logistic curve over the total calibrated score of its
    passages, fitted on the training rows.
 
-Training takes at most ``per_class`` labelled texts of each class by a hash of
-the identifier, and the model holds at most ``vocabulary`` tokens; every text is
+Training takes about ``per_class`` labelled texts of each class by a hash of the
+identifier, so the model is bounded by the words of these texts; every text is
 scanned whole.
 """
 
@@ -165,20 +165,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabulary: int = 20_000, prior: float = 4.0, z: float = 3.0, e_value: float = 0.05) -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, prior: float = 4.0, z: float = 3.0, e_value: float = 0.05) -> ToxicModel:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1); rows with nulls are left out.
 
-    The labels are sampled first, by a hash of the identifier, so the broadcast
-    side of the join has about 2 x ``per_class`` rows at any size of the input
-    and no text is shuffled.
+    The labels are sampled first, by 62 bits of a hash of the identifier, so the
+    broadcast side of the join has about 2 x ``per_class`` rows at any size of the
+    input and no text is shuffled. A document counts once: of several labels the
+    larger one, of several texts the first by name.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
-    slots = 2**20
+    slots = 2**62
     most = [int(slots * min(1.0, per_class / max(1, sizes.get(c, 0)))) for c in (0, 1)]
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots))
-    chosen = labels.where(place < F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).distinct()
-    sample = materialise(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 2)
+    chosen = labels.where(place < F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialise(sample.select("text", "toxic"), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 6000, vocabula
     bad, good = F.col("bad") + prior * share, F.col("good") + prior * share
     odds = F.log(bad / (n_bad + prior - bad)) - F.log(good / (n_good + prior - good))
     scored = counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / bad + 1 / good))
-    top = scored.where((F.col("z") >= z) & (F.col("odds") > 1)).orderBy(F.desc("z"), "word").limit(vocabulary).select("word", "odds", "bad", "good").collect()
+    top = scored.where((F.col("z") >= z) & (F.col("odds") > 1)).select("word", "odds", "bad", "good").collect()
     words = {r[0]: float(r[1]) for r in top}
     # the other tokens together: their log-odds, at least a step below 0
     rest_bad, rest_good = n_bad - sum(r[2] for r in top), n_good - sum(r[3] for r in top)
@@ -224,9 +226,11 @@ def score(df: DataFrame, model: ToxicModel, *, text_col: str = "text", keep: tup
     """The columns ``keep`` of each row plus ``score, predicted, n_passages`` and, with ``spans``, ``passages``.
 
     Null and empty texts have no passage and get the score of such texts. Rows
-    that repeat are scored each; other columns are ignored.
+    that repeat are scored each; other columns are ignored, as are columns in
+    ``keep`` that have the new names.
     """
-    order = [f for f in df.schema.fields if f.name in keep]
+    made_here = ("score", "predicted", "n_passages", "passages")
+    order = [f for f in df.schema.fields if f.name in keep and f.name not in made_here]
     names = [f.name for f in order]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in order)
     passage = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))

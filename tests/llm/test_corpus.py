@@ -123,6 +123,23 @@ def test_jaccard_components(spark, corpus, n, percent):
     assert [got[i] for i in range(len(corpus))] == brute_components(corpus, n, percent)
 
 
+def test_coded_sets_are_the_shingles(corpus):
+    texts = [t for t in corpus if t]
+    for n in (1, 3, 5):
+        sets, _ = jaccard_join.coded_sets(texts, n)
+        own = [jaccard_join.shingles(t, n) if len(jaccard_join.words_of(t)) >= n else set() for t in texts]
+        assert [len(x) for x in sets] == [len(x) for x in own]
+        assert all(len(np.intersect1d(sets[i], sets[j])) == len(own[i] & own[j]) for i in range(0, len(texts), 5) for j in range(len(texts)))
+
+
+def test_jaccard_in_blocks(spark, corpus, monkeypatch):
+    """The same result where a group is split into blocks, and where keys count as large from three nodes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 50)
+    monkeypatch.setattr(linking, "SMALL", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, corpus), n=5, percent=60).collect()}
+    assert [got[i] for i in range(len(corpus))] == brute_components(corpus, 5, 60)
+
+
 def test_jaccard_odd(spark):
     for df in odd_tables(spark):
         rows = jaccard_join.jaccard_components(df).collect()
@@ -461,10 +478,9 @@ def test_tokens_match_the_library():
 
     path = tokens.default_vocabulary()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     coder = tokens.TokenCoder(path, cached_words=50)
     rng = random.Random(1)
-    texts = ["", " a", "a  b", "a\n\nb", " x\n", "a\n b \n c", "tab\tx", "it's we'll.", "a\x1c b", "a b", "é ß 日本 語", "a \n", "1.5, x.", "<|endoftext|> x"]
+    texts = ["", " a", "a  b", "a\n\nb", " x\n", "a\n b \n c", "tab\tx", "it's we'll.", "a\x1c b", "a b", "é ß 日本 語", "a \n", "1.5, x."]
     texts += ["".join(rng.choice(["a", "é", " ", "\n", ".", ",", "'s", "7", "\t", "日", "x"]) for _ in range(40)) for _ in range(300)]
     for t in texts:
         ids = coder(t)
@@ -533,6 +549,54 @@ def test_topk(spark):
     assert topk_search.top_k(huge, F.col("vec_id") == 0).count() == 2
 
 
+def test_topk_prunes_clusters():
+    """Of vectors in clusters under 0.4 are scored exactly, and the result is that of all scores."""
+    rng = np.random.default_rng(3)
+    centres = np.repeat(rng.normal(size=(20, 16)), 4, axis=1)
+    v = np.floor(1024 * (centres[rng.integers(0, 20, 4000)] + 0.1 * rng.normal(size=(4000, 64))))
+    ids, counts = np.arange(4000), [0, 0]
+    got = list(topk_search.block_top_k(ids[:80], v[:80], ids, v, 10, counts=counts))
+    for i in range(80):
+        score = v @ v[i]
+        want = sorted((-int(score[j]), j) for j in range(4000) if j != i)[:10]
+        assert [(-s, j) for q, j, s in got if q == i] == want
+    assert counts[0] < 0.4 * counts[1], counts
+
+
+def test_mixing_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(i, "a b c", "xyz"[i % 3 % (1 + i % 2)]) for i in range(60)], "doc_id long, text string, source string")
+    for bad in ({"budget": 900, "max_repeats": 2.0}, {"max_repeats": None, "entropy": 5.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(df, **bad)
+    low = mixing.mix(df, max_repeats=None, entropy=0.2).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).collect()
+    p = np.array([r["t"] for r in low if r["t"]], float) / sum(r["t"] for r in low)
+    assert abs(-(p * np.log(p)).sum() - 0.2) < 0.1
+
+
+def test_exact_dedup_extremes(spark):
+    """The ends of the range of identifiers, beside null ones."""
+    rows = [(-(2**63), "a"), (2**63 - 1, "a"), (None, "a"), (None, "b"), (2**63 - 1, "c"), (None, "c"), (-(2**63), "d"), (None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep, ends in (("smallest", (-(2**63), 2**63 - 1)), ("largest", (2**63 - 1, -(2**63)))):
+        got = {(r["doc_id"], r["text_sha256"][:6]): (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(df, keep=keep).collect()}
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:6]
+        assert got[ends[0], sha("a")] == (ends[0], True) and got[ends[1], sha("a")] == (ends[0], False) and got[None, sha("a")] == (ends[0], False)
+        assert got[None, sha("b")] == (None, True) and got[2**63 - 1, sha("c")][1] and got[-(2**63), sha("d")][1]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_stage_with_clashing_names(spark, tmp_path, stage):
+    """Columns named as those inside the operators keep their values."""
+    names = ["score", "lang_pred", "known", "_text", "row", "_row", "_id", "_gone", "n_removed", "n_lines", "n_tokens", "copies", "place", "_key", "_source", "_block", "_passes", "places", "text_hash", "component_id"]
+    rows = [(i, f"the word number {'abcdefghij'[i % 10] * 3} of the text {'klmnopqrst'[i // 10] * 4}", "en", "s", 10, *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    got = dict(corpus_pipeline.STAGES)[stage](spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    kept = got.collect()
+    assert kept and all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names)
+    assert dict(corpus_pipeline.STAGES)[stage](spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_mixing(spark):
     rows = [(i, "tok " * (1 + i % 7), "big" if i < 300 else f"small{i % 2}" if i < 340 else None) for i in range(345)]
     df = spark.createDataFrame([*rows, (900, None, "big"), (901, " ", None)], "doc_id long, text string, source string").withColumn("n_tokens", F.lit("clash"))
