@@ -227,7 +227,7 @@ def _can_link(percent: int):
 
 
 #: Shingles of the texts that a task compares with each other; larger groups are split into blocks, and each two blocks meet.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 
 
 def coded_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], int]:
@@ -250,14 +250,14 @@ def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
     """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash, n_shingles), the text that stands for a node."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        held, pairs = frame[frame["b"].isna()], frame[frame["b"].notna()]
+        held, pairs = frame[frame["b"] < 0], frame[frame["b"] >= 0]  # nodes count from 0
         sets, universe = coded_sets(held["text"].tolist(), n)
         place = {x: i for i, x in enumerate(held["a"].tolist())}
         mark, good = np.zeros(universe, bool), []
         for a, others in pairs.groupby("a")["b"]:
             own = sets[place[a]]
             mark[own] = True
-            for b in others.astype("int64").tolist():
+            for b in others.tolist():
                 other = sets[place[b]]
                 common = int(mark[other].sum())
                 if common and 100 * common >= percent * (len(own) + len(other) - common):
@@ -275,11 +275,11 @@ def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
         own = materialise(own.select("node", "doc_id", "text_hash", "group", "block"), "wanted")
         end = lambda c: own.select(F.col("node").alias(c), "group", F.col("block").alias(f"block_{c}"))
         met = pairs.select("a", "b").join(end("a"), "a").join(end("b").drop("group"), "b")
-        met = materialise(met.select(F.struct("group", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).alias("task"), "a", "b"), "met")
+        met = materialise(met.select(F.xxhash64("group", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("task"), "a", "b"), "met")
         near = maybe_in(docs, "text_hash", own.select("text_hash"), own.count()).where("_maybe").drop("_maybe")
         texts = near.join(own, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select(F.col("node").alias("a"), "text")
         needed = met.select("task", "a").union(met.select("task", "b")).distinct()
-        held = needed.join(texts, "a").select("task", "a", F.lit(None).cast("long").alias("b"), "text")
+        held = needed.join(texts, "a").select("task", "a", F.lit(-1).cast("long").alias("b"), "text")
         return held.unionByName(met.withColumn("text", F.lit(None).cast("string"))).groupBy("task").applyInPandas(compare, "a long, b long")
 
     return verify
@@ -316,8 +316,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tagged = materialise(found.select("tag").distinct(), "tags")
     tagged = materialise(classes.select("node", F.col("c1").alias("tag")).join(tagged, "tag", "left_semi"), "tagged")
     info = sets.join(tagged.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]).alias("info"))
-    live = materialise(found.join(tagged.join(info, "node"), "tag").select("key", "node", "large", "info"), "live", compression="zstd")
-    groups = linked_groups(live, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash", "n_shingles"), n, percent))
+    tagged = materialise(tagged.join(info, "node"), "nodes")
+    groups = linked_groups(found, tagged, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash", "n_shingles"), n, percent))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(F.struct(*digest).alias("digest"), "copies", "component_id")

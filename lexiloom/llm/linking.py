@@ -187,23 +187,23 @@ def _close_pairs(fields: int, may_link: Callable[[np.ndarray, np.ndarray], np.nd
 
 
 def linked_groups(
-    live: DataFrame, may_link: Callable[[Column, Column], Column], may_link_rows: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], *, centres: int = 0
+    found: DataFrame, nodes: DataFrame, may_link: Callable[[Column, Column], Column], may_link_rows: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], *, centres: int = 0
 ) -> DataFrame:
     """``(node, component)`` of every node that is linked and isn't its component's smallest.
 
-    ``live``: (key, node, large, info), a written table; ``info`` is a struct of
-    whole numbers, the same in all rows of a node.
+    ``found``: (key, tag, large) and ``nodes``: (tag, node, info), written tables; a
+    tag may stand for several nodes, and ``info`` is a struct of whole numbers.
     ``may_link``: from two infos, false only for pairs that can't be linked;
     ``may_link_rows``: the same from two arrays of infos.
     ``verify``: from (a, b) with a < b to the pairs that are linked.
     ``centres``: members of a larger key meet so many nodes of it, others for each
     key, and no more, for keys that are themselves found by chance; 0: all links.
     """
-    fields = [f.name for f in live.schema["info"].dataType.fields]
-    small = live.where("not large").select("key", "node", *[F.col(f"info.{f}").alias(f"info_{f}") for f in fields])
-    small = small.repartition(shuffle_partitions(live.sparkSession), "key").sortWithinPartitions("key")
+    fields = [f.name for f in nodes.schema["info"].dataType.fields]
+    small = found.where("not large").join(nodes, "tag").select("key", "node", *[F.col(f"info.{f}").alias(f"info_{f}") for f in fields])
+    small = small.repartition(shuffle_partitions(found.sparkSession), "key").sortWithinPartitions("key")
     star = small.mapInArrow(_close_pairs(len(fields), may_link_rows), "a long, b long")
-    big = materialise(live.where("large").select("key", "node", "info").distinct(), "large")
+    big = materialise(found.where("large").distinct().join(nodes, "tag").select("key", "node", "info"), "large", compression="zstd")
     has_big = not big.isEmpty()
     if has_big:
         # with centres others for each key, so that the members of a large group meet many nodes
@@ -216,7 +216,7 @@ def linked_groups(
         star = star.unionByName(met.where(may_link(F.col("low_info"), F.col("info"))).select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")))
     star = star.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
     star = materialise(star, "pairs")
-    groups = live.limit(0).select("node", F.col("node").alias("component"))
+    groups = nodes.limit(0).select("node", F.col("node").alias("component"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""

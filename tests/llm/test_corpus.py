@@ -278,10 +278,10 @@ def test_near_line_filter_keeps_near_pairs(spark):
     for pair in rows:
         pair = [line_dedup.normalise(z) or "a" for z in pair]
         made = line_dedup.signatures(pair, 0.9)
-        sketch = line_dedup.sketches(made, pair, 0.9).tolist()
+        sketch = line_dedup.sketches(made).tolist()
         near = levenshtein(*pair) <= line_dedup.most_edits(max(map(len, pair)), 0.9)
         data.append((*((len(z), *k) for z, k in zip(pair, sketch, strict=True)), near))
-    info = "struct<chars:int," + ",".join(f"s{i}:long" for i in range(2 * line_dedup.NIBBLES)) + ">"
+    info = "struct<chars:int," + ",".join(f"s{i}:long" for i in range(line_dedup.NIBBLES)) + ">"
     columns, arrays = line_dedup.may_be_near(0.9)
     df = spark.createDataFrame(data, f"x {info}, y {info}, near boolean").withColumn("may", columns(F.col("x"), F.col("y"))).cache()
     assert [r["may"] for r in df.collect()] == arrays(np.array([r["x"] for r in df.collect()]), np.array([r["y"] for r in df.collect()])).tolist()
