@@ -86,3 +86,26 @@ def glyph_width(c: Column) -> Column:
     """Estimated width of a text in average letters."""
     one = lambda x: F.when(F.lit(NARROW).contains(x), 0.67).when(F.lit(WIDE).contains(x), 1.33).otherwise(1.0)
     return F.aggregate(F.split(c, ""), F.lit(0.0), lambda acc, x: acc + F.when(x == "", 0.0).otherwise(one(x)))
+
+
+_MARK = r"_[0-9§]+[a-z]?"
+
+
+def strip_sense_markers(label: Column) -> Column:
+    """``{a_§1a; b_§2}`` as ``{a; b}``."""
+    return F.regexp_replace(label, _MARK, "")
+
+
+def synset_indicator(label: Column) -> Column:
+    """``{a_§1a; b_§2}`` as ``a, b``."""
+    return F.replace(F.regexp_replace(strip_sense_markers(label), r"^\{|\}$", ""), F.lit("; "), F.lit(", "))
+
+
+def marked_indicator(label: Column) -> Column:
+    """``{a_§1a; b_§2}`` as ``a §1a, b §2``."""
+    return F.replace(F.replace(F.regexp_replace(label, r"^\{|\}$", ""), F.lit("_"), F.lit(" ")), F.lit("; "), F.lit(", "))
+
+
+def says(values: Column, value: Column) -> Column:
+    """Whether a set of values holds one."""
+    return F.array_contains(values, value)

@@ -1,22 +1,76 @@
-"""Reachability and shortest distances over edge frames, by semi-naive rounds."""
+"""Reachability, shortest distances and depths over edge frames: by walks over few edges, by semi-naive rounds over many."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tables import write_table
 
 
-def distances(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+#: Edges up to which a closure walks from each seed in one task, with all edges sent to the tasks: at most about 100 bytes an edge.
+FEW_EDGES = 500_000
+
+
+def _codes(edges: DataFrame) -> tuple[list[str], dict[int, list[int]]]:
+    """Names of the nodes and, by number, the targets of each source; for at most FEW_EDGES edges."""
+    number: dict[str, int] = {}
+    out: dict[int, list[int]] = {}
+    for src, dst in zip(*(edges.toPandas()[c].tolist() for c in ("src", "dst")), strict=True):
+        out.setdefault(number.setdefault(src, len(number)), []).append(number.setdefault(dst, len(number)))
+    return list(number), out
+
+
+def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node, ancestor, dist)`` from each seed in breadth-first order; dist of the seed itself is 0."""
+    names, out = _codes(edges)
+    number = {n: i for i, n in enumerate(names)}
+    shared = edges.sparkSession.sparkContext.broadcast((names, number, out))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, number, out = shared.value
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            for seed in batch["node"]:
+                level, seen, dist = [number[seed]] if seed in number else [], {number.get(seed)}, 0
+                found[0].append(seed)
+                found[1].append(seed)
+                found[2].append(0)
+                while level:
+                    dist += 1
+                    after = []
+                    for n in level:
+                        for m in out.get(n, ()):
+                            if m not in seen:
+                                seen.add(m)
+                                after.append(m)
+                    found[0].extend([seed] * len(after))
+                    found[1].extend(names[m] for m in after)
+                    found[2].extend([dist] * len(after))
+                    level = after
+                if len(found[0]) > 100_000:
+                    yield pd.DataFrame(dict(zip(("node", "ancestor", "dist"), found, strict=True)))
+                    found = ([], [], [])
+            yield pd.DataFrame(dict(zip(("node", "ancestor", "dist"), found, strict=True)))
+
+    return seeds.mapInPandas(run, "node string, ancestor string, dist int")
+
+
+def distances(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10_000, few: int = FEW_EDGES) -> DataFrame:
     """``(node, ancestor, dist)``: shortest number of edges (src, dst) from each seed, itself included at 0.
 
-    Only newly found pairs are joined in the next round and known ones leave by an
-    anti join, so cycles end. Each round is written, which cuts the lineage.
+    Up to ``few`` edges are sent to the tasks, which walk from their seeds. With
+    more, only newly found pairs are joined in the next round and known ones leave by
+    an anti join, so cycles end; each round is written, which cuts the lineage.
     Without ``seeds`` every source is one.
     """
-    edges = edges.select("src", "dst").distinct()
-    start = edges.select(F.col("src").alias("node")).distinct() if seeds is None else seeds.select("node").distinct()
+    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    start = edges.select(F.col("src").alias("node")).distinct() if seeds is None else seeds.select("node").where("node is not null").distinct()
+    if edges.count() <= few:
+        return _walk(edges, start)
     frontier = write_table(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")), "frontier")
     seen = frontier
     for dist in range(1, max_rounds):
@@ -28,10 +82,16 @@ def distances(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int
     raise RuntimeError("closure did not end")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame | None = None, few: int = FEW_EDGES) -> DataFrame:
     """Distinct ``(src, dst)`` pairs joined by one or more edges; a node on a cycle reaches itself."""
-    edges = edges.select("src", "dst").distinct()
+    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     first = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    if edges.count() <= few:
+        walked = _walk(edges, first.select(F.col("src").alias("node")).distinct()).select(F.col("node").alias("src"), F.col("ancestor").alias("dst"), "dist")
+        walked = write_table(walked, "walked")
+        # a node reaches itself where one that it reaches has an edge back
+        back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        return walked.where("dist > 0").select("src", "dst").unionByName(walked.join(back, ["src", "dst"]).select("src", F.col("src").alias("dst")).distinct())
     frontier = write_table(first, "frontier")
     seen = frontier
     hop = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -43,14 +103,42 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def longest_depths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _depths(names: list[str], out: dict[int, list[int]]) -> list[tuple[str, int]]:
+    """Longest climb of each source along simple paths: in order where the graph has one, path by path in what is left."""
+    waiting = {n: len(ds) for n, ds in out.items()}
+    into: dict[int, list[int]] = {}
+    for n, ds in out.items():
+        for d in ds:
+            into.setdefault(d, []).append(n)
+    depth = dict.fromkeys((n for n in range(len(names)) if n not in out), 0)
+    ready = list(depth)
+    while ready:
+        done = ready.pop()
+        for n in into.get(done, ()):
+            waiting[n] -= 1
+            if not waiting[n]:
+                depth[n] = 1 + max(depth[d] for d in out[n])
+                ready.append(n)
+    rest = {n for n in out if n not in depth}
+
+    def climb(node: int, path: frozenset) -> int:
+        return max((1 + climb(d, path | {d}) if d in rest else 1 + depth[d] for d in out[node] if d not in path), default=0)
+
+    depth.update({n: max(1 + climb(d, frozenset((d,))) if d in rest else 1 + depth[d] for d in out[n]) for n in rest})
+    return [(names[n], depth[n]) for n in out]
+
+
+def longest_depths(edges: DataFrame, max_rounds: int = 10_000, few: int = FEW_EDGES) -> DataFrame:
     """``(node, depth)``: edges on the longest climb from each source along simple paths.
 
-    Acyclic parts are relaxed level by level. What can't be ordered is a cyclic
-    remainder (and what climbs into it); only that remainder is walked path by
-    path on the driver, where a self-loop counts as a climb of one.
+    Up to ``few`` edges are ordered in one task. With more, acyclic parts are relaxed
+    level by level. What can't be ordered is a cyclic remainder (and what climbs into
+    it); only that is walked path by path, in the same way and under the same bound
+    on its edges, beyond which it is an error. A self-loop counts as a climb of one.
     """
-    edges = write_table(edges.select("src", "dst").distinct(), "edges")
+    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    if edges.count() <= few:
+        return edges.sparkSession.createDataFrame(_depths(*_codes(edges)), "node string, depth int")
     known = edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     known = write_table(known.withColumn("depth", F.lit(0)), "depths")
     open_edges = edges
@@ -62,18 +150,22 @@ def longest_depths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             break
         known = known.unionByName(ready)
         open_edges = write_table(open_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-    rest = {}
-    for r in open_edges.collect():  # the cyclic remainder
-        rest.setdefault(r["src"], []).append(r["dst"])
     sources = edges.select(F.col("src").alias("node")).distinct()
-    if not rest:
-        return known.join(sources, "node", "left_semi")
-    targets = edges.sparkSession.createDataFrame([(d,) for ds in rest.values() for d in ds], ["node"]).distinct()
-    base = {r["node"]: r["depth"] for r in known.join(targets, "node", "left_semi").collect()}
-
-    def climb(node, path: frozenset) -> int:
-        return max((1 + climb(n, path | {n}) for n in rest.get(node, ()) if n not in path), default=base.get(node, 0))
-
-    found = [(n, max(1 + climb(d, frozenset((d,))) for d in ds)) for n, ds in rest.items()]
-    more = edges.sparkSession.createDataFrame(found, known.schema)
-    return known.join(sources, "node", "left_semi").unionByName(more)
+    known = known.join(sources, "node", "left_semi")
+    left = open_edges.count()
+    if not left:
+        return known
+    if left > FEW_EDGES:
+        raise RuntimeError(f"{left} edges are on cycles or lead into them")
+    # the depth of what has one stands for a chain of that length
+    names, out = _codes(open_edges)
+    base = {r["node"]: r["depth"] for r in known.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").collect()}
+    for n, name in enumerate(list(names)):
+        at = n
+        for _ in range(base.get(name, 0)):
+            names.append("")
+            out[at] = [len(names) - 1]
+            at = len(names) - 1
+    asked = set(names) - {""} - set(base)
+    more = [(name, d) for name, d in _depths(names, out) if name in asked]
+    return known.unionByName(edges.sparkSession.createDataFrame(more, known.schema))

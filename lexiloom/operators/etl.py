@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,102 @@ def split_shared(links: DataFrame) -> DataFrame:
     return rows.select("concept", "sense", new.alias("new_sense"), "part")
 
 
-def merge_duplicates(triples: DataFrame, predicates: list[str], max_group: int | None = None) -> DataFrame:
-    """(loser, winner): resources with the same non-empty set of values under ``predicates``; the first by name wins."""
-    del max_group
+def merge_duplicates(triples: DataFrame, predicates: list[str], definition: str | None = None) -> DataFrame:
+    """(loser, winner): resources with the same non-empty set of values under ``predicates``; one with a definition wins, then the first by name."""
     values = triples.where(F.col("p").isin(*predicates)).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("p", "o"))).alias("x"))
     digest = values.select("s", F.sha2(F.to_json("x"), 256).alias("x"))
-    winner = digest.groupBy("x").agg(F.min("s").alias("winner"))
+    if definition is None:
+        digest = digest.withColumn("bare", F.lit(False))
+    else:
+        told = triples.where(F.col("p") == definition).select("s", F.lit(False).alias("bare")).distinct()
+        digest = digest.join(told, "s", "left").withColumn("bare", F.coalesce("bare", F.lit(True)))
+    winner = digest.groupBy("x").agg(F.min(F.struct("bare", "s")).alias("best")).select("x", F.col("best.s").alias("winner"))
     return digest.join(winner, "x").where("s <> winner").select(F.col("s").alias("loser"), "winner")
 
 
+def merge_resources(triples: DataFrame, names: DataFrame, carried: list[str]) -> DataFrame:
+    """Losers (old) give way to winners (new): references are redirected, what losers say goes, but for ``carried`` predicates that the winner lacks."""
+    lost = names.select(F.col("old").alias("s"), F.col("new"))
+    kept = triples.join(lost.select("s"), "s", "left_anti")
+    said = triples.where(F.col("p").isin(*carried)).join(lost, "s").select(F.col("new").alias("s"), "p", "o").distinct()
+    said = said.join(kept.select("s", "p").distinct(), ["s", "p"], "left_anti")
+    return rename_resources(kept.select("s", "p", "o").unionByName(said), names)
+
+
+def remove_all(triples: DataFrame, predicate: str, expected: int | None = None) -> DataFrame:
+    """Without the triples of a predicate, of which there have to be as many as ``expected``."""
+    if expected is not None and (n := triples.where(F.col("p") == predicate).count()) != expected:
+        raise ValueError(f"{n} triples of {predicate}, not {expected}")
+    return triples.where(F.col("p") != predicate)
+
+
+def lemma_labels(members: DataFrame) -> DataFrame:
+    """(synset, label) from (synset, lemma): the different lemmas in order, in braces."""
+    return members.groupBy("synset").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set("lemma")), "; "), F.lit("}")).alias("label"))
+
+
+def in_scheme(triples: DataFrame, namespace: str, predicate: str, scheme: str) -> DataFrame:
+    """(s, p, o): every subject of a namespace is in its scheme."""
+    return triples.where(F.col("s").startswith(f"<{namespace}")).select("s").distinct().select("s", F.lit(predicate).alias("p"), F.lit(scheme).alias("o"))
+
+
+def rewrite_prefix(triples: DataFrame, predicate: str, old: str, new: str) -> DataFrame:
+    """Values of a predicate that begin with one address begin with another; doing it again changes nothing."""
+    moved = F.concat(F.lit(f"<{new}"), F.expr(f"substring(o, {len(old) + 2})"))
+    return triples.withColumn("o", F.when((F.col("p") == predicate) & F.col("o").startswith(f"<{old}"), moved).otherwise(F.col("o"))).distinct()
+
+
+def minted(wanted: DataFrame, triples: DataFrame, predicate: str, value) -> DataFrame:
+    """(s, p, o) for the resources (s) that lack a predicate, with a value made from their columns."""
+    has = triples.where(F.col("p") == predicate).select("s").distinct()
+    return wanted.join(has, "s", "left_anti").select("s", F.lit(predicate).alias("p"), value.alias("o")).distinct()
+
+
+def cascade_delete(triples: DataFrame, roots: DataFrame, *predicates: str) -> DataFrame:
+    """Without the roots (node), what they own through ``predicates`` in turn, and whatever points to these."""
+    doomed = roots.select("node").distinct()
+    level = doomed
+    for p in predicates:
+        level = triples.where(F.col("p") == p).join(level.select(F.col("node").alias("s")), "s", "left_semi").select(F.col("o").alias("node")).distinct()
+        doomed = doomed.union(level)
+    doomed = doomed.distinct()
+    return triples.join(doomed.withColumnRenamed("node", "s"), "s", "left_anti").join(doomed.withColumnRenamed("node", "o"), "o", "left_anti").select("s", "p", "o")
+
+
+def rebuild_links(links: DataFrame, remap: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, fate) of links into a graph that was loaded anew: kept, moved along ``remap`` (old, new), or dropped where the target is gone."""
+    out = links.join(remap.select(F.col("old").alias("b"), "new"), "b", "left")
+    out = out.withColumn("target", F.coalesce("new", "b")).join(known.select(F.col("node").alias("target"), F.lit(True).alias("there")).distinct(), "target", "left")
+    fate = F.when(F.col("there").isNull(), "dropped").when(F.col("new").isNotNull(), "moved").otherwise("kept")
+    return out.select("a", F.when(F.col("there"), F.col("target")).alias("b"), fate.alias("fate")).distinct()
+
+
+def replace_subjects(triples: DataFrame, metadata: DataFrame) -> DataFrame:
+    """All that was said of the subjects of ``metadata`` gives way to it."""
+    rest = triples.join(metadata.select("s").distinct(), "s", "left_anti").select("s", "p", "o")
+    return rest.unionByName(metadata.select("s", "p", "o")).distinct()
+
+
+def check_release(triples: DataFrame, dataset: str, predicate: str, expected: str) -> None:
+    """Fails unless the dataset's only version is the expected one."""
+    found = [r["o"] for r in triples.where((F.col("s") == dataset) & (F.col("p") == predicate)).select("o").distinct().limit(2).collect()]
+    if found != [expected]:
+        raise ValueError(f"version {found}, not {expected}")
+
+
+def release(triples: DataFrame, current: str, following: str, *changes) -> DataFrame:
+    """The changes of a release in turn; none where it is already the following one."""
+    for change in changes if current != following else ():
+        triples = change(triples)
+    return triples
+
+
+def build_hash(inputs: DataFrame, code: list[str]) -> str:
+    """A digest of the inputs (path, length, modificationTime) and the texts of the code: a new one asks for a new build."""
+    own = inputs.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "length", F.col("modificationTime").cast("string"))))), 256)).first()[0]
+    return hashlib.sha256("\n".join([own, *code]).encode()).hexdigest()
+
+
 def retarget_unique(links: DataFrame) -> DataFrame:
     """(source, target, kept): links through targets that exactly one source has; others are to be deleted."""
     n = F.count(F.lit(1)).over(Window.partitionBy("target"))

@@ -50,7 +50,7 @@ def autocomplete(index: DataFrame, prefix: str, most: int = 200) -> DataFrame:
 
 
 def synonyms(triples: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(word, synonym): distinct other words that evoke the same concept, of one word each."""
+    """(word, synonym): distinct other words that evoke the same concept."""
     evokes = _pairs(triples, lexicon.evokes, "word", "synset").distinct()
     other = evokes.select(F.col("word").alias("synonym"), "synset")
     pairs = evokes.join(other, "synset").where("word <> synonym")
@@ -62,3 +62,10 @@ def word_overview(triples: DataFrame, lexicon: Lexicon) -> DataFrame:
     own = _pairs(triples, lexicon.sense, "word", "sense")
     concept = _pairs(triples, lexicon.lexicalized, "synset", "sense")
     return own.join(concept, "sense").groupBy("word", "synset").agg(F.count_distinct("sense").alias("n_senses"), F.min("sense").alias("first_sense"))
+
+
+def one_word_synonyms(triples: DataFrame, lexicon: Lexicon, sure: str = " ") -> DataFrame:
+    """(word, form): written forms of synonyms, without those of several words and those written as the word itself, in order."""
+    written = _pairs(triples, lexicon.written, "word", "form")
+    found = synonyms(triples, lexicon).join(written.withColumnRenamed("word", "synonym"), "synonym").select("word", "form")
+    return found.where(~T.lex(F.col("form")).contains(sure)).join(written, ["word", "form"], "left_anti").distinct().orderBy("word", "form")

@@ -133,6 +133,7 @@ class Query:
     body: Any
     template: tuple[Triple, ...] = ()
     targets: tuple = field(default_factory=tuple)
+    dataset: tuple = ()  # of (named, graph) from FROM and FROM NAMED
 
 
 def ensure_distinct(q: Query) -> Query:

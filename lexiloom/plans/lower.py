@@ -10,13 +10,14 @@ until they meet terms.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import terms as T
+from lexiloom.functions.tables import write_table
 from lexiloom.operators.closure import reachable
 from lexiloom.plans import algebra as A
 
@@ -41,6 +42,7 @@ class Lowering:
 
     def __init__(self, triples: DataFrame, quads: DataFrame | None = None, functions: dict | None = None):
         self.t, self.quads, self.functions = triples, quads, functions or {}
+        self.graph: A.Var | None = None  # of a GRAPH with a variable
         self.spark = triples.sparkSession
         self.n = 0
 
@@ -50,6 +52,8 @@ class Lowering:
 
     # results
     def run(self, q: A.Query) -> DataFrame:
+        if q.dataset:
+            return self.of_dataset(q.dataset).run(replace(q, dataset=()))
         if q.kind == "select":
             sol = self.eval(q.body)
             return sol.df.select(*[v for v in sol.vars if not v.startswith("_")])
@@ -63,6 +67,14 @@ class Lowering:
             return out.where("s is not null and p is not null and o is not null").where(~F.col("s").startswith('"')).distinct()
         return self.describe(q)
 
+    def of_dataset(self, dataset) -> Lowering:
+        """The same source restricted to the graphs that FROM merges and FROM NAMED names."""
+        if self.quads is None:
+            raise ValueError("this source has no named graphs")
+        merged, named = ([g for is_named, g in dataset if is_named == kind] for kind in (False, True))
+        triples = self.quads.where(F.col("g").isin(*merged)).select("s", "p", "o").distinct()
+        return Lowering(triples, self.quads.where(F.col("g").isin(*named)), self.functions)
+
     def describe(self, q: A.Query) -> DataFrame:
         """Statements about the resources and, through blank nodes, about what these stand for."""
         named = [t for t in q.targets if isinstance(t, str)]
@@ -103,10 +115,36 @@ class Lowering:
 
     def pattern(self, t: A.Triple, sol: Solution | None) -> Solution:
         if isinstance(t.p, A.Path):
+            if self.graph is not None:
+                raise ValueError("a path under a graph variable")
+            if t.p.op in ("plus", "star") and sol is not None:
+                own = self.seeded(t, sol)
+                if own is not None:
+                    return own
             pairs = self.path(t.p, t.s if isinstance(t.s, str) else None, t.o if isinstance(t.o, str) else None)
             return self.bind(pairs, {"s": t.s, "o": t.o})
+        if self.graph is not None:
+            return self.bind(self.quads, {"g": self.graph, "s": t.s, "p": t.p, "o": t.o})
         return self.bind(self.t, {"s": t.s, "p": t.p, "o": t.o})
 
+    def seeded(self, t: A.Triple, sol: Solution) -> Solution | None:
+        """A closure from the values that an end has so far, where that end is a bound variable and the other one isn't fixed."""
+        forward = isinstance(t.s, A.Var) and t.s.name in sol.bound and not isinstance(t.o, str)
+        backward = isinstance(t.o, A.Var) and t.o.name in sol.bound and not isinstance(t.s, str)
+        if not forward and not backward:
+            return None
+        end = t.s if forward else t.o
+        values = self.terms_of(sol, [end.name])
+        seeds = write_table(values.df.select(F.col(end.name).alias("node")).distinct(), "seeds")
+        edges = self.path(t.p.args[0]).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        if not forward:
+            edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        pairs = reachable(edges, seeds)
+        if t.p.op == "star":
+            pairs = pairs.union(seeds.select("node", "node")).distinct()
+        names = ("s", "o") if forward else ("o", "s")
+        return self.bind(pairs.select(F.col("src").alias(names[0]), F.col("dst").alias(names[1])), {"s": t.s, "o": t.o})
+
     def bind(self, df: DataFrame, parts: dict) -> Solution:
         """Filter on constants and repeated variables, name the columns by the variables."""
         out: dict[str, str] = {}
@@ -131,8 +169,11 @@ class Lowering:
         if op == "inv":
             return self.path(args[0], o, s).select(F.col("o").alias("s"), F.col("s").alias("o"))
         if op == "not":
-            forward = [a for a in args if isinstance(a, str)]
-            return self.t.where(~F.col("p").isin(*forward)).select("s", "o")
+            forward, back = [a for a in args if isinstance(a, str)], [a.args[0] for a in args if not isinstance(a, str)]
+            parts = [self.t.where(~F.col("p").isin(*forward)).select("s", "o")] if forward or not back else []
+            if back:
+                parts.append(self.t.where(~F.col("p").isin(*back)).select(F.col("o").alias("s"), F.col("s").alias("o")))
+            return reduce(DataFrame.unionAll, parts)
         if op == "alt":
             if all(isinstance(a, str) or a.op == "iri" for a in args):
                 return self.t.where(F.col("p").isin(*[a if isinstance(a, str) else a.args[0] for a in args])).select("s", "o")
@@ -189,6 +230,8 @@ class Lowering:
                     self.join(self.drop(Solution(open_.df.where(F.col(v).isNull()), open_.bound, open_.kinds), v), full),
                 ]
             return reduce(self.union, parts)
+        if how == "left" and maybe:
+            return self.left_join_unbound(a, b, condition)
         other = b.df.select(*[F.col(v).alias(f"_r_{v}" if v in shared else v) for v in b.vars])
         tests = [F.col(v) == F.col(f"_r_{v}") for v in sure]
         tests += [(F.col(v) == F.col(f"_r_{v}")) | F.col(v).isNull() | F.col(f"_r_{v}").isNull() for v in maybe]
@@ -206,6 +249,28 @@ class Lowering:
         bound = a.bound | b.bound if how == "inner" else set(a.bound)
         return Solution(joined.select(*columns), bound, kinds)
 
+    def tagged(self, sol: Solution, names) -> Solution:
+        """Copies of variables beside them, which a join doesn't fill in."""
+        names = list(names)
+        return Solution(sol.df.select("*", *[F.col(v).alias(f"_k_{v}") for v in names]), sol.bound, sol.kinds | {f"_k_{v}": sol.kinds[v] for v in names})
+
+    def without(self, sol: Solution, matched: DataFrame, names, how: str = "left_anti") -> DataFrame:
+        """Rows of ``sol`` whose variables are not (left_semi: are) among the copies in ``matched``; null equals null."""
+        other = matched.select(*[F.col(f"_k_{v}").alias(f"_m_{v}") for v in names]).distinct()
+        on = reduce(lambda x, y: x & y, [F.col(v).eqNullSafe(F.col(f"_m_{v}")) for v in names], F.lit(True))
+        return sol.df.join(other, on, how)
+
+    def left_join_unbound(self, a: Solution, b: Solution, condition) -> Solution:
+        """The inner join, whose cases are equi-joins, and the rows of ``a`` that are not in it."""
+        inner = self.join(self.tagged(a, a.vars), b)
+        if condition is not None:
+            inner = self.prepared(inner, condition)
+            inner = Solution(inner.df.where(self.truth(inner, condition)), inner.bound, inner.kinds)
+        inner = Solution(write_table(inner.df, "matched"), inner.bound, inner.kinds)
+        rest = self.without(a, inner.df, a.vars)
+        out = inner.df.select(*[v for v in inner.vars if v in a.kinds or v in b.kinds]).unionByName(rest, allowMissingColumns=True)
+        return Solution(out, set(a.bound), a.kinds | {v: inner.kinds[v] for v in b.vars if v not in a.kinds})
+
     def drop(self, sol: Solution, v: str) -> Solution:
         return Solution(sol.df.drop(v), sol.bound - {v}, {k: x for k, x in sol.kinds.items() if k != v})
 
@@ -236,9 +301,10 @@ class Lowering:
         if all(v in left.bound and v in right.bound for v in shared):
             on = reduce(lambda x, y: x & y, [F.col(v) == F.col(f"_r_{v}") for v in shared])
         else:
-            same = [(F.col(v) == F.col(f"_r_{v}")) | F.col(v).isNull() | F.col(f"_r_{v}").isNull() for v in shared]
-            some = [F.col(v).isNotNull() & F.col(f"_r_{v}").isNotNull() for v in shared]
-            on = reduce(lambda x, y: x & y, same) & reduce(lambda x, y: x | y, some)
+            one = self.tagged(Solution(left.df.select(*shared).distinct(), left.bound & set(shared), {v: left.kinds[v] for v in shared}), shared)
+            two = Solution(right.df.select(*shared, *[F.col(v).alias(f"_o_{v}") for v in shared]).distinct(), right.bound & set(shared), {v: right.kinds[v] for v in shared} | {f"_o_{v}": "term" for v in shared})
+            both = self.join(one, two).df.where(reduce(lambda x, y: x | y, [F.col(f"_k_{v}").isNotNull() & F.col(f"_o_{v}").isNotNull() for v in shared]))
+            return Solution(self.without(left, both, shared), left.bound, left.kinds)
         return Solution(left.df.join(other, on, "left_anti"), left.bound, left.kinds)
 
     def on_filter(self, node: A.Filter) -> Solution:
@@ -259,11 +325,14 @@ class Lowering:
         right = self.eval(inner)
         shared = [v for v in sol.vars if v in right.kinds]
         sol, right = self.terms_of(sol, shared), self.terms_of(right, shared)
+        if any(v not in sol.bound or v not in right.bound for v in shared):
+            met = self.join(self.tagged(sol, sol.vars), right)
+            for c in conditions:
+                met = self.prepared(met, c)
+                met = Solution(met.df.where(self.truth(met, c)), met.bound, met.kinds)
+            return Solution(self.without(sol, met.df, sol.vars, "left_anti" if e.negated else "left_semi"), sol.bound, sol.kinds)
         other = right.df.select(*[F.col(v).alias(f"_r_{v}" if v in shared else v) for v in right.vars])
-        tests = []
-        for v in shared:
-            same = F.col(v) == F.col(f"_r_{v}")
-            tests.append(same if v in sol.bound and v in right.bound else same | F.col(v).isNull() | F.col(f"_r_{v}").isNull())
+        tests = [F.col(v) == F.col(f"_r_{v}") for v in shared]
         scope = Solution(sol.df, set(), right.kinds | sol.kinds)
         tests += [self.truth(scope, c) for c in conditions]
         on = reduce(lambda x, y: x & y, tests) if tests else F.lit(True)
@@ -275,7 +344,16 @@ class Lowering:
         return Solution(sol.df.withColumn(node.var.name, column), sol.bound, sol.kinds | {node.var.name: kind})
 
     def prepared(self, sol: Solution, e) -> Solution:
-        """Custom functions inside an expression become columns first."""
+        """Custom functions and EXISTS inside an expression become columns first."""
+        if isinstance(e, A.Exists):
+            name = f"_e{abs(hash(e)) % 10**12}"
+            if name not in sol.kinds:
+                asked = Solution(sol.df.select(*sol.vars).distinct(), sol.bound, sol.kinds)
+                found = self.exists(self.tagged(asked, sol.vars), A.Exists(e.child)).df
+                other = found.select(*[F.col(f"_k_{v}").alias(f"_m_{v}") for v in sol.vars], F.lit(True).alias(name)).distinct()
+                on = reduce(lambda x, y: x & y, [F.col(v).eqNullSafe(F.col(f"_m_{v}")) for v in sol.vars], F.lit(True))
+                df = sol.df.join(other, on, "left").select(*sol.vars, (F.coalesce(name, F.lit(False)) != F.lit(e.negated)).alias(name))
+                sol = Solution(df, sol.bound, sol.kinds | {name: "bool"})
         if isinstance(e, A.Call):
             for a in e.args:
                 sol = self.prepared(sol, a)
@@ -298,13 +376,9 @@ class Lowering:
         if isinstance(node.name, str):
             inner = Lowering(self.quads.where(F.col("g") == node.name).select("s", "p", "o"), self.quads, self.functions)
             return inner.eval(node.child)
-        if not isinstance(node.child, A.BGP):
-            raise ValueError("a graph variable takes a plain pattern")
-        sol = None
-        for t in node.child.triples:
-            own = self.bind(self.quads, {"g": node.name, "s": t.s, "p": t.p, "o": t.o})
-            sol = own if sol is None else self.join(sol, own)
-        return sol
+        inner = Lowering(self.t, self.quads, self.functions)
+        inner.graph = node.name
+        return inner.eval(node.child)
 
     def on_group(self, node: A.Group) -> Solution:
         sol = self.eval(node.child)
@@ -331,7 +405,10 @@ class Lowering:
             return (F.count_distinct(column) if call.distinct else F.count(column)), "int"
         if name in ("SUM", "AVG"):
             value = self.num(sol, call.args[0])
-            made = {"SUM": F.sum_distinct if call.distinct else F.sum, "AVG": F.avg}[name](value)
+            if name == "AVG" and call.distinct:
+                made = F.try_divide(F.sum_distinct(value), F.count_distinct(value))
+            else:
+                made = {"SUM": F.sum_distinct if call.distinct else F.sum, "AVG": F.avg}[name](value)
             return F.coalesce(made, F.lit(0.0)), "num"
         column, kind = self.expr(sol, call.args[0])
         if name in ("MIN", "MAX"):
@@ -405,7 +482,7 @@ class Lowering:
         if isinstance(e, str):
             return F.lit(e), "term"
         if isinstance(e, A.Exists):
-            raise ValueError("EXISTS stands only as a filter of its own or in a conjunction")
+            return F.col(f"_e{abs(hash(e)) % 10**12}"), "bool"
         name, args = e.name, e.args
         if name.startswith("<"):
             key = f"_f{abs(hash(e)) % 10**12}"
@@ -458,7 +535,8 @@ class Lowering:
             "STRAFTER": lambda: F.when(F.instr(s(0), self.constant(args[1])) > 0, F.substring(s(0), F.instr(s(0), self.constant(args[1])) + len(self.constant(args[1])), F.length(s(0)))).otherwise(""),
             "STRBEFORE": lambda: F.when(F.instr(s(0), self.constant(args[1])) > 0, F.substring(s(0), F.lit(1), F.instr(s(0), self.constant(args[1])) - 1)).otherwise(""),
             "REPLACE": lambda: F.regexp_replace(s(0), s(1), s(2)),
-            "LANG": lambda: T.lang(term(0)), "MD5": lambda: F.md5(s(0)), "SHA1": lambda: F.sha1(s(0)), "SHA256": lambda: F.sha2(s(0), 256), "SHA512": lambda: F.sha2(s(0), 512),
+            "LANG": lambda: T.lang(term(0)), "MD5": lambda: F.md5(s(0)), "SHA1": lambda: F.sha1(s(0)), "SHA256": lambda: F.sha2(s(0), 256), "SHA512": lambda: F.sha2(s(0), 512), "SHA384": lambda: F.sha2(s(0), 384), "STRUUID": lambda: F.uuid(),
+            "TZ": lambda: F.regexp_extract(s(0), self.ZONE, 1),
             "ENCODE_FOR_URI": lambda: F.url_encode(s(0)),
         }
         if name in text:
@@ -467,7 +545,7 @@ class Lowering:
             "STRLEN": lambda: F.length(s(0)).cast("double"), "ABS": lambda: F.abs(n(0)), "CEIL": lambda: F.ceil(n(0)).cast("double"), "FLOOR": lambda: F.floor(n(0)).cast("double"),
             "ROUND": lambda: F.floor(n(0) + 0.5).cast("double"),
             "YEAR": lambda: F.year(s(0).try_cast("timestamp")), "MONTH": lambda: F.month(s(0).try_cast("timestamp")), "DAY": lambda: F.dayofmonth(s(0).try_cast("timestamp")),
-            "HOURS": lambda: F.hour(s(0).try_cast("timestamp")), "MINUTES": lambda: F.minute(s(0).try_cast("timestamp")), "SECONDS": lambda: F.second(s(0).try_cast("timestamp")),
+            "HOURS": lambda: F.hour(s(0).try_cast("timestamp")), "MINUTES": lambda: F.minute(s(0).try_cast("timestamp")), "SECONDS": lambda: F.second(s(0).try_cast("timestamp")), "RAND": lambda: F.rand(),
         }
         if name in numeric:
             return numeric[name](), "num"
@@ -481,6 +559,18 @@ class Lowering:
         }
         if name in boolean:
             return boolean[name](), "bool"
+        if name == "NOW":
+            return F.concat(F.lit('"'), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(f'"^^<{T.XSD}dateTime>')), "term"
+        if name == "UUID":
+            return F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")), "term"
+        if name == "BNODE":
+            return (F.concat(F.lit("_:b"), F.md5(s(0))) if args else F.concat(F.lit("_:u"), F.replace(F.uuid(), F.lit("-"), F.lit("")))), "term"
+        if name == "TIMEZONE":
+            zone = F.regexp_extract(s(0), self.ZONE, 1)
+            hours, minutes = (F.regexp_replace(F.substring(zone, i, 2), "^0", "") for i in (2, 5))
+            part = F.concat(F.lit("PT"), F.when(hours != "0", F.concat(hours, F.lit("H"))).otherwise(""), F.when(minutes != "0", F.concat(minutes, F.lit("M"))).otherwise(""))
+            span = F.when(zone == "Z", "PT0S").when(zone != "", F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.when(part == "PT", "PT0S").otherwise(part)))
+            return F.concat(F.lit('"'), span, F.lit(f'"^^<{T.XSD}dayTimeDuration>')), "term"
         if name == "COALESCE":
             return F.coalesce(*[term(i) for i in range(len(args))]), "term"
         if name == "IF":
@@ -495,6 +585,9 @@ class Lowering:
             return F.concat(T.to_literal(s(0), "str"), F.lit("^^"), term(1)), "term"
         raise ValueError(f"unknown function {name}")
 
+    #: The zone at the end of a dateTime.
+    ZONE = r"T[\d:.]+(Z|[+-]\d\d:\d\d)$"
+
     def constant(self, e) -> str:
         if not isinstance(e, str):
             raise ValueError("this argument has to be a constant")

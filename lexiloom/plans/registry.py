@@ -38,14 +38,14 @@ def query(oracle: str | None = None):
     return put
 
 
-def sparql(name: str, text: str, oracle: str, inferred: bool = False, graphs: bool = False) -> None:
+def sparql(name: str, text: str, oracle: str, inferred: bool = False, graphs: bool = False, dictionary: bool = False) -> None:
     """A named query written in SPARQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        triples = view_triples(spark, sf_dir)
+        triples = view_triples(spark, sf_dir, dictionary)
         if inferred:
             triples = infer(triples, SCHEMA)
-        return Lowering(triples, view_quads(spark, sf_dir) if graphs else None).run(parse(text))
+        return Lowering(triples, view_quads(spark, sf_dir, dictionary) if graphs else None).run(parse(text))
 
     run.__name__ = name
     query(oracle)(run)
@@ -451,13 +451,13 @@ def homograph_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.homograph_numbers(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("form"), F.col("p_type").alias("pos")))
 
 
-_LINKS = "l AS (SELECT DISTINCT o_orderkey // 2 AS a, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders WHERE o_orderkey % 3 < 2)"
+_LINKS = "l AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey // 2 * 1000003 END AS a, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders)"
 
 
 @query(f"WITH {_LINKS}, n AS (SELECT *, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM l) SELECT a, b FROM n WHERE na = 1 AND nb = 1")
 def unambiguous_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return etl.unambiguous_links(o.where("o_orderkey % 3 < 2").select(F.expr("o_orderkey div 2").alias("a"), F.floor("o_totalprice").alias("b")))
+    return etl.unambiguous_links(o.select(F.expr("case when o_orderkey % 3 = 0 then o_orderkey else o_orderkey div 2 * 1000003 end").alias("a"), F.floor("o_totalprice").alias("b")))
 
 
 @query(
@@ -480,7 +480,7 @@ def first_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.first_of_run(rows, "conv_id", "turn", "role").select("conv_id", "turn", "role")
 
 
-_LOGS = "one AS (SELECT p_partkey AS old, p_partkey // 2 AS mid FROM part WHERE p_partkey % 3 = 0), two AS (SELECT p_partkey AS old, p_partkey + 1 AS new FROM part WHERE p_partkey % 2 = 0)"
+_LOGS = "one AS (SELECT p_partkey AS old, CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 2 ELSE p_partkey END AS mid FROM part), two AS (SELECT p_partkey AS old, CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE p_partkey END AS new FROM part)"
 
 
 @query(
@@ -488,8 +488,8 @@ _LOGS = "one AS (SELECT p_partkey AS old, p_partkey // 2 AS mid FROM part WHERE
 )
 def remap_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("old"))
-    first = k.where("old % 3 = 0").select("old", F.expr("old div 2").alias("new"))
-    return etl.compose_remaps(first, k.where("old % 2 = 0").select("old", (F.col("old") + 1).alias("new")))
+    first = k.select("old", F.expr("case when old % 3 = 0 then old div 2 else old end").alias("new"))
+    return etl.compose_remaps(first, k.select("old", F.expr("case when old % 2 = 0 then old + 1 else old end").alias("new")))
 
 
 _NEW = f"CASE WHEN regexp_full_match({{0}}, '<{EX}nation-[0-9]+>') THEN '{ex('place')}' ELSE {{0}} END"
@@ -593,10 +593,16 @@ def rate_limit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), seconds=1800)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS key, event_id, true AS allowed FROM events")
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), "
+    "r AS (SELECT user_id, event_id, us, k, 1 AS used, us + 1800000000 AS expiry, true AS allowed FROM e WHERE k = 1 UNION ALL "
+    "SELECT e.user_id, e.event_id, e.us, e.k, CASE WHEN r.expiry < e.us THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, "
+    "CASE WHEN r.expiry < e.us OR r.used < 3 THEN e.us + 1800000000 ELSE r.expiry END, r.expiry < e.us OR r.used < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) "
+    "SELECT CAST(user_id AS VARCHAR) AS key, event_id, allowed FROM r"
+)
 def rate_limit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At the production limit of 400 events no user of these tables is ever blocked."""
-    return rate_limit(spark.read.parquet(f"{sf_dir}/events.parquet"), limit=400, seconds=60)
+    """Three events and then none until 1800 seconds after the last one that was let through: a limit that these tables reach."""
+    return rate_limit(spark.read.parquet(f"{sf_dir}/events.parquet"), limit=3, seconds=1800)
 
 
 # --- exports ---------------------------------------------------------------------------------

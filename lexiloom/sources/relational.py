@@ -74,6 +74,42 @@ _add("texts", "documents", _iri("doc", "doc_id"), LABEL, "concat('\"document ',
 _add("texts", "labels", _iri("doc", "doc_id"), "quality", _number("quality"))
 _add("texts", "labels", _iri("doc", "doc_id"), "toxic", _number("toxic"))
 
+#: What dictionaries say of synsets, senses and words, made up from the same columns; a view of its own, as few queries need it.
+DICTIONARY: list[tuple[str, str, bool, str, str, str, str]] = []
+
+
+def _say(graph: str, table: str, s: str, p: str, o: str, where: str = "true", distinct: bool = False) -> None:
+    DICTIONARY.append((graph, table, distinct, s, f"<{EX}{p}>" if not p.startswith("<") else p, o, where))
+
+
+_form, _entry = _word.replace("word-", "form-"), _word.replace("word-", "entry-")
+_kind = "lower(p_type)"
+_say("lexicon", "part", _synset, LABEL, _text("concat('{', p_brand, '; ', p_type, '}')", "@en"), distinct=True)
+_say("lexicon", "part", _synset, "shortLabel", _text("p_brand", "@en"), "p_brand not like '%3'", distinct=True)
+_say("lexicon", "part", _synset, "definition", _text(f"concat('things of kind ', {_kind})", "@en"), "p_type <> 'SMALL'", distinct=True)
+_say("lexicon", "part", _synset, "ili", _iri("ili", f"concat({_kind}, '_', substr(p_brand, 8))"), "p_brand like 'Brand#1%'", distinct=True)
+_say("lexicon", "part", _synset, "eqHypernym", _iri("ili", f"concat({_kind}, '_', substr(p_brand, 7, 1), '1')"), "p_brand like 'Brand#2%'", distinct=True)
+_say("lexicon", "part", _synset, "lexfile", _text("case when p_type in ('SMALL', 'LARGE') then 'adj.all' else 'noun.artifact' end"), distinct=True)
+_say("lexicon", "part", _synset, "domain", _iri("domain", "substr(p_brand, 7, 1)"), distinct=True)
+_say("lexicon", "part", _synset, "ontologicalType", f"concat('_:kind-', {_kind})", distinct=True)
+_say("lexicon", "part", f"concat('_:kind-', {_kind})", f"<{RDF}_1>", _iri("kind", _kind), distinct=True)
+_say("lexicon", "part", f"concat('_:kind-', {_kind})", f"<{RDF}_2>", _iri("kind", "'object'"), "p_type like '%E%'", distinct=True)
+_say("lexicon", "part", _synset, "variant", _iri("variant", f"concat({_kind}, '-', substr(p_brand, 7))"), "p_brand like '%5'", distinct=True)
+_say("lexicon", "part", _part, "example", _text("concat('a ', p_name, ' of size ', p_size)", "@en"), "p_size % 4 = 0")
+_say("lexicon", "part", _part, "usageNote", _text("concat('rare in size ', p_size)", "@en"), "p_size % 9 = 0")
+_say("lexicon", "part", _part, "source", "concat('<https://', case when p_partkey % 2 = 0 then 'old' else 'new' end, '.example.org/', p_partkey, '>')", "p_partkey % 6 <> 0")
+_say("lexicon", "part", _part, "polarity", "case when p_size % 10 = 0 then '\"positive\"' else '\"negative\"' end", "p_size % 10 < 2")
+_say("lexicon", "part", _part, "sentiment", _number("p_size"), "p_size % 10 = 0")
+_say("lexicon", "part", _part, "gender", "case when p_size % 2 = 0 then '\"common\"' else '\"neuter\"' end", "p_size % 11 = 0")
+_say("lexicon", "part", _word, LABEL, _text("p_name", "@en"), distinct=True)
+_say("lexicon", "part", _word, "partOfSpeech", "case when p_name like 's%' or p_name like 'h%' then '<" + EX + "adjective>' else '<" + EX + "noun>' end", distinct=True)
+_say("lexicon", "part", _word, "assertedPartOfSpeech", "'<" + EX + "noun>'", "p_name like '%r%'", distinct=True)
+_say("lexicon", "part", _word, "canonicalForm", _form, "p_name not like 'c%'", distinct=True)
+_say("lexicon", "part", _form, "rep", _text("p_name", "@en"), "p_name not like '%t'", distinct=True)
+_say("lexicon", "part", _word, "sameAs", _entry, "p_name like '%e%'", distinct=True)
+_say("lexicon", "part", _entry, "otherForm", _form.replace("form-", "plural-"), "p_name like '%e%'", distinct=True)
+_say("lexicon", "part", _form.replace("form-", "plural-"), "rep", _text("concat(p_name, 's')", "@en"), "p_name like '%e%'", distinct=True)
+
 #: Fixed axioms of the view's vocabulary: (subject, predicate, object) of schema terms.
 SCHEMA = [
     (f"<{EX}hypernym>", f"<{PREFIXES['owl']}inverseOf>", f"<{EX}hyponym>"),
@@ -87,28 +123,28 @@ SCHEMA = [
 ]
 
 
-def view_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(g, s, p, o) of the whole view."""
+def view_quads(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
+    """(g, s, p, o) of the whole view, with what dictionaries say where asked."""
     parts, tables = [], {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {v[1] for v in VIEW}}
-    for graph, table, distinct, s, p, o, where in VIEW:
+    for graph, table, distinct, s, p, o, where in VIEW + (DICTIONARY if dictionary else []):
         df = tables[table].where(where).select(F.lit(f"<{EX}graph/{graph}>").alias("g"), F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"))
         parts.append(df.distinct() if distinct else df)
     return reduce(DataFrame.unionAll, parts)
 
 
-def view_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view_triples(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
     """(s, p, o): the union of the graphs, which share no triple."""
-    return view_quads(spark, sf_dir).select("s", "p", "o")
+    return view_quads(spark, sf_dir, dictionary).select("s", "p", "o")
 
 
 def schema_triples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEMA, "s string, p string, o string")
 
 
-def view_sql(graphs: bool = False) -> str:
+def view_sql(graphs: bool = False, dictionary: bool = False) -> str:
     """A DuckDB expression for the view: ``WITH t AS (...)``."""
     sql = " UNION ALL ".join(
         f"SELECT {'DISTINCT ' if d else ''}{f'{chr(39)}<{EX}graph/{g}>{chr(39)} AS g, ' if graphs else ''}{s} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE {where}"
-        for g, table, d, s, p, o, where in VIEW
+        for g, table, d, s, p, o, where in VIEW + (DICTIONARY if dictionary else [])
     )
     return f"t AS MATERIALIZED ({sql})"
