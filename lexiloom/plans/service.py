@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from lexiloom.plans.lower import Lowering
 from lexiloom.plans.parser import QueryError, parse
 
 MAX_ROWS, MAX_SECONDS, CACHE_SECONDS = 100, 30, 30 * 60
+CACHE_RESULTS = 500
 
 #: How refusals map to HTTP statuses.
 STATUS = {"parse": 400, "too-long": 400, "unsafe": 403, "update": 403, "timeout": 504}
@@ -37,8 +39,8 @@ class QueryService:
 
     def __init__(self, spark: SparkSession, base: DataFrame, inferred: DataFrame | None = None, functions: dict | None = None):
         self.spark, self.base, self.inferred, self.functions = spark, base, inferred, functions
-        self._cache: dict = {}
-        self._locks: dict = {}
+        self._cache: OrderedDict = OrderedDict()  # oldest first
+        self._locks: dict = {}  # key -> lock and how many hold or wait for it
         self._lock = threading.Lock()
 
     def prepare(self, text: str, *, limit: int = MAX_ROWS, offset: int = 0, distinct: bool = False, lookahead: bool = True) -> tuple[A.Query, int, bool]:
@@ -60,14 +62,28 @@ class QueryService:
         q, most, lookahead = self.prepare(text, **options)
         key = (repr(q), inference)
         with self._lock:
-            lock = self._locks.setdefault(key, threading.Lock())
-        with lock:  # at most one computation for a key
-            hit = self._cache.get(key)
-            if hit and time.monotonic() - hit[0] < CACHE_SECONDS:
-                return hit[1]
-            out = self._choose(q, inference, min(timeout, MAX_SECONDS), most, lookahead)
-            self._cache[key] = (time.monotonic(), out)
-            return out
+            lock, n = self._locks.get(key, (threading.Lock(), 0))
+            self._locks[key] = lock, n + 1
+        try:
+            with lock:  # at most one computation for a key
+                with self._lock:
+                    hit = self._cache.get(key)
+                if hit and time.monotonic() - hit[0] < CACHE_SECONDS:
+                    return hit[1]
+                out = self._choose(q, inference, min(timeout, MAX_SECONDS), most, lookahead)
+                with self._lock:
+                    self._cache[key] = (time.monotonic(), out)
+                    self._cache.move_to_end(key)
+                    while len(self._cache) > CACHE_RESULTS:
+                        self._cache.popitem(last=False)
+                return out
+        finally:
+            with self._lock:
+                lock, n = self._locks[key]
+                if n > 1:
+                    self._locks[key] = lock, n - 1
+                else:
+                    del self._locks[key]
 
     def _choose(self, q: A.Query, inference: bool | None, timeout: float, most: int, lookahead: bool) -> Result:
         if inference and self.inferred is not None:

@@ -39,16 +39,22 @@ def decide(times: list[float], limit: int, seconds: float, count: int = 0, expir
 
 
 def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 400, seconds: int = 60) -> DataFrame:
-    """(key, event_id, allowed) of a table of events, exactly as the counters decide."""
+    """(key, event_id, allowed) of a table of events, exactly as the counters decide; a key's events pass in order, whatever their number."""
     ship_package(events.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"], kind="stable")
-        allowed, _, _ = decide(rows["t"].tolist(), limit, seconds)
-        return pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": allowed})
-
-    own = events.select(F.col(key).cast("string").alias("key"), "event_id", (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return own.groupBy("key").applyInPandas(run, "key string, event_id long, allowed boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, count, expiry = None, 0, None
+        for batch in batches:
+            allowed: list[bool] = []
+            for key_, rows in batch.groupby("key", sort=False, dropna=False):
+                if key_ != last:
+                    last, count, expiry = key_, 0, None
+                own, count, expiry = decide(rows["t"].tolist(), limit, seconds, count, expiry)
+                allowed.extend(own)
+            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"], "allowed": allowed})
+
+    own = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "event_id", (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    return own.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, allowed boolean")
 
 
 def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 400, seconds: int = 60) -> DataFrame:
