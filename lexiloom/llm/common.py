@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +76,43 @@ def fetch(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, key, "left_semi").dropDuplicates([key])
 
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
-    """Connected components of an edge list by alternating large and small stars.
+#: Edges up to which components are found by union-find in one task: 16 bytes an edge.
+FEW_EDGES = 1_000_000
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if find(x) != x]
+    for at in range(0, max(1, len(nodes)), 100_000):
+        own = nodes[at : at + 100_000]
+        yield pd.DataFrame({"node": own, "component": [find(x) for x in own]}, dtype="int64")
+
+
+def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100, few: int | None = None) -> DataFrame:
+    """Connected components of an edge list: by union-find where the edges are few, else by alternating large and small stars.
 
     Returns ``(node, component)`` for each node that isn't the smallest of its
     component. Each round groups by node with a partial minimum first, so a hub
     is never gathered in one task, and is written to the shared folder.
     """
-    current = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
+    current = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v"), "edges")
+    if current.count() <= (FEW_EDGES if few is None else few):
+        return materialise(current.repartition(1).mapInPandas(_union_find, "node long, component long"), "groups")
+    current = materialise(current.distinct(), "edges")
     for _ in range(max_rounds):
         n, nodes = current.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if n == nodes and current.join(current.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

@@ -175,9 +175,10 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got.get(i, i) == find(i) for i in range(60))
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1000):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert all(got.get(i, i) == find(i) for i in range(60))
+        assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def levenshtein(x, y):
