@@ -47,13 +47,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows that Python tasks get at a time inside :func:`scratch`, where texts may be long.
+BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end, so what leaves has to be written with ``keep``."""
+    """Tables written inside are deleted at the end, so what leaves has to be written with ``keep``; Python tasks run inside get small batches."""
     _scopes.append([])
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_ROWS)
     try:
         yield
     finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
         for path in _scopes.pop():
             _delete(spark, path)
 

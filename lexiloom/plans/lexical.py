@@ -261,10 +261,10 @@ sparql(
 )
 sparql(
     "path_plus_seeded",
-    "SELECT ?x ?y WHERE { ?x ex:brand \"Brand#7\" ; ex:size 7 . ?x ex:hypernym+ ?y }",
+    "SELECT ?x ?y WHERE { ?x ex:brand \"Brand#7\" . ?x ex:hypernym+ ?y }",
     sql(
         f"SELECT x, y FROM r",
-        f"seed AS (SELECT a.s FROM t a JOIN t b ON b.s = a.s AND {_IS('b', 'size')} AND b.o LIKE '\"7\"^^%' WHERE {_IS('a', 'brand')} AND a.o = '\"Brand#7\"')",
+        f"seed AS (SELECT a.s FROM t a WHERE {_IS('a', 'brand')} AND a.o = '\"Brand#7\"')",
         f"r AS (SELECT s AS x, o AS y FROM t WHERE {p('hypernym')} AND s IN (SELECT s FROM seed) UNION SELECT r.x, t.o FROM r JOIN t ON t.s = r.y AND {p('hypernym')})",
         recursive=True,
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import labels as L
 from lexiloom.functions import terms as T
+from lexiloom.functions.tables import write_table
 from lexiloom.operators import etl, lexicon, taxonomy
 from lexiloom.operators.infer import infer
 from lexiloom.plans.lexical import sql
@@ -313,7 +314,7 @@ def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = view_triples(spark, sf_dir)
     senses = _of(t, "lexicalizedSense", "synset", "sense").join(t.where(F.col("p") == LABEL).select(F.col("s").alias("sense"), T.lex(F.col("o")).alias("label")), "sense")
     degrees = _of(t, "evokes", "word", "node").groupBy("node").agg(F.count(F.lit(1)).alias("indegree"))
-    return lexicon.member_order(senses, degrees)
+    return write_table(lexicon.member_order(senses, degrees), "members")
 
 
 @query(sql("SELECT synset, sense, listing_order FROM s2", _EVOKED, _ORDER))
