@@ -39,7 +39,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -192,7 +192,7 @@ def _signatures(n: int, percent: int):
             if len(h) and (tag := _digests(h)[0]) not in tags:
                 tags[tag] = plan.signatures(h)
                 held += len(tags[tag])
-            if held > 1_000_000:
+            if held > 300_000:
                 yield _keyed(tags)
                 tags, held = {}, 0
         if tags:
@@ -227,7 +227,7 @@ def _can_link(percent: int):
 
 
 #: Shingles of the texts that a task compares with each other; larger groups are split into blocks, and each two blocks meet.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def coded_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], int]:

@@ -168,7 +168,7 @@ def identify(
         return not len(own) or float(usual[language, own].mean()) >= 0.9 * mark - 1 / math.sqrt(len(own) / (MAX_N - KNOWN_N + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             texts = rows.column("_text").to_pylist()
             pred, value, known = ["und"] * len(texts), np.zeros(len(texts)), [False] * len(texts)
             able = [i for i, t in enumerate(texts) if names and has_letter(t)]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import components, materialise, shuffle_partitions
 
 KEY_BITS, RANK_BITS = 40, 24
-UNIT_KEYS, BUCKET_KEYS = 2_000_000, 2_500_000
+UNIT_KEYS, BUCKET_KEYS = 1_000_000, 1_500_000
 SMALL = 32
 _KEY, _RANK = np.uint64((1 << KEY_BITS) - 1), np.uint64((1 << RANK_BITS) - 1)
 
@@ -174,7 +174,7 @@ def _close_pairs(fields: int, may_link: Callable[[np.ndarray, np.ndarray], np.nd
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2 + fields)]
             held.append((columns[0], columns[1], np.stack(columns[2:], 1)))
-            if sum(len(h[0]) for h in held) < 50_000 or held[0][0][0] == columns[0][-1]:
+            if sum(len(h[0]) for h in held) < 30_000 or held[0][0][0] == columns[0][-1]:
                 continue
             key, node, info = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
