@@ -38,7 +38,8 @@ def write_table(df: DataFrame, name: str, keep: bool = False, **options: str) ->
     open_scopes = _scopes[:-1] if keep else _scopes
     if open_scopes:
         open_scopes[-1].append(path)
-    df.write.options(**options).parquet(path)
+    # a writer holds a row group in memory: small ones, as several tasks and Python workers share an executor
+    df.write.options(**{"parquet.block.size": str(16 << 20), **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
