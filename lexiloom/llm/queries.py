@@ -11,7 +11,7 @@ from lexiloom.llm.exact_dedup import exact_dedup
 from lexiloom.llm.jaccard_join import jaccard_components
 from lexiloom.llm.language_id import identify
 from lexiloom.llm.line_dedup import line_dedup
-from lexiloom.llm import mixing
+from lexiloom.llm import merkle, mixing
 from lexiloom.llm.packing import pack_documents
 from lexiloom.llm.suffix_dedup import remove_repeats
 from lexiloom.llm.topk_search import top_k
@@ -166,3 +166,12 @@ least AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.r, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id
 """
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(docs_of(spark, sf_dir), tampered=fold(5, 0))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.oracle()
