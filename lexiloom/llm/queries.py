@@ -13,6 +13,7 @@ from lexiloom.llm.language_id import identify
 from lexiloom.llm.line_dedup import line_dedup
 from lexiloom.llm import merkle, mixing
 from lexiloom.llm.packing import pack_documents
+from lexiloom.llm.periodic_runs import periodic_runs
 from lexiloom.llm.suffix_dedup import remove_repeats
 from lexiloom.llm.topk_search import top_k
 from lexiloom.llm.toxicity import learn, score
@@ -168,6 +169,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.doc
 """
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(docs_of(spark, sf_dir), plant=True).drop("n_words")
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(docs_of(spark, sf_dir), tampered=fold(5, 0))
