@@ -11,6 +11,7 @@ from lexiloom.llm.exact_dedup import exact_dedup
 from lexiloom.llm.jaccard_join import jaccard_components
 from lexiloom.llm.language_id import identify
 from lexiloom.llm.line_dedup import line_dedup
+from lexiloom.llm.lm_score import lm_score
 from lexiloom.llm import merkle, mixing
 from lexiloom.llm.packing import pack_documents
 from lexiloom.llm.periodic_runs import periodic_runs
@@ -181,3 +182,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_merkle_manifest"] = merkle.oracle()
+
+
+@query
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(docs_of(spark, sf_dir), held_out=fold(7, 2))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.shipping import ship_package
-from lexiloom.llm import merkle, periodic_runs
+from lexiloom.llm import lm_score, merkle, periodic_runs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, leaf string, n double"
 
@@ -170,3 +170,105 @@ def test_merkle_odd(spark):
     assert merkle.manifest(odd_table(spark).limit(0)).count() == 0
     one = merkle.manifest(odd_table(spark).where("doc_id = 2").limit(1)).collect()[0]
     assert one["leaf"] == one["subroot"] == one["root"] and one["proof_sha256"] == H()
+
+
+def toy_vocabulary(words=40, dictionary=30, head=12, tail=4, seed=1):
+    rng = random.Random(seed)
+    counts = sorted(((f"w{i}{rng.choice('abc')}".encode(), rng.randint(1, 90)) for i in range(words)), key=lambda x: -x[1])
+    counts.insert(3, (lm_score.END, 25))
+    v = lm_score.Vocabulary([w for w, _ in counts[:dictionary]], [n for _, n in counts[:dictionary]], sum(n for _, n in counts), len(counts), head, tail)
+    tokens, distinct = np.zeros(v.buckets), np.zeros(v.buckets)
+    for i, (w, n) in enumerate(counts):
+        if i >= dictionary or v.is_tail[i]:
+            b = v.lookup[w] - len(v.words) if i >= dictionary else v.bucket[i]
+            tokens[b] += n
+            distinct[b] += 1
+    v.fill(tokens, distinct)
+    return v, dict(counts)
+
+
+def test_model_is_a_distribution():
+    """After any context the leaves' shares, and all words and unseen parts of the buckets, sum to one."""
+    v, counts = toy_vocabulary()
+    model, rng = lm_score.Model(v.bias(), rows=(64, 64, 128)), np.random.default_rng(2)
+    for w in model.weights:
+        w[:] = rng.normal(size=w.shape)
+    leaves = np.flatnonzero(v.mass)
+    context = rng.choice(leaves, 3)
+    leaf = np.concatenate([np.append(context, x) for x in leaves])
+    hashes = lm_score.features(leaf, np.arange(0, len(leaf), 4), v.end)
+    share = np.exp(model.log_prob(leaf, hashes)[3::4])
+    assert abs(share.sum() - 1) < 1e-5
+    at = {int(x): s for x, s in zip(leaves, share, strict=True)}
+    total = 0.0
+    for w, n in counts.items():
+        i = v.lookup[w]
+        inside = v.inside[i] + (math.log10(n + 1) if i >= len(v.words) else 0)
+        total += at[int(v.leaf[i])] * 10**inside
+    unseen = sum(at[int(x)] / s for x, s in zip(v.bucket_leaves, v.bucket_size, strict=True))
+    assert abs(total + unseen - 1) < 1e-5
+
+
+def test_model_against_plain_loops():
+    """Log probabilities from the tree, feature by feature; one gradient step against a numeric gradient."""
+    v, _ = toy_vocabulary(seed=3)
+    model, rng = lm_score.Model(v.bias(), rows=(16, 32, 64)), np.random.default_rng(4)
+    for w in model.weights:
+        w[:] = rng.normal(size=w.shape)
+    leaf = rng.choice(np.flatnonzero(v.mass), 40)
+    first = np.array([0, 7, 8, 30])
+    hashes = lm_score.features(leaf, first, v.end)
+    got = model.log_prob(leaf, hashes)
+    wrap = 2**64
+    for i in range(40):
+        begin = int(first[first <= i].max())
+        back = [int(leaf[i - k]) if i - k >= begin else v.end for k in (1, 2, 3)]
+        keys = [back[0], back[1], back[2], back[0] * lm_score.LEAVES + back[1]]
+        want, node = 0.0, 0
+        for k in range(3):
+            rows = [((((x + 1) * m % wrap) ^ ((node + k + 1) * lm_score._MIX[k] % wrap)) * lm_score._MIX[3 - k] % wrap >> 40) % len(model.weights[k]) for x, m in zip(keys, lm_score._MIX, strict=True)]
+            z = model.bias[k][node] + sum(model.weights[k][r] for r in rows)
+            branch = int(leaf[i]) // 32 ** (2 - k) % 32
+            want += z[branch] - math.log(np.exp(z.astype(float)).sum())
+            node = node * 32 + branch
+        assert abs(want - got[i]) < 1e-3
+    one = slice(5, 6)
+    before = float(model.log_prob(leaf[one], hashes[:, one])[0])
+    model.learn(leaf[one], hashes[:, one], rate=1e-3)
+    assert float(model.log_prob(leaf[one], hashes[:, one])[0]) > before
+
+
+def test_lm_score(spark):
+    """Counts, known words and the base score by hand; the model learns what follows what, on texts that it hasn't seen."""
+    rng = random.Random(8)
+    cycle = [f"w{i}" for i in range(12)]
+
+    def text():
+        a = rng.randrange(12)
+        return " ".join([cycle[(a + k) % 12] if rng.random() < 0.9 else f"Rare{rng.randrange(300)}" for k in range(rng.randint(5, 60))])
+
+    texts = [text() for _ in range(400)] + [None, "", "  ", "never seen before " * 3, "w1 " * 20_000]
+    df = table(spark, texts).withColumn("rid", F.lit(3)).withColumn("score", F.lit("clash"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    got = {r["doc_id"]: r for r in lm_score.lm_score(df, held, dictionary=100, head=40, tail=8).collect()}
+    counts = {}
+    low = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in low(t):
+                counts[w] = counts.get(w, 0) + 1
+    total, unit, gain = sum(counts.values()), sum(counts.values()) + len(counts) + 1, []
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r, w = got[i], low(t)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in counts for x in w), total)
+        assert abs(r["base_score"] - sum(math.log10((counts.get(x, 0) + 1) / unit) for x in w)) < 1e-6 * len(w)
+        assert r["score"] < 0
+        if r["held_out"] and i < 400:
+            gain.append((r["score"] - r["base_score"]) / len(w))
+    assert len(gain) > 30 and np.mean(gain) > 0.2, np.mean(gain)
+    assert lm_score.lm_score(odd_table(spark), held).count() == 7
+    assert lm_score.lm_score(odd_table(spark).limit(0), held).count() == 0
+    nothing = lm_score.lm_score(table(spark, ["a b", None]), F.lit(True)).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in nothing] == [3, 1] and all(r["train_tokens"] == r["n_known"] == r["base_score"] == 0 for r in nothing)
