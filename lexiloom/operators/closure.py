@@ -1,76 +1,232 @@
-"""Reachability, shortest distances and depths over edge frames: by walks over few edges, by semi-naive rounds over many."""
+"""Reachability, shortest distances, depths and descendant counts over edge frames.
+
+Graphs of at most ``FEW_EDGES`` edges are walked inside executor tasks: every task
+gets all edges and a share of the seeds (or of the descendants to count). Larger
+ones go by semi-naive rounds of joins. Nothing of a graph passes through the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.shipping import ship_package
 from lexiloom.functions.tables import write_table
 
+#: Edges up to which each of ``TASKS`` tasks holds the whole graph: about 100 bytes an edge.
+FEW_EDGES, TASKS = 500_000, 8
+#: Nodes of a cyclic component in which simple paths are searched (over all subsets); larger ones are an error.
+CYCLE = 14
 
-#: Edges up to which a closure walks from each seed in one task, with all edges sent to the tasks: at most about 100 bytes an edge.
-FEW_EDGES = 500_000
 
+class Graph:
+    """Numbered nodes and the targets of each, without repeated edges."""
 
-def _codes(edges: DataFrame) -> tuple[list[str], dict[int, list[int]]]:
-    """Names of the nodes and, by number, the targets of each source; for at most FEW_EDGES edges."""
-    number: dict[str, int] = {}
-    out: dict[int, list[int]] = {}
-    for src, dst in zip(*(edges.toPandas()[c].tolist() for c in ("src", "dst")), strict=True):
-        out.setdefault(number.setdefault(src, len(number)), []).append(number.setdefault(dst, len(number)))
-    return list(number), out
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.out: list[list[int]] = []
 
+    def node(self, name: str) -> int:
+        i = self.number.setdefault(name, len(self.names))
+        if i == len(self.names):
+            self.names.append(name)
+            self.out.append([])
+        return i
 
-def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(node, ancestor, dist)`` from each seed in breadth-first order; dist of the seed itself is 0."""
-    names, out = _codes(edges)
-    number = {n: i for i, n in enumerate(names)}
-    shared = edges.sparkSession.sparkContext.broadcast((names, number, out))
+    def add(self, src: str, dst: str) -> None:
+        self.out[self.node(src)].append(self.node(dst))
+
+    def components(self) -> list[list[int]]:
+        """Strongly connected components, those that others lead to first (Tarjan's order, without recursion)."""
+        order, low, found, on = [-1] * len(self.out), [0] * len(self.out), [], [False] * len(self.out)
+        stack: list[int] = []
+        met = 0
+        for root in range(len(self.out)):
+            if order[root] >= 0:
+                continue
+            work = [(root, iter(self.out[root]))]
+            order[root] = low[root] = met
+            met += 1
+            stack.append(root)
+            on[root] = True
+            while work:
+                n, targets = work[-1]
+                for m in targets:
+                    if order[m] < 0:
+                        order[m] = low[m] = met
+                        met += 1
+                        stack.append(m)
+                        on[m] = True
+                        work.append((m, iter(self.out[m])))
+                        break
+                    if on[m]:
+                        low[n] = min(low[n], order[m])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                    if low[n] == order[n]:
+                        own = []
+                        while True:
+                            m = stack.pop()
+                            on[m] = False
+                            own.append(m)
+                            if m == n:
+                                break
+                        found.append(own)
+        return found
+
+    def distances(self, seed: str) -> Iterator[tuple[str, int]]:
+        """Every node that the seed reaches with its distance, itself at 0, in breadth-first order."""
+        yield seed, 0
+        level, dist = [self.number[seed]] if seed in self.number else [], 0
+        seen = set(level)
+        while level:
+            dist += 1
+            after = []
+            for n in level:
+                for m in self.out[n]:
+                    if m not in seen:
+                        seen.add(m)
+                        after.append(m)
+                        yield self.names[m], dist
+            level = after
+
+    def climbs(self, known: dict[str, int]) -> list[int]:
+        """Edges on the longest simple path from each node; ``known`` has those of nodes whose own edges are left out."""
+        most = [known.get(n, 0) for n in self.names]
+        for own in self.components():
+            if len(own) == 1:
+                n = own[0]
+                most[n] = max([most[n], *(1 + most[m] for m in self.out[n] if m != n)])
+                continue
+            if len(own) > CYCLE:
+                raise ValueError(f"a cyclic component of {len(own)} nodes, e.g. {self.names[own[0]]}")
+            place = {n: k for k, n in enumerate(own)}
+            leave = [max([most[n], *(1 + most[m] for m in self.out[n] if m not in place)]) for n in own]
+            inner = [[place[m] for m in self.out[n] if m in place and m != n] for n in own]
+            # best[nodes allowed][start]: a component's longest way out
+            best = [[0] * len(own) for _ in range(1 << len(own))]
+            for allowed in range(1, 1 << len(own)):
+                for k in range(len(own)):
+                    if allowed >> k & 1:
+                        left = allowed & ~(1 << k)
+                        best[allowed][k] = max([leave[k], *(1 + best[left][j] for j in inner[k] if left >> j & 1)])
+            for n, k in place.items():
+                most[n] = best[-1][k]
+        return most
+
+    def reach_counts(self, share: int, shares: int, block: int, group: Callable[[str], str] | None) -> Iterator[tuple[str, int]]:
+        """(node, n) a block: how many other nodes of a block it reaches, of its own group where groups are told.
+
+        Nodes by name are dealt into blocks, and blocks to shares; a node's set is a number of as many bits as the block has nodes.
+        """
+        order = sorted(range(len(self.names)), key=self.names.__getitem__)
+        components = self.components()
+        kinds = [group(n) for n in self.names] if group else []
+        for first in range(share * block, len(order), shares * block):
+            bit = {n: 1 << k for k, n in enumerate(order[first : first + block])}
+            masks: dict[str, int] = {}
+            for n, b in bit.items() if group else ():
+                masks[kinds[n]] = masks.get(kinds[n], 0) | b
+            sets = [0] * len(self.out)
+            for own in components:
+                union = 0
+                for n in own:
+                    union |= bit.get(n, 0)
+                    for m in self.out[n]:
+                        union |= sets[m]
+                for n in own:
+                    sets[n] = union
+            for n, seen in enumerate(sets):
+                seen &= ~bit.get(n, 0)
+                if group:
+                    seen &= masks.get(kinds[n], 0)
+                if seen:
+                    yield self.names[n], seen.bit_count()
+
+
+def in_tasks(edges: DataFrame, work: Callable[[Graph, int, Iterator[tuple[str, int]]], Iterator[tuple]], schema: str, seeds: DataFrame | None = None, tasks: int = TASKS) -> DataFrame:
+    """Run ``work`` on the whole graph in each of ``tasks`` tasks; each gets its number and its share of ``seeds`` (node, value)."""
+    ship_package(edges.sparkSession)
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    rows = edges.select(everywhere.alias("task"), F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("v"))
+    asked = edges.sparkSession.range(tasks).select(F.col("id").cast("int").alias("task"), F.lit(2).alias("kind"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("v"))
+    if seeds is not None:
+        value = F.col("value").cast("int") if "value" in seeds.columns else F.lit(0)
+        own = seeds.select(F.pmod(F.xxhash64("node"), F.lit(tasks)).cast("int").alias("task"), F.lit(1).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), value.alias("v"))
+        asked = asked.unionByName(own)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, number, out = shared.value
-        for batch in batches:
-            found: tuple[list, list, list] = ([], [], [])
-            for seed in batch["node"]:
-                level, seen, dist = [number[seed]] if seed in number else [], {number.get(seed)}, 0
-                found[0].append(seed)
-                found[1].append(seed)
-                found[2].append(0)
-                while level:
-                    dist += 1
-                    after = []
-                    for n in level:
-                        for m in out.get(n, ()):
-                            if m not in seen:
-                                seen.add(m)
-                                after.append(m)
-                    found[0].extend([seed] * len(after))
-                    found[1].extend(names[m] for m in after)
-                    found[2].extend([dist] * len(after))
-                    level = after
-                if len(found[0]) > 100_000:
-                    yield pd.DataFrame(dict(zip(("node", "ancestor", "dist"), found, strict=True)))
-                    found = ([], [], [])
-            yield pd.DataFrame(dict(zip(("node", "ancestor", "dist"), found, strict=True)))
-
-    return seeds.mapInPandas(run, "node string, ancestor string, dist int")
+        def told(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names)
+
+        def sections() -> Iterator[tuple[int, int, str, str, int]]:
+            for batch in batches:
+                yield from batch[["task", "kind", "a", "b", "v"]].itertuples(index=False, name=None)
+
+        rest, graph = sections(), Graph()
+        pending = next(rest, None)
+        while pending is not None:
+            task, graph = pending[0], Graph()
+            while pending is not None and pending[0] == task and pending[1] == 0:
+                graph.add(pending[2], pending[3])
+                pending = next(rest, None)
+
+            def own() -> Iterator[tuple[str, int]]:
+                nonlocal pending
+                while pending is not None and pending[0] == task:
+                    if pending[1] == 1:
+                        yield pending[2], pending[4]
+                    pending = next(rest, None)
+
+            share, out = own(), []
+            for row in work(graph, task, share):
+                out.append(row)
+                if len(out) >= 50_000:
+                    yield told(out)
+                    out = []
+            for _ in share:  # what the work has left
+                pass
+            if out:
+                yield told(out)
+
+    dealt = rows.unionByName(asked).repartition(tasks, "task").sortWithinPartitions("task", "kind")
+    return dealt.mapInPandas(run, schema)
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+
+
+def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node, ancestor, dist)`` from each seed; dist of the seed itself is 0."""
+
+    def work(graph: Graph, task: int, share: Iterator) -> Iterator[tuple]:
+        for seed, _ in share:
+            for ancestor, dist in graph.distances(seed):
+                yield seed, ancestor, dist
+
+    return in_tasks(edges, work, "node string, ancestor string, dist int", seeds)
 
 
 def distances(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10_000, few: int = FEW_EDGES) -> DataFrame:
     """``(node, ancestor, dist)``: shortest number of edges (src, dst) from each seed, itself included at 0.
 
-    Up to ``few`` edges are sent to the tasks, which walk from their seeds. With
-    more, only newly found pairs are joined in the next round and known ones leave by
-    an anti join, so cycles end; each round is written, which cuts the lineage.
-    Without ``seeds`` every source is one.
+    Up to ``few`` edges are walked in tasks. With more, only newly found pairs are
+    joined in the next round and known ones leave by an anti join, so cycles end;
+    each round is written, which cuts the lineage. Without ``seeds`` every source is one.
     """
-    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    edges = _clean(edges)
     start = edges.select(F.col("src").alias("node")).distinct() if seeds is None else seeds.select("node").where("node is not null").distinct()
     if edges.count() <= few:
-        return _walk(edges, start)
+        return write_table(_walk(edges, start), "distances")
     frontier = write_table(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")), "frontier")
     seen = frontier
     for dist in range(1, max_rounds):
@@ -84,14 +240,21 @@ def distances(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int
 
 def reachable(edges: DataFrame, seeds: DataFrame | None = None, few: int = FEW_EDGES) -> DataFrame:
     """Distinct ``(src, dst)`` pairs joined by one or more edges; a node on a cycle reaches itself."""
-    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    edges = _clean(edges)
     first = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     if edges.count() <= few:
-        walked = _walk(edges, first.select(F.col("src").alias("node")).distinct()).select(F.col("node").alias("src"), F.col("ancestor").alias("dst"), "dist")
-        walked = write_table(walked, "walked")
-        # a node reaches itself where one that it reaches has an edge back
-        back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-        return walked.where("dist > 0").select("src", "dst").unionByName(walked.join(back, ["src", "dst"]).select("src", F.col("src").alias("dst")).distinct())
+
+        def work(graph: Graph, task: int, share: Iterator) -> Iterator[tuple]:
+            for seed, _ in share:
+                back = False
+                for other, dist in graph.distances(seed):
+                    back = back or graph.number[seed] in graph.out[graph.number[other]]
+                    if dist:
+                        yield seed, other
+                if back:
+                    yield seed, seed
+
+        return write_table(in_tasks(edges, work, "src string, dst string", first.select(F.col("src").alias("node")).distinct()), "reachable")
     frontier = write_table(first, "frontier")
     seen = frontier
     hop = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -103,69 +266,86 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None, few: int = FEW_E
         seen = seen.unionByName(frontier)
 
 
-def _depths(names: list[str], out: dict[int, list[int]]) -> list[tuple[str, int]]:
-    """Longest climb of each source along simple paths: in order where the graph has one, path by path in what is left."""
-    waiting = {n: len(ds) for n, ds in out.items()}
-    into: dict[int, list[int]] = {}
-    for n, ds in out.items():
-        for d in ds:
-            into.setdefault(d, []).append(n)
-    depth = dict.fromkeys((n for n in range(len(names)) if n not in out), 0)
-    ready = list(depth)
-    while ready:
-        done = ready.pop()
-        for n in into.get(done, ()):
-            waiting[n] -= 1
-            if not waiting[n]:
-                depth[n] = 1 + max(depth[d] for d in out[n])
-                ready.append(n)
-    rest = {n for n in out if n not in depth}
+def _climbs_in_a_task(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, climb) of the sources of ``edges``, in one task; ``known`` (node, value) are climbs that are settled."""
 
-    def climb(node: int, path: frozenset) -> int:
-        return max((1 + climb(d, path | {d}) if d in rest else 1 + depth[d] for d in out[node] if d not in path), default=0)
+    def work(graph: Graph, task: int, share: Iterator) -> Iterator[tuple]:
+        settled = dict(share)
+        most = graph.climbs(settled)
+        for n, name in enumerate(graph.names):
+            if graph.out[n]:
+                yield name, most[n]
 
-    depth.update({n: max(1 + climb(d, frozenset((d,))) if d in rest else 1 + depth[d] for d in out[n]) for n in rest})
-    return [(names[n], depth[n]) for n in out]
+    return in_tasks(edges, work, "node string, climb int", known, tasks=1)
 
 
 def longest_depths(edges: DataFrame, max_rounds: int = 10_000, few: int = FEW_EDGES) -> DataFrame:
-    """``(node, depth)``: edges on the longest climb from each source along simple paths.
+    """``(node, depth)``: edges on the longest climb from each source; the first step may come back to the source, the rest is a simple path.
 
-    Up to ``few`` edges are ordered in one task. With more, acyclic parts are relaxed
-    level by level. What can't be ordered is a cyclic remainder (and what climbs into
-    it); only that is walked path by path, in the same way and under the same bound
-    on its edges, beyond which it is an error. A self-loop counts as a climb of one.
+    Up to ``few`` edges are ordered in one task. With more, nodes are settled level by
+    level from those without edges. What is on a cycle, or between two, is cut out by taking
+    away nodes that nothing leads to, and is settled in one task, under ``FEW_EDGES``;
+    then the levels go on. A cyclic component of over ``CYCLE`` nodes is an error.
     """
-    edges = write_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    edges = _clean(edges)
     if edges.count() <= few:
-        return edges.sparkSession.createDataFrame(_depths(*_codes(edges)), "node string, depth int")
+
+        def work(graph: Graph, task: int, share: Iterator) -> Iterator[tuple]:
+            most = graph.climbs({})
+            for n, name in enumerate(graph.names):
+                if graph.out[n]:
+                    yield name, 1 + max(most[m] for m in graph.out[n])
+
+        return write_table(in_tasks(edges, work, "node string, depth int", tasks=1), "depths")
     known = edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    known = write_table(known.withColumn("depth", F.lit(0)), "depths")
-    open_edges = edges
+    known = write_table(known.withColumn("climb", F.lit(0)), "climbs")
+    left = edges
     for _ in range(max_rounds):
-        step = open_edges.join(known, open_edges["dst"] == known["node"], "left")
-        ready = step.groupBy("src").agg(F.max("depth").alias("deepest"), F.count(F.when(F.col("node").isNull(), 1)).alias("unknown"))
-        ready = write_table(ready.where("unknown = 0").select(F.col("src").alias("node"), (F.col("deepest") + 1).alias("depth")), "depths")
+        step = left.join(known, left["dst"] == known["node"], "left")
+        ready = step.groupBy("src").agg(F.max("climb").alias("deepest"), F.count(F.when(F.col("node").isNull(), 1)).alias("unknown"))
+        ready = write_table(ready.where("unknown = 0").select(F.col("src").alias("node"), (F.col("deepest") + 1).alias("climb")), "climbs")
         if ready.isEmpty():
-            break
+            if left.isEmpty():
+                break
+            ready = _settled_cycles(left, known, max_rounds)
         known = known.unionByName(ready)
-        open_edges = write_table(open_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-    sources = edges.select(F.col("src").alias("node")).distinct()
-    known = known.join(sources, "node", "left_semi")
-    left = open_edges.count()
-    if not left:
-        return known
-    if left > FEW_EDGES:
-        raise RuntimeError(f"{left} edges are on cycles or lead into them")
-    # the depth of what has one stands for a chain of that length
-    names, out = _codes(open_edges)
-    base = {r["node"]: r["depth"] for r in known.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").collect()}
-    for n, name in enumerate(list(names)):
-        at = n
-        for _ in range(base.get(name, 0)):
-            names.append("")
-            out[at] = [len(names) - 1]
-            at = len(names) - 1
-    asked = set(names) - {""} - set(base)
-    more = [(name, d) for name, d in _depths(names, out) if name in asked]
-    return known.unionByName(edges.sparkSession.createDataFrame(more, known.schema))
+        left = write_table(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
+    deepest = edges.join(known, edges["dst"] == known["node"]).groupBy("src").agg((F.max("climb") + 1).alias("depth"))
+    return deepest.select(F.col("src").alias("node"), "depth")
+
+
+def _settled_cycles(left: DataFrame, known: DataFrame, max_rounds: int) -> DataFrame:
+    """Climbs of the nodes of ``left`` that are on a cycle, or lead from one to another."""
+    core = left
+    for _ in range(max_rounds):
+        inner = write_table(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "core")
+        if inner.count() == core.count():
+            break
+        core = inner
+    n = core.count()
+    if n > FEW_EDGES:
+        raise RuntimeError(f"{n} edges are on cycles or between them")
+    settled = known.join(core.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select("node", F.col("climb").alias("value"))
+    return write_table(_climbs_in_a_task(core, settled), "climbs")
+
+
+def reach_counts(edges: DataFrame, group: str | None = None, few: int = FEW_EDGES, block: int = 4096) -> DataFrame:
+    """``(node, n)``: how many other nodes each node reaches, where any; with ``group``, a pattern, only those for whose name it matches the same text.
+
+    Up to ``few`` edges no pair is written: strongly connected nodes are one, each
+    task counts a share of the nodes as bits, ``block`` at a time, in the order of
+    the components, and the counts of the blocks are added up. With more, the pairs are counted.
+    """
+    edges = _clean(edges)
+    if edges.count() > few:
+        pairs = reachable(edges, few=few).where("src <> dst")
+        if group is not None:
+            pairs = pairs.where(F.regexp_extract("src", group, 0) == F.regexp_extract("dst", group, 0))
+        return pairs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    pattern = None if group is None else re.compile(group)
+
+    def work(graph: Graph, task: int, share: Iterator) -> Iterator[tuple]:
+        kind = None if pattern is None else lambda name: m[0] if (m := pattern.search(name)) else ""
+        yield from graph.reach_counts(task, TASKS, block, kind)
+
+    return in_tasks(edges, work, "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import write_table
+
 
 def entity_map(triples: DataFrame, *subjects: str) -> DataFrame:
     """(s, p, os): the sorted set of values of each predicate."""
@@ -24,6 +28,66 @@ def nested_blank_nodes(triples: DataFrame) -> DataFrame:
     return triples.where(F.col("o").startswith("_:")).select("s", "p", F.col("o").alias("node")).join(inner, "node", "left").select("s", "p", "node", "entity")
 
 
+def blank_node_trees(triples: DataFrame, supers: dict[str, set[str]] | None = None, max_rounds: int = 1000) -> DataFrame:
+    """(node, entity, depth): every blank node that something is said of, as text with the blank nodes in it folded in.
+
+    An entity is ``[ p o, o ; p o ]``, predicates and values in order. Nodes are folded
+    from the innermost out, a level a round. Nodes on a cycle, and those around one,
+    can't be: they are folded with the names of nodes that stand open. With ``supers`` predicates
+    whose values all stand under a more specific one are left out inside too.
+    """
+    said = triples.where(F.col("s").startswith("_:")).select("s", "p", "o").distinct()
+    if supers:
+        said = prune_superproperties(said, supers)
+    left = write_table(said, "blank_nodes")
+    known = left.sparkSession.createDataFrame([], "node string, entity string, depth int")
+    for depth in range(max_rounds):
+        open_ = left.select(F.col("s").alias("o")).distinct().withColumn("open", F.lit(True))
+        rows = left.join(known.withColumnRenamed("node", "o"), "o", "left").join(open_, "o", "left")
+        ready = rows.groupBy("s").agg(F.max(F.coalesce("open", F.lit(False))).alias("open"))
+        ready = write_table(ready.where("not open").select("s"), "ready")
+        cyclic = ready.isEmpty()
+        if cyclic and left.isEmpty():
+            return known
+        own = rows if cyclic else rows.join(ready, "s", "left_semi")
+        values = own.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("entity", "o"))), ", ").alias("os"), F.max(F.coalesce("depth", F.lit(-1))).alias("inner"))
+        made = values.groupBy(F.col("s").alias("node")).agg(F.concat(F.lit("[ "), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "os"))), " ; "), F.lit(" ]")).alias("entity"), (F.max("inner") + 1).cast("int").alias("depth"))
+        known = known.unionByName(write_table(made, "folded"))
+        if cyclic:
+            return known
+        left = write_table(left.join(ready, "s", "left_anti"), "blank_nodes")
+    raise RuntimeError("blank nodes nest too deep")
+
+
+def with_blank_nodes(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """Rows (s, p, o) with ``entity`` in place of blank-node values that something is said of."""
+    inner = trees.select(F.col("node").alias("o"), "entity")
+    return rows.join(inner, "o", "left").select(*rows.columns, F.coalesce("entity", "o").alias("value"))
+
+
+def enriched(result: DataFrame, triples: DataFrame, labels: list[str], most: int = 500) -> DataFrame:
+    """(node, label, entity) of the resources that stand in the cells of a result.
+
+    Labels are told of IRIs where there are at most ``most`` of them, by the first of
+    the predicates ``labels`` that a resource has one under, then by name; without one a resource stands with none.
+    Blank nodes come with what is said of them, whatever their number.
+    """
+    cells = [F.col(f"`{f.name}`") for f in result.schema.fields if f.dataType.simpleString() == "string"]
+    nodes = result.select(F.explode(F.array(*cells)).alias("node")).where("node like '<%' or node like '\\_:%'").distinct()
+    nodes = write_table(nodes, "cells")
+    iris = nodes.where("node like '<%'")
+    few = iris.limit(most + 1).count() <= most
+    rank = reduce(lambda rest, i: F.when(F.col("p") == labels[i], i).otherwise(rest), reversed(range(len(labels))), F.lit(len(labels)))
+    if few:
+        named = triples.where(F.col("p").isin(*labels)).join(F.broadcast(iris.withColumnRenamed("node", "s")), "s", "left_semi")  # at most ``most`` rows
+        best = named.groupBy(F.col("s").alias("node")).agg(F.min(F.struct(rank.alias("rank"), "o"))["o"].alias("label"))
+        told = iris.join(best, "node", "left").select("node", "label", F.lit(None).cast("string").alias("entity"))
+    else:
+        told = iris.select("node", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("entity"))
+    blanks = nodes.where("node like '\\_:%'").join(blank_node_trees(triples).select("node", "entity"), "node")
+    return told.unionByName(blanks.select("node", F.lit(None).cast("string").alias("label"), "entity"))
+
+
 def prune_superproperties(triples: DataFrame, supers: dict[str, set[str]]) -> DataFrame:
     """Drops (s, p) whose every value also stands under a predicate that entails p."""
     spark = triples.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tables import write_table
-from lexiloom.operators.closure import distances, longest_depths, reachable
+from lexiloom.operators.closure import distances, longest_depths, reach_counts
 
 
 def edges_of(triples: DataFrame, *predicates: str) -> DataFrame:
@@ -104,10 +104,13 @@ def weighted_relations(triples: DataFrame, degrees: DataFrame) -> DataFrame:
     return ranked.withColumn("pos", F.row_number().over(w)).select("s", "p", "o", "indegree", "pos")
 
 
-def descendant_counts(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(node, n): distinct descendants other than the node itself."""
-    found = reachable(hyponym_graph(edges), seeds).where("src <> dst")
-    return found.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))  # the pairs are distinct
+#: The namespace of a term: up to the last separator of its IRI.
+NAMESPACE = "^<.*[/#]"
+
+
+def descendant_counts(edges: DataFrame, namespace: str | None = NAMESPACE) -> DataFrame:
+    """(node, n): distinct descendants other than the node itself, of its own namespace; cycles count once."""
+    return reach_counts(hyponym_graph(edges), namespace)
 
 
 def borda_children(edges: DataFrame, counts: DataFrame, degrees: DataFrame, flags: DataFrame | None = None) -> DataFrame:

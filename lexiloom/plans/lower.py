@@ -116,7 +116,7 @@ class Lowering:
     def pattern(self, t: A.Triple, sol: Solution | None) -> Solution:
         if isinstance(t.p, A.Path):
             if self.graph is not None:
-                raise ValueError("a path under a graph variable")
+                return self.bind(self.graph_path(t.p), {"g": self.graph, "s": t.s, "o": t.o})
             if t.p.op in ("plus", "star") and sol is not None:
                 own = self.seeded(t, sol)
                 if own is not None:
@@ -127,6 +127,13 @@ class Lowering:
             return self.bind(self.quads, {"g": self.graph, "s": t.s, "p": t.p, "o": t.o})
         return self.bind(self.t, {"s": t.s, "p": t.p, "o": t.o})
 
+    def graph_path(self, p: A.Path) -> DataFrame:
+        """(g, s, o) of a path inside each graph: the path over nodes that carry their graph's name in front, so that no step leaves it."""
+        inside = lambda c: F.concat(F.col("g"), F.lit(" "), F.col(c)).alias(c)
+        pairs = Lowering(self.quads.select(inside("s"), "p", inside("o")), functions=self.functions).path(p)
+        bare = lambda c: F.substring(c, F.position(F.lit(" "), F.col(c)) + 1, F.length(c))
+        return pairs.select(F.substring_index("s", " ", 1).alias("g"), bare("s").alias("s"), bare("o").alias("o"))
+
     def seeded(self, t: A.Triple, sol: Solution) -> Solution | None:
         """A closure from the values that an end has so far, where that end is a bound variable and the other one isn't fixed."""
         forward = isinstance(t.s, A.Var) and t.s.name in sol.bound and not isinstance(t.o, str)

@@ -1,17 +1,19 @@
 """The relational tables as triples, for queries and for oracles over the same view.
 
-Every branch names its predicate as a literal, so a constant predicate in a
-pattern leaves only the branches that can match, with their own pushed-down
-columns; the others are pruned before anything is read.
+Queries read a store of the statements that is partitioned by predicate. Some
+statements are said of a part of the rows only, on purpose: patterns, optional
+parts and reports of what is missing need gaps.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import shared_folder
 from lexiloom.functions.terms import PREFIXES, XSD
 
 EX, RDF, RDFS = PREFIXES["ex"], PREFIXES["rdf"], PREFIXES["rdfs"]
@@ -123,13 +125,40 @@ SCHEMA = [
 ]
 
 
+def view_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(g, s, p, o, d) of the whole view, ``d`` for what dictionaries say: each table is read once for its statements, and once more for those that have to be made distinct."""
+    parts = []
+    told = [(*v, said) for said, rows in ((False, VIEW), (True, DICTIONARY)) for v in rows]
+    for table, distinct in sorted({(v[1], v[2]) for v in told}):
+        own = [v for v in told if (v[1], v[2]) == (table, distinct)]
+        made = [F.when(F.expr(where), F.struct(F.lit(f"<{EX}graph/{g}>").alias("g"), F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(d).alias("d"))) for g, _, _, s, p, o, where, d in own]
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.inline(F.array(*made))).where("s is not null and o is not null")
+        parts.append(rows.distinct() if distinct else rows)
+    return reduce(DataFrame.unionAll, parts)
+
+
+_stores: dict[tuple[str, str], DataFrame] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements as a table in the shared folder, written once an application: a partition for each predicate, in it sorted by subject.
+
+    A pattern with a constant predicate reads that partition alone, and a constant
+    subject skips row groups. Partitions are split and joined to files of the advisory size.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        path = f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}/store"
+        rows = view_statements(spark, sf_dir).hint("rebalance", "p").sortWithinPartitions("p", "s")
+        rows.write.partitionBy("p").parquet(path)
+        _stores[key] = spark.read.schema("g string, s string, o string, d boolean, p string").parquet(path)
+    return _stores[key]
+
+
 def view_quads(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
     """(g, s, p, o) of the whole view, with what dictionaries say where asked."""
-    parts, tables = [], {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {v[1] for v in VIEW}}
-    for graph, table, distinct, s, p, o, where in VIEW + (DICTIONARY if dictionary else []):
-        df = tables[table].where(where).select(F.lit(f"<{EX}graph/{graph}>").alias("g"), F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"))
-        parts.append(df.distinct() if distinct else df)
-    return reduce(DataFrame.unionAll, parts)
+    rows = store(spark, sf_dir)
+    return (rows if dictionary else rows.where(~F.col("d"))).select("g", "s", "p", "o")
 
 
 def view_triples(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:

@@ -34,15 +34,18 @@ def missing_inputs(paths: list[str]) -> list[str]:
     return [p for p in paths if not Path(p).exists()]
 
 
-def write_quads(quads: DataFrame, path: str) -> None:
-    """The store: term projections beside the terms, partitioned by graph and predicate for pruning."""
+def write_quads(quads: DataFrame, path: str, replace: bool = False) -> None:
+    """The store: term projections beside the terms, partitioned by graph and predicate for pruning. With ``replace`` the partitions written take the place of what is in them."""
     rows = quads.dropDuplicates(["g", "s", "p", "o"])
     o = F.col("o")
     rows = rows.select(
         "g", "s", "p", "o", T.kind(o).alias("o_kind"), T.lex(o).alias("o_lex"), T.lang(o).alias("o_lang"), T.datatype(o).alias("o_dt"),
         F.regexp_replace("g", "[^A-Za-z0-9]+", "_").alias("g_id"), F.regexp_replace("p", "[^A-Za-z0-9]+", "_").alias("p_id"),
     )
-    rows.repartition("g_id", "p_id", F.pmod(F.xxhash64("s"), F.lit(16))).write.partitionBy("g_id", "p_id").parquet(path)
+    writer = rows.repartition("g_id", "p_id", F.pmod(F.xxhash64("s"), F.lit(16))).write.partitionBy("g_id", "p_id")
+    if replace:
+        writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.parquet(path)
 
 
 def read_quads(spark: SparkSession, path: str, predicate: str | None = None) -> DataFrame:

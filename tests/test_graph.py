@@ -8,7 +8,7 @@ from lexiloom.functions.terms import PREFIXES
 from lexiloom.operators import entity, etl, taxonomy, validate
 from lexiloom.operators.closure import distances, longest_depths, reachable
 from lexiloom.operators.infer import infer, predicate_closure, superproperties
-from lexiloom.sources.turtle import turtle_frame
+from lexiloom.sources.turtle import parse_turtle
 
 CHAIN = [("54219", "5619"), ("5619", "2355"), ("2355", "20633"), ("56495", "5619")]
 
@@ -92,7 +92,7 @@ dn:form-1 ontolex:writtenRep "hund"@da .
 
 def entry_report(spark, text):
     ontolex, rdfs, wn = PREFIXES["ontolex"], PREFIXES["rdfs"], PREFIXES["wn"]
-    v = validate.Validator(turtle_frame(spark, text), f"<{PREFIXES['rdf']}type>")
+    v = validate.Validator(spark.createDataFrame(parse_turtle(text), "s string, p string, o string"), f"<{PREFIXES['rdf']}type>")
     entry = validate.Shape("EntryShape", (f"<{ontolex}LexicalEntry>",), "<http://ex.org/dn/")
     form = f"<{ontolex}canonicalForm>"
     return validate.union(
