@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,20 @@ def write_table(df: DataFrame, name: str, keep: bool = False, **options: str) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], *partitions: str) -> DataFrame:
+    """A table derived from ``source`` that is written once an application, with directories for the values of ``partitions``."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _kept:
+        path = f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}/{name}"
+        rows = make()
+        rows.write.partitionBy(*partitions).parquet(path)
+        _kept[key] = spark.read.schema(rows.schema).parquet(path)
+    return _kept[key]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -42,11 +42,31 @@ def completions(triples: DataFrame, written: str) -> DataFrame:
     return rows.where("key <> ''").groupBy("key").agg(F.min("form").alias("form"))
 
 
+def write_completions(index: DataFrame, path: str) -> None:
+    """The completion index in directories by the first character of the key, in them in the order of the keys."""
+    index.withColumn("first", F.substring("key", 1, 1)).hint("rebalance", "first").sortWithinPartitions("first", "key").write.partitionBy("first").parquet(path)
+
+
+def _after(prefix: str) -> str | None:
+    """The least string above all that start with ``prefix``; None where there is none."""
+    for i in range(len(prefix) - 1, -1, -1):
+        code = ord(prefix[i]) + 1
+        if code <= 0x10FFFF:
+            return prefix[:i] + chr(0xE000 if 0xD800 <= code <= 0xDFFF else code)
+    return None
+
+
 def autocomplete(index: DataFrame, prefix: str, most: int = 200) -> DataFrame:
+    """The first completions of a prefix. The prefix is a range of keys, and of a stored index its first character a directory, so other files aren't read."""
     key = prefix.strip().lower()
     if not key:
         return index.limit(0)
-    return index.where(F.col("key").startswith(key)).orderBy("key", "form").limit(most)
+    rows = index.where(F.col("key") >= key)
+    if (end := _after(key)) is not None:
+        rows = rows.where(F.col("key") < end)
+    if "first" in index.columns:
+        rows = rows.where(F.col("first") == key[0])
+    return rows.orderBy("key", "form").limit(most).select(*[c for c in index.columns if c != "first"])
 
 
 def synonyms(triples: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -145,19 +145,32 @@ def subtree_levels(children: DataFrame, root: str, max_depth: int = 5, max_child
     return seen
 
 
-def bounded_tree(children: dict[str, list[str]], root: str, max_depth: int = 5, max_children: int = 12, max_nodes: int = 250) -> dict:
-    """The nested tree with the soft node budget, depth first: siblings already taken still count when it runs out."""
-    used = 0
-
-    def grow(node: str, depth: int, path: frozenset) -> dict:
-        nonlocal used
-        used += 1
-        if depth >= max_depth or used >= max_nodes:
-            return {"node": node, "children": []}
-        own = [c for c in children.get(node, ()) if c not in path][:max_children]
-        return {"node": node, "children": [grow(c, depth + 1, path | {c}) for c in own]}
-
-    return grow(root, 0, frozenset((root,)))
+def bounded_tree(children: DataFrame, root: str, max_depth: int = 5, max_children: int = 12, max_nodes: int = 250) -> DataFrame:
+    """(path, node, level) of the tree below a root with a soft budget of nodes, taken depth first; ``children`` is (parent, child, pos).
+
+    ``path`` holds the places of a node and of those above it, so texts in order are
+    the tree depth first. Of each node at most ``max_children`` children by ``pos`` are taken, none that stands above it.
+    A node that is reached when ``max_nodes`` are there already has no children, but the siblings
+    of one that was taken still count: exactly the children of the first ``max_nodes`` - 1 nodes are there.
+    """
+    spark = children.sparkSession
+    kids = write_table(children.select("parent", "child", "pos").where("parent is not null and child is not null"), "children")
+    level = spark.createDataFrame([("", root, [root])], "path string, node string, above array<string>")
+    tree, first = level.select("path", "node", F.lit(0).alias("level")), level.select("path")
+    width = len(str(max_children - 1))
+    for depth in range(1, max_depth + 1):
+        step = level.join(kids, level["node"] == kids["parent"]).where(~F.array_contains("above", F.col("child")))
+        place = F.row_number().over(Window.partitionBy("path").orderBy("pos", "child"))
+        step = step.withColumn("k", place).where(F.col("k") <= max_children)
+        step = step.select(F.concat("path", F.lit("."), F.lpad((F.col("k") - 1).cast("string"), width, "0")).alias("path"), F.col("child").alias("node"), F.concat("above", F.array("child")).alias("above"))
+        # a node counts only if its parent is among the first in order, and what comes after those can't come before them
+        level = write_table(step, "level")
+        tree = tree.unionByName(level.select("path", "node", F.lit(depth).alias("level")))
+        first = write_table(tree.select("path").orderBy("path").limit(max_nodes - 1), "first")
+        level = level.join(F.broadcast(first), "path", "left_semi")  # fewer than ``max_nodes`` rows
+    above = F.regexp_extract("path", r"^(.*)\.[0-9]+$", 1)
+    below = tree.where("path <> ''").withColumn("_up", above).join(F.broadcast(first.withColumnRenamed("path", "_up")), "_up", "left_semi").drop("_up")
+    return tree.where("path = ''").unionByName(below)
 
 
 def similarity_functions(namespace: str, dist: DataFrame, depths: DataFrame, max_depth: DataFrame | int) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import labels as L
 from lexiloom.functions import terms as T
+from lexiloom.functions.tables import kept
 from lexiloom.operators import entity, etl, export, search, taxonomy, validate
 from lexiloom.operators.closure import distances
 from lexiloom.operators.infer import infer, superproperties
@@ -294,12 +295,13 @@ _INDEG = "deg AS (SELECT o AS node, count(*) AS indegree FROM t WHERE s IN (SELE
 
 
 def _indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.indegree(view_triples(spark, sf_dir), TYPE, ex("Concept"))
+    """The kept indegrees of the view."""
+    return kept(spark, "indegrees", sf_dir, lambda: indegree(spark, sf_dir))
 
 
 @query(sql("SELECT node, indegree FROM deg", _CONCEPTS, _INDEG))
 def indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indegree(spark, sf_dir)
+    return taxonomy.indegree(view_triples(spark, sf_dir), TYPE, ex("Concept"))
 
 
 @query(
@@ -391,11 +393,6 @@ def search_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.look_up_any_case(view_triples(spark, sf_dir), LEXICON, _lemma(spark, sf_dir), "en", _indegree(spark, sf_dir))
 
 
-@query("SELECT DISTINCT lower(trim(p_name)) AS key, min(p_name) AS form FROM part WHERE lower(p_name) LIKE 's%' GROUP BY 1 ORDER BY 1 LIMIT 200")
-def autocomplete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.autocomplete(search.completions(view_triples(spark, sf_dir), LEXICON.written), " S")
-
-
 @query(sql(f"SELECT DISTINCT a.s AS word, b.s AS synonym FROM t a JOIN t b ON a.o = b.o AND a.s <> b.s AND b.{p('evokes')} WHERE a.{p('evokes')}"))
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.synonyms(view_triples(spark, sf_dir), LEXICON)

@@ -7,13 +7,12 @@ parts and reports of what is missing need gaps.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.tables import shared_folder
+from lexiloom.functions.tables import kept
 from lexiloom.functions.terms import PREFIXES, XSD
 
 EX, RDF, RDFS = PREFIXES["ex"], PREFIXES["rdf"], PREFIXES["rdfs"]
@@ -137,22 +136,13 @@ def view_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-_stores: dict[tuple[str, str], DataFrame] = {}
-
-
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statements as a table in the shared folder, written once an application: a partition for each predicate, in it sorted by subject.
 
     A pattern with a constant predicate reads that partition alone, and a constant
     subject skips row groups. Partitions are split and joined to files of the advisory size.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
-        path = f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}/store"
-        rows = view_statements(spark, sf_dir).hint("rebalance", "p").sortWithinPartitions("p", "s")
-        rows.write.partitionBy("p").parquet(path)
-        _stores[key] = spark.read.schema("g string, s string, o string, d boolean, p string").parquet(path)
-    return _stores[key]
+    return kept(spark, "store", sf_dir, lambda: view_statements(spark, sf_dir).hint("rebalance", "p").sortWithinPartitions("p", "s"), "p")
 
 
 def view_quads(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:

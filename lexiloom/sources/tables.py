@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,14 @@ def write_quads(quads: DataFrame, path: str, replace: bool = False) -> None:
         "g", "s", "p", "o", T.kind(o).alias("o_kind"), T.lex(o).alias("o_lex"), T.lang(o).alias("o_lang"), T.datatype(o).alias("o_dt"),
         F.regexp_replace("g", "[^A-Za-z0-9]+", "_").alias("g_id"), F.regexp_replace("p", "[^A-Za-z0-9]+", "_").alias("p_id"),
     )
+    if replace:  # predicates that a graph has no more are written empty, in the same commit
+        try:
+            old = quads.sparkSession.read.parquet(path).select("g_id", "p_id").distinct()
+        except AnalysisException:
+            old = None
+        if old is not None:
+            stale = old.join(rows.select("g_id").distinct(), "g_id", "left_semi").join(rows.select("g_id", "p_id").distinct(), ["g_id", "p_id"], "left_anti")
+            rows = rows.unionByName(stale, allowMissingColumns=True)
     writer = rows.repartition("g_id", "p_id", F.pmod(F.xxhash64("s"), F.lit(16))).write.partitionBy("g_id", "p_id")
     if replace:
         writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
@@ -49,7 +58,7 @@ def write_quads(quads: DataFrame, path: str, replace: bool = False) -> None:
 
 
 def read_quads(spark: SparkSession, path: str, predicate: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).where("s is not null")
     if predicate is not None:  # the partition column prunes, the term decides
         rows = rows.where(F.col("p_id") == F.regexp_replace(F.lit(predicate), "[^A-Za-z0-9]+", "_")).where(F.col("p") == predicate)
     return rows

@@ -62,12 +62,6 @@ def test_orthogonal_fallback(spark):
     assert as_set(taxonomy.hypernym_graph(t, "h", "o")) == {("x", "p", True), ("y", "r", False)}
 
 
-def test_bounded_tree():
-    tree = taxonomy.bounded_tree({"r": ["a", "b", "c"], "a": ["d", "e"], "b": ["r"]}, "r", max_children=2, max_nodes=3)
-    assert [c["node"] for c in tree["children"]] == ["a", "b"]
-    assert [c["node"] for c in tree["children"][0]["children"]] == ["d", "e"]
-
-
 def test_inference(spark):
     inv, sub = f"<{PREFIXES['owl']}inverseOf>", f"<{PREFIXES['rdfs']}subPropertyOf>"
     schema = [("h", inv, "y"), ("h", sub, "b"), ("y", sub, "n")]
