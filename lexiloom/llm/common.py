@@ -2,17 +2,62 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import math
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.shipping import ship_package
 from lexiloom.functions.tables import drop_table, scratch, write_table as materialise
 
-__all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "materialise", "maybe_in", "scratch", "shuffle_partitions"]
+__all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "lean", "materialise", "maybe_in", "scratch", "shuffle_partitions"]
+
+
+_trimmed = 0.0
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, at most a few times a second."""
+    global _trimmed
+    if time.monotonic() - _trimmed > 0.3:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+        _trimmed = time.monotonic()
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` of a Python task, of batches or of one group, that doesn't keep what it has freed: workers stay between stages, beside the executor."""
+    if inspect.isgeneratorfunction(work):
+
+        @wraps(work)
+        def of_batches(batches):
+            for out in work(batches):
+                yield out
+                del out
+                _trim()
+            _trim()
+
+        return of_batches
+
+    @wraps(work)
+    def of_group(frame):
+        out = work(frame)
+        _trim()
+        return out
+
+    return of_group
 
 
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -111,7 +156,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     """
     current = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v"), "edges")
     if current.count() <= (FEW_EDGES if few is None else few):
-        return materialise(current.repartition(1).mapInPandas(_union_find, "node long, component long"), "groups")
+        return materialise(current.repartition(1).mapInPandas(lean(_union_find), "node long, component long"), "groups")
     current = materialise(current.distinct(), "edges")
     for _ in range(max_rounds):
         n, nodes = current.agg(F.count(F.lit(1)), F.count_distinct("u")).first()

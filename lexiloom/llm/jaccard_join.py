@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import components, join_hot, materialise, maybe_in, scratch
+from lexiloom.llm.common import components, join_hot, lean, materialise, maybe_in, scratch
 from lexiloom.llm.linking import KEY_BITS, Keyed, linked_groups, shared_keys
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -176,7 +176,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield out.assign(doc_id=batch["doc_id"], text_hash=batch["text_hash"])
 
     named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    out = named.mapInPandas(run, "uid long, doc_id long, text_hash long, n_shingles long, c1 long, c2 long, n_keys long, sketch array<long>")
+    out = named.mapInPandas(lean(run), "uid long, doc_id long, text_hash long, n_shingles long, c1 long, c2 long, n_keys long, sketch array<long>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -280,7 +280,7 @@ def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
         texts = near.join(own, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select(F.col("node").alias("a"), "text")
         needed = met.select("task", "a").union(met.select("task", "b")).distinct()
         held = needed.join(texts, "a").select("task", "a", F.lit(-1).cast("long").alias("b"), "text")
-        return held.unionByName(met.withColumn("text", F.lit(None).cast("string"))).groupBy("task").applyInPandas(compare, "a long, b long")
+        return held.unionByName(met.withColumn("text", F.lit(None).cast("string"))).groupBy("task").applyInPandas(lean(compare), "a long, b long")
 
     return verify
 

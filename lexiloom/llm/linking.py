@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import components, materialise, shuffle_partitions
+from lexiloom.llm.common import components, lean, materialise, shuffle_partitions
 
 KEY_BITS, RANK_BITS = 40, 24
 UNIT_KEYS, BUCKET_KEYS = 1_000_000, 1_500_000
@@ -148,8 +148,8 @@ def shared_keys(rows: DataFrame, keys_of: Callable[[pd.DataFrame], Iterator[Keye
         if n_keys:
             yield _unit(*held, buckets, turn)
 
-    dealt = rows.mapInPandas(deal, "bucket int, kind int, blob binary")
-    return dealt.groupBy("bucket").applyInPandas(_meet, "key long, tag long, large boolean")
+    dealt = rows.mapInPandas(lean(deal), "bucket int, kind int, blob binary")
+    return dealt.groupBy("bucket").applyInPandas(lean(_meet), "key long, tag long, large boolean")
 
 
 def _close_pairs(fields: int, may_link: Callable[[np.ndarray, np.ndarray], np.ndarray]):
@@ -202,7 +202,7 @@ def linked_groups(
     fields = [f.name for f in nodes.schema["info"].dataType.fields]
     small = found.where("not large").join(nodes, "tag").select("key", "node", *[F.col(f"info.{f}").alias(f"info_{f}") for f in fields])
     small = small.repartition(shuffle_partitions(found.sparkSession), "key").sortWithinPartitions("key")
-    star = small.mapInArrow(_close_pairs(len(fields), may_link_rows), "a long, b long")
+    star = small.mapInArrow(lean(_close_pairs(len(fields), may_link_rows)), "a long, b long")
     big = materialise(found.where("large").distinct().join(nodes, "tag").select("key", "node", "info"), "large", compression="zstd")
     has_big = not big.isEmpty()
     if has_big:
