@@ -16,6 +16,21 @@ def sense_labels(label: Column) -> Column:
     return F.transform(parts, lambda x: F.trim(x))
 
 
+#: Fixed value: a sense label is a word, a mark that begins with §, a digit or a parenthesis, and the rest of a multi-word expression.
+_SENSE = r"^([^_<>]+)(_((?:§|\d|\()[^_ ]+)( .+)?)?$"
+
+
+def sense_label_parts(label: Column) -> Column:
+    """(word, rest, mark, more) of a sense label; absent parts are null, and all are where it is none."""
+    part = lambda i: F.when(F.regexp_extract(label, _SENSE, i) != "", F.regexp_extract(label, _SENSE, i))
+    return F.struct(part(1).alias("word"), part(2).alias("rest"), part(3).alias("mark"), part(4).alias("more"))
+
+
+def tree_name(label: Column) -> Column:
+    """``{a_§1a; b}`` as ``a``: the first lemma of a label without its mark."""
+    return F.trim(F.regexp_replace(F.split(F.regexp_replace(label, r"[{}]", ""), ";")[0], r"_[§\d].*$", ""))
+
+
 def sense_number(label: Column) -> Column:
     return F.regexp_extract(label, r"§(\d+)", 1).try_cast("int")
 

@@ -104,3 +104,28 @@ def sort_keys(term: Column) -> list[Column]:
     """Total order of terms: unbound, blank nodes, IRIs, literals; numbers by value."""
     rank = F.when(term.isNull(), 0).when(term.startswith("_:"), 1).when(term.startswith("<"), 2).otherwise(3)
     return [rank, number(term), lex(term), term]
+
+
+def normalized(term: Column) -> Column:
+    """A resource without a separator at its end."""
+    return F.when(term.startswith("<"), F.regexp_replace(term, r"[/#]>$", ">")).otherwise(term)
+
+
+def guessed_namespace(term: Column) -> Column:
+    """The namespace of an IRI that no prefix is known for: up to its last ``#``, or else its last ``/``; null for other terms."""
+    return F.when(term.startswith("<"), F.when(term.contains("#"), F.regexp_extract(term, "^<(.*#)", 1)).otherwise(F.regexp_extract(term, "^<(.*/)", 1)))
+
+
+def guessed_local(term: Column) -> Column:
+    """The local name of such an IRI: what follows the namespace."""
+    return F.when(term.startswith("<"), F.when(term.contains("#"), F.regexp_extract(term, "#([^#]*)>$", 1)).otherwise(F.regexp_extract(term, "/([^/]*)>$", 1)))
+
+
+def is_qname(text: Column) -> Column:
+    return text.rlike("^[^:/]+:[^:/]+$")
+
+
+def resource_of(name: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """The IRI of a qualified name, null where its prefix isn't known."""
+    known = F.create_map(*[F.lit(x) for pair in (prefixes or PREFIXES).items() for x in pair])
+    return F.concat(F.lit("<"), known[F.substring_index(name, ":", 1)], F.substring_index(name, ":", -1), F.lit(">"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tables import write_table
@@ -115,6 +115,35 @@ def best_labels(labels: DataFrame, rank) -> DataFrame:
     return labels.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "o")).alias("x")).select("s", F.col("x.o").alias("label"))
 
 
+def set_merge(a: Column, b: Column) -> Column:
+    """The union of two sets of values, in order; a null set is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def unwrapped(values: Column) -> Column:
+    """(one, many): a value that stands alone by itself, several as a set, none of both for an empty set."""
+    return F.struct(F.when(F.size(values) == 1, values[0]).alias("one"), F.when(F.size(values) > 1, values).alias("many"))
+
+
+def entity_labels(triples: DataFrame, full: str, short: str, others: list[str], detail: str = "normal") -> DataFrame:
+    """(s, os): the labels of each resource, those of the first predicate that it has any under.
+
+    ``normal`` asks for the short label first, ``high`` for the full one, and then leaves out
+    values that are short ones too, unless nothing else is left; ``basic`` tells none.
+    """
+    if detail == "basic":
+        return triples.select("s", F.array("o").alias("os")).limit(0)
+    order = [short, full, *others] if detail == "normal" else [full, short, *others]
+    rows = triples.where(F.col("p").isin(*order)).groupBy("s").pivot("p", order).agg(F.array_sort(F.collect_set("o")))
+    have = [F.when(F.size(F.col(f"`{p}`")) > 0, F.col(f"`{p}`")) for p in order]
+    found = F.coalesce(*have)
+    if detail == "high":
+        rest = F.array_except(found, F.coalesce(F.col(f"`{short}`"), F.array().cast("array<string>")))
+        found = F.when(F.size(rest) > 0, rest).otherwise(found)
+    return rows.select("s", found.alias("os"))
+
+
 def round_robin_top(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """n values taken in turn from each key: the first of every key, then the second, and so on."""
     w = Window.partitionBy(key).orderBy(value)

@@ -18,6 +18,17 @@ def update_triples(base: DataFrame, adds: DataFrame | None = None, removals: Dat
     return out.distinct()
 
 
+def safe_add(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The base with the rows that are triples, and the others with what is wrong with them: one bad row doesn't hold up the rest."""
+    term = lambda c: F.col(c).rlike(r"^(<[^<>\"{}|^`\\\s]*>|_:\S+)$")
+    literal = F.col("o").rlike(r'(?s)^"(?:[^"\\]|\\.)*"(@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?$')
+    wrong = F.when(F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull(), "a part is missing").when(~term("s"), "the subject is no resource")
+    wrong = wrong.when(~term("p") | F.col("p").startswith("_:"), "the predicate is no IRI").when(~term("o") & ~literal, "the value is no term")
+    told = rows.select("s", "p", "o", wrong.alias("problem"))
+    good = told.where("problem is null").select("s", "p", "o")
+    return base.select("s", "p", "o").unionByName(good).distinct(), told.where("problem is not null")
+
+
 def remove(base: DataFrame, patterns: DataFrame) -> DataFrame:
     """Without the triples that match a pattern; one anti join for each shape of pattern, on its fixed parts."""
     shapes = patterns.select(*[F.col(c).isNotNull().alias(c) for c in "spo"]).distinct().collect()  # at most eight
@@ -128,6 +139,13 @@ def rebuild_links(links: DataFrame, remap: DataFrame, known: DataFrame) -> DataF
     return out.select("a", F.when(F.col("there"), F.col("target")).alias("b"), fate.alias("fate")).distinct()
 
 
+def reloaded(kept: DataFrame, links: DataFrame, fresh: DataFrame, remap: DataFrame) -> DataFrame:
+    """A graph loaded anew: what was kept beside it, the fresh triples, and the links (s, p, o) into it, moved along ``remap`` (old, new) or dropped."""
+    nodes = fresh.select(F.col("s").alias("node")).distinct()
+    ends = rebuild_links(links.select(F.struct("s", "p").alias("a"), F.col("o").alias("b")), remap, nodes).where("fate <> 'dropped'")
+    return kept.select("s", "p", "o").unionByName(fresh.select("s", "p", "o")).unionByName(ends.select("a.s", "a.p", F.col("b").alias("o"))).distinct()
+
+
 def replace_subjects(triples: DataFrame, metadata: DataFrame) -> DataFrame:
     """All that was said of the subjects of ``metadata`` gives way to it."""
     rest = triples.join(metadata.select("s").distinct(), "s", "left_anti").select("s", "p", "o")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import terms as T
+from lexiloom.sources.documents import write_document, xml_text
 
 
 def csv_table(triples: DataFrame, *predicates: str) -> DataFrame:
@@ -98,12 +100,45 @@ def dangling_references(references: DataFrame, declared: DataFrame) -> DataFrame
 
 def catalog(triples: DataFrame, predicates: list[str]) -> DataFrame:
     """(uri): distinct sources named by any of the predicates; a form with a trailing ``/`` or ``#`` goes where the plain one exists."""
-    found = triples.where(F.col("p").isin(*predicates) & F.col("o").startswith("<")).select(F.col("o").alias("uri")).distinct()
+    return plain_sources(triples.where(F.col("p").isin(*predicates) & F.col("o").startswith("<")).select(F.col("o").alias("uri")))
+
+
+def plain_sources(found: DataFrame) -> DataFrame:
+    """(uri) without forms with a trailing ``/`` or ``#`` of which the plain one is there too."""
+    found = found.select("uri").distinct()
     plain = found.where(~F.col("uri").rlike("[/#]>$")).select(F.col("uri").alias("base"))
     variant = found.where(F.col("uri").rlike("[/#]>$")).withColumn("base", F.regexp_replace("uri", "[/#]>$", ">"))
     return found.join(variant.join(plain, "base", "left_semi").select("uri"), "uri", "left_anti")
 
 
+def catalog_entries(found: DataFrame, triples: DataFrame, labels: list[str], prefix: str) -> DataFrame:
+    """(uri, label, prefix) of sources (uri): texts of specifications and spare forms left out, the label by the first of the predicates that there is one under."""
+    uris = plain_sources(found.where(F.col("uri").startswith("<") & ~F.col("uri").contains("www.w3.org/TR/")))
+    rank = F.lit(len(labels))
+    for i, p in reversed(list(enumerate(labels))):
+        rank = F.when(F.col("p") == p, i).otherwise(rank)
+    named = triples.where(F.col("p").isin(*labels)).groupBy(F.col("s").alias("uri")).agg(F.min(F.struct(rank.alias("rank"), "o"))["o"].alias("label"))
+    short = triples.where(F.col("p") == prefix).groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("prefix"))
+    return uris.join(named, "uri", "left").join(short, "uri", "left")
+
+
+def write_lexicon(entries: DataFrame, concepts: DataFrame, path: str, attributes: dict[str, str]) -> None:
+    """A lexicon document in parts: entries with their lemma and senses, then concepts with members and relations, in the order of their names.
+
+    ``entries`` and ``concepts`` are those of :func:`lexicon_entries` and :func:`concept_entries`; entries without a sense are left out.
+    """
+    name = lambda c: xml_text(F.regexp_extract(c, "([^/#]+)>$", 1))
+    tag = lambda kind, *pairs: F.concat(F.lit(f"<{kind}"), *[x for key, value in pairs for x in (F.lit(f' {key}="'), value, F.lit('"'))])
+    senses = F.array_join(F.transform("senses", lambda s: F.concat(tag("Sense", ("id", name(s["id"])), ("synset", name(s["synset"]))), F.lit("/>"))), "")
+    entry = F.concat(tag("LexicalEntry", ("id", name(F.col("id")))), F.lit(">"), tag("Lemma", ("writtenForm", xml_text(F.col("lemma")))), F.lit("/>"), senses, F.lit("</LexicalEntry>"))
+    relations = F.coalesce(F.array_join(F.transform("relations", lambda r: F.concat(tag("SynsetRelation", ("relType", name(r["relType"])), ("target", name(r["target"]))), F.lit("/>"))), ""), F.lit(""))
+    members = F.array_join(F.transform("members", name), " ")
+    concept = F.concat(tag("Synset", ("id", name(F.col("id"))), ("members", members)), F.lit(">"), relations, F.lit("</Synset>"))
+    rows = entries.where(F.size("senses") > 0).select(F.lit(0).alias("place"), "id", entry.alias("text")).unionByName(concepts.select(F.lit(1).alias("place"), "id", concept.alias("text")))
+    said = "".join(f' {k}="{html.escape(v)}"' for k, v in attributes.items())
+    write_document(rows, ["place", "id"], "text", path, f'<?xml version="1.0" encoding="UTF-8"?>\n<LexicalResource><Lexicon{said}>', "</Lexicon></LexicalResource>")
+
+
 def validate_document(text: str) -> list[str]:
     """Problems of a lexicographic resource in JSON: root kind, required and unknown keys, languages, entries."""
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lexiloom.functions import labels as L
 from lexiloom.functions import terms as T
 from lexiloom.functions.tables import write_table
-from lexiloom.operators.closure import distances
-from lexiloom.operators.entity import gathered_values, raw_vs_inferred, resource_labels
+from lexiloom.operators.closure import distances, reachable
+from lexiloom.operators.entity import blank_node_trees, gathered_values, prune_superproperties, raw_vs_inferred, resource_labels
 
 
 def _links(triples: DataFrame, p: str, a: str, b: str) -> DataFrame:
@@ -45,15 +45,43 @@ def supplement_word(triples: DataFrame, same_as: str, other_form: str, namespace
     return own.unionByName(theirs).groupBy("s").agg(F.array_sort(F.collect_set("form")).alias("forms"))
 
 
-def expanded_entity(triples: DataFrame, base: DataFrame, subjects: DataFrame, degrees: DataFrame, label: str) -> DataFrame:
-    """(s, p, o, pos, label, inferred) of the asked subjects: values of each predicate by indegree, with their labels and whether they are inferred only."""
-    rows = triples.join(subjects.select(F.col("node").alias("s")).distinct(), "s", "left_semi").select("s", "p", "o").distinct()
-    rows = rows.join(degrees.withColumnRenamed("node", "o"), "o", "left").withColumn("indegree", F.coalesce("indegree", F.lit(0)))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("s", "p").orderBy(F.desc("indegree"), "o")))
-    named = resource_labels(triples, rows.select(F.col("o").alias("node")), label).groupBy("node").agg(F.min("label").alias("label"))
-    made = raw_vs_inferred(base, rows).withColumn("inferred", F.lit(True))
-    out = rows.join(named.withColumnRenamed("node", "o"), "o", "left").join(made, ["s", "p", "o"], "left")
-    return out.select("s", "p", "o", "pos", "label", F.coalesce("inferred", F.lit(False)).alias("inferred"))
+def expanded_entity(triples: DataFrame, base: DataFrame, subjects: DataFrame, degrees: DataFrame, label: str, supers: dict[str, set[str]] | None = None, gather: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """(s, p, o, pos, label, inferred, entity, supplemented) of the asked subjects, what a page of a resource shows.
+
+    Values of each predicate by indegree, with their labels, whether they are inferred only, and blank nodes folded to what is said of them.
+    With ``supers`` predicates go whose values all stand under a more specific one. ``gather`` names, for a predicate, what
+    is told under it of other resources: pairs (link, predicate), whose values take the place of the subject's own.
+    Everything starts from the statements of the subjects in ``triples``, which may be inferred from those around them
+    alone; labels, gathered values and blank nodes come from ``base``.
+    """
+    asked = subjects.select(F.col("node").alias("s")).distinct()
+    rows = triples.join(F.broadcast(asked), "s", "left_semi").select("s", "p", "o").distinct()  # the subjects that a user asked for
+    if supers:
+        rows = prune_superproperties(rows, supers)
+    rows = write_table(rows.withColumn("supplemented", F.lit(False)), "asked")
+    for predicate, links in (gather or {}).items():
+        for link, told in links:
+            linked = rows.where(F.col("p") == link).select("s", F.col("o").alias("m"))
+            values = base.where(F.col("p") == told).select(F.col("s").alias("m"), "o").join(linked, "m").select("s", F.lit(predicate).alias("p"), "o").distinct()
+            values = write_table(values.withColumn("supplemented", F.lit(True)), "gathered")
+            rows = rows.join(values.select("s", "p").distinct(), ["s", "p"], "left_anti").select("s", "p", "o", "supplemented").unionByName(values)
+    ranked = rows.join(degrees.withColumnRenamed("node", "o"), "o", "left").withColumn("indegree", F.coalesce("indegree", F.lit(0)))
+    ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("s", "p").orderBy(F.desc("indegree"), "o")))
+    ranked = write_table(ranked.select("s", "p", "o", "pos", "supplemented"), "ranked")
+    named = resource_labels(base, ranked.select(F.col("o").alias("node")), label).groupBy("node").agg(F.min("label").alias("label"))
+    made = raw_vs_inferred(base, ranked).withColumn("inferred", F.lit(True))
+    out = ranked.join(named.withColumnRenamed("node", "o"), "o", "left").join(made, ["s", "p", "o"], "left")
+    blanks = ranked.where(F.col("o").startswith("_:")).select(F.col("o").alias("src")).distinct()
+    if blanks.isEmpty():
+        out = out.withColumn("entity", F.lit(None).cast("string"))
+    else:
+        # what the subjects' blank nodes lead to, through blank nodes alone
+        inner = base.where(F.col("s").startswith("_:"))
+        hops = inner.where(F.col("o").startswith("_:")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        reached = blanks.union(reachable(hops, blanks.withColumnRenamed("src", "node")).select("dst")).distinct()
+        trees = blank_node_trees(inner.join(reached.withColumnRenamed("src", "s"), "s", "left_semi"), supers)
+        out = out.join(trees.select(F.col("node").alias("o"), "entity"), "o", "left")
+    return out.select("s", "p", "o", "pos", "label", F.coalesce("inferred", F.lit(False)).alias("inferred"), "entity", "supplemented")
 
 
 def displayed_resources(rows: DataFrame) -> DataFrame:
@@ -193,6 +221,13 @@ def relations_in_use(triples: DataFrame, type_predicate: str, kind: str, labels:
     return rows.join(F.broadcast(labels.select("p", "label")), "p", "left")  # schema rows only
 
 
+def known_relations(triples: DataFrame, typed: DataFrame, cross: list[str], labels: DataFrame) -> DataFrame:
+    """(p, cross, label): relations that a schema types as such (p), and of the relations to other data sets those in use, each probed by itself."""
+    used = triples.where(F.col("p").isin(*cross)).select("p").distinct()
+    rows = typed.select("p").distinct().withColumn("cross", F.lit(False)).unionByName(used.join(typed.select("p"), "p", "left_anti").withColumn("cross", F.lit(True)))
+    return rows.join(F.broadcast(labels.select("p", "label")), "p", "left")  # schema rows only
+
+
 def grouped_relations(relations: DataFrame, groups: list[tuple[str, str]], other: str = "other") -> DataFrame:
     """(p, grp, place): relations by the first group whose pattern matches them, groups in their order, then by name."""
     grp, rank = F.lit(other), F.lit(len(groups))
@@ -210,6 +245,11 @@ def largest_parents(edges: DataFrame, n: int) -> DataFrame:
 # --- exports
 
 
+def without_ids(rows: DataFrame, column: str, excluded: DataFrame) -> DataFrame:
+    """Rows but for those whose ``column`` is among the excluded (id)."""
+    return rows.join(excluded.select(F.col("id").alias(column)).distinct(), column, "left_anti").select(*rows.columns)
+
+
 def without_pairs(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     """Edges (src, dst) that are excluded in neither direction."""
     both = excluded.select("src", "dst").union(excluded.select("dst", "src"))

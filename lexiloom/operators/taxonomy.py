@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import labels as L
+from lexiloom.functions import terms as T
 from lexiloom.functions.tables import write_table
 from lexiloom.operators.closure import distances, longest_depths, reach_counts
 
@@ -173,6 +175,15 @@ def bounded_tree(children: DataFrame, root: str, max_depth: int = 5, max_childre
     return tree.where("path = ''").unionByName(below)
 
 
+def labelled_tree(tree: DataFrame, labels: DataFrame, flags: DataFrame) -> DataFrame:
+    """(path, node, level, name, orthogonal) of a tree: the first lemma of each node's label, or its local name; ``flags`` is (node, orthogonal)."""
+    named = labels.groupBy("node").agg(F.min("label").alias("label"))
+    marked = flags.groupBy("node").agg(F.min("orthogonal").alias("orthogonal"))
+    out = tree.join(named, "node", "left").join(marked, "node", "left")
+    name = F.coalesce(F.when(L.tree_name(T.lex(F.col("label"))) != "", L.tree_name(T.lex(F.col("label")))), T.guessed_local(F.col("node")))
+    return out.select("path", "node", "level", name.alias("name"), F.coalesce("orthogonal", F.lit(False)).alias("orthogonal"))
+
+
 def similarity_functions(namespace: str, dist: DataFrame, depths: DataFrame, max_depth: DataFrame | int) -> dict:
     """Scalar functions ``path``, ``lch`` and ``wup`` of two nodes for queries; a null argument or result is unbound.
 

@@ -143,3 +143,17 @@ def validate_export(violations: DataFrame, baseline: dict[str, int]) -> None:
     over = baseline_exceeded(violations, baseline).orderBy("shape").collect()
     if over:
         raise ValidationFailed("; ".join(f"{r['shape']}: {r['n']} > {r['accepted']}" for r in over))
+
+
+def pos_disagreement(triples: DataFrame, hypernym: str, lexicalized: str, sense: str, pos: str, namespace: str) -> DataFrame:
+    """(focus_node, value): concepts and those above them in a namespace that words of different parts of speech stand for.
+
+    A concept has the parts of speech of the words of its senses, found once for both ends.
+    """
+    edges = triples.where((F.col("p") == hypernym) & F.col("o").startswith(f"<{namespace}")).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
+    of = lambda p, s, o: triples.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
+    kinds = of(lexicalized, "node", "sense").join(of(sense, "word", "sense"), "sense").join(of(pos, "word", "pos"), "word").select("node", "pos").distinct()
+    sets = kinds.groupBy("node").agg(F.collect_set("pos").alias("kinds"))  # a handful of parts of speech
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("kinds").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("kinds").alias("kb")), "b")
+    same = (F.size("ka") == 1) & (F.size("kb") == 1) & (F.col("ka")[0] == F.col("kb")[0])
+    return both.where(~same).select(F.col("a").alias("focus_node"), F.col("b").alias("value"))

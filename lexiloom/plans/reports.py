@@ -11,7 +11,7 @@ from lexiloom.functions import labels as L
 from lexiloom.functions import terms as T
 from lexiloom.functions.tables import write_table
 from lexiloom.operators import etl, lexicon, taxonomy
-from lexiloom.operators.infer import infer
+from lexiloom.operators.infer import infer, superproperties
 from lexiloom.plans.lexical import sql
 from lexiloom.plans.registry import _CONCEPTS, _H, _INDEG, _INFERRED, HYPER, ORACLES, QUERIES, _graph, _indegree, ex, p, query
 from lexiloom.sources.relational import EX, LABEL, SCHEMA, TYPE
@@ -61,19 +61,28 @@ def supplemented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s", F.array_join("forms", " | ").alias("forms"))
 
 
-_SUBJECTS = f"('{ex('part-1')}', '{ex('part-12')}', '{ex('nation-3')}')"
+_ASKED = ("part-1", "part-12", "nation-3")
+_SUBJECTS = "(" + ", ".join(f"'{ex(n)}'" for n in _ASKED) + ")"
+_PAGES = (*_ASKED, "synset-Brand10_MEDIUM")
+_PAGE = "(" + ", ".join(f"'{ex(n)}'" for n in _PAGES) + ")"
 
 
 @query(
     sql(
-        f"SELECT i.s, i.p, i.o, CAST(row_number() OVER (PARTITION BY i.s, i.p ORDER BY coalesce(indegree, 0) DESC, i.o) AS INTEGER) AS pos, l.label, NOT EXISTS (SELECT 1 FROM t WHERE t.s = i.s AND t.p = i.p AND t.o = i.o) AS inferred "
-        f"FROM i LEFT JOIN deg ON deg.node = i.o LEFT JOIN (SELECT s, min(o) AS label FROM t WHERE p = '{LABEL}' GROUP BY s) l ON l.s = i.o WHERE i.s IN {_SUBJECTS}",
+        "SELECT r.s, r.p, r.o, CAST(row_number() OVER (PARTITION BY r.s, r.p ORDER BY coalesce(indegree, 0) DESC, r.o) AS INTEGER) AS pos, l.label, NOT EXISTS (SELECT 1 FROM t WHERE t.s = r.s AND t.p = r.p AND t.o = r.o) AS inferred, "
+        "CASE WHEN r.o LIKE '\\_:%' ESCAPE '\\' THEN '[ ' || (SELECT string_agg(t.p || ' ' || t.o, ' ; ' ORDER BY t.p) FROM t WHERE t.s = r.o) || ' ]' END AS entity, supplemented "
+        f"FROM (SELECT DISTINCT s, p, o, false AS supplemented FROM i WHERE s IN {_PAGE} AND p NOT IN ('{ex('broader')}', '{ex('narrower')}', '{ex('related')}') UNION ALL "
+        f"SELECT DISTINCT a.s, b.p, b.o, true FROM t a JOIN t b ON b.s = a.o AND b.{p('example')} WHERE a.{p('lexicalizedSense')} AND a.s IN {_PAGE}) r "
+        f"LEFT JOIN deg ON deg.node = r.o LEFT JOIN (SELECT s, min(o) AS label FROM t WHERE p = '{LABEL}' GROUP BY s) l ON l.s = r.o",
         _INFERRED, _CONCEPTS, _INDEG,
     )
 )
 def expanded_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = view_triples(spark, sf_dir)
-    return lexicon.expanded_entity(infer(base, SCHEMA), base, _nodes(spark, "part-1", "part-12", "nation-3"), _indegree(spark, sf_dir), LABEL)
+    """Pages of four resources: ranked, labelled and pruned values, nested nodes, and the examples of a synset's senses. Only what touches them is inferred from."""
+    base, subjects = view_triples(spark, sf_dir), [ex(n) for n in _PAGES]
+    near = base.where(F.col("s").isin(*subjects) | F.col("o").isin(*subjects))
+    gather = {ex("example"): [(ex("lexicalizedSense"), ex("example"))]}
+    return lexicon.expanded_entity(infer(near, SCHEMA), base, _nodes(spark, *_PAGES), _indegree(spark, sf_dir), LABEL, superproperties(SCHEMA), gather)
 
 
 @query(sql(f"SELECT DISTINCT s, x AS node FROM (SELECT s, p AS x FROM t UNION ALL SELECT s, o FROM t) WHERE s IN {_SUBJECTS} AND x LIKE '<%'"))
@@ -277,7 +286,7 @@ def matching_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.matching_entries(o.select(F.col("o_custkey").alias("word"), head.alias("headword"), F.col("o_orderpriority").alias("entry"), F.col("o_orderstatus").alias("lemma")))
 
 
-_FEEL = "x AS (SELECT p_brand AS subject, CASE WHEN p_size % 50 = 0 THEN 'negative' ELSE 'positive' END AS polarity, CASE WHEN p_size % 3 = 0 THEN p_size % 2 + 1 END AS value FROM part WHERE p_brand < 'Brand#2' OR p_size % 50 <> 0)"
+_FEEL = "x AS (SELECT p_brand || '/' || p_type AS subject, CASE WHEN p_size % 50 = 0 THEN 'negative' ELSE 'positive' END AS polarity, CASE WHEN p_size % 3 = 0 THEN p_size % 2 + 1 END AS value FROM part)"
 
 
 @query(
@@ -285,21 +294,26 @@ _FEEL = "x AS (SELECT p_brand AS subject, CASE WHEN p_size % 50 = 0 THEN 'negati
     "SELECT subject, polarity || CASE WHEN n = 1 AND ((polarity = 'positive' AND value > 0) OR (polarity = 'negative' AND value < 0)) THEN ' ' || value ELSE '' END AS labels FROM y"
 )
 def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_brand < 'Brand#2' or p_size % 50 <> 0")
-    rows = part.select(F.col("p_brand").alias("subject"), F.when(F.col("p_size") % 50 == 0, "negative").otherwise("positive").alias("polarity"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 2 + 1).alias("value"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.concat_ws("/", "p_brand", "p_type").alias("subject"), F.when(F.col("p_size") % 50 == 0, "negative").otherwise("positive").alias("polarity"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 2 + 1).alias("value"))
     return lexicon.sentiment_labels(rows).select("subject", F.array_join("labels", " ").alias("labels"))
 
 
-_ROLES = [("hypernym", "hyponym"), ("partOf", "hasPart"), ("antonym", "antonym"), ("domain", None)]
+_INVERSE = [(a, o) for a, pr, o in SCHEMA if pr.endswith("inverseOf>")]
 
 
 @query(
-    "SELECT rel, obverse, CASE WHEN obverse IS NULL THEN 'involved_' || regexp_extract(rel, '([^/#]+)>$', 1) ELSE regexp_extract(obverse, '([^/#]+)>$', 1) END AS subject_role, regexp_extract(rel, '([^/#]+)>$', 1) AS object_role FROM (VALUES "
-    + ", ".join(f"('{ex(a)}', {repr(ex(b)) if b else 'NULL'})" for a, b in _ROLES)
-    + ") v(rel, obverse)"
+    sql(
+        "SELECT rel, obverse, CASE WHEN obverse IS NULL THEN 'involved_' || regexp_extract(rel, '([^/#]+)>$', 1) ELSE regexp_extract(obverse, '([^/#]+)>$', 1) END AS subject_role, regexp_extract(rel, '([^/#]+)>$', 1) AS object_role, n "
+        f"FROM (SELECT t.p AS rel, v.obverse, count(*) AS n FROM t LEFT JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _INVERSE)}) v(rel, obverse) ON v.rel = t.p WHERE t.o LIKE '<%' AND t.p <> '{TYPE}' GROUP BY t.p, v.obverse)"
+    )
 )
 def relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.relation_roles(spark.createDataFrame([(ex(a), ex(b) if b else None) for a, b in _ROLES], "rel string, obverse string"))
+    """Role names of the relations that the view uses, with their inverses from the schema where it has one."""
+    used = view_triples(spark, sf_dir).where(F.col("o").startswith("<") & (F.col("p") != TYPE)).groupBy(F.col("p").alias("rel")).agg(F.count(F.lit(1)).alias("n"))
+    inverse = spark.createDataFrame(_INVERSE, "rel string, obverse string")
+    relations = used.join(F.broadcast(inverse), "rel", "left")  # schema rows only
+    return lexicon.relation_roles(relations).join(used, "rel")
 
 
 _ORDER = (
@@ -378,7 +392,7 @@ def recovered_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(f"SELECT p, count(*) AS n FROM t WHERE NOT {p('assertedPartOfSpeech')} GROUP BY p"))
 def removed_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = view_triples(spark, sf_dir)
-    n = t.where(F.col("p") == ex("assertedPartOfSpeech")).count()
+    n = t.where(F.col("p") == ex("assertedPartOfSpeech")).count()  # what the caller is told to remove
     return etl.remove_all(t, ex("assertedPartOfSpeech"), n).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -419,7 +433,7 @@ def merged_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    remap = links.select(F.col("b").alias("old")).distinct().where("old % 10 = 3").select("old", (F.col("old") + 1).alias("new"))
+    remap = links.select(F.col("b").alias("old"), F.when(F.col("b") % 10 == 3, F.col("b") + 1).alias("new")).distinct().where("new is not null")
     return etl.rebuild_links(links, remap, part.where("p_size > 5").select(F.col("p_partkey").alias("node")))
 
 

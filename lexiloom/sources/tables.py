@@ -96,14 +96,34 @@ def csv_cell(values: Column) -> Column:
     return F.array_join(F.array_sort(values), "; ")
 
 
+#: Languages of labels that stay where a property has several values.
+LABEL_LANGUAGES = ("da", "en")
+
+
 def json_ld(triples: DataFrame) -> DataFrame:
-    """(s, doc): each subject as a JSON-LD object with full IRIs; several values are arrays."""
-    o = F.col("o")
+    """(s, doc): each resource as a JSON-LD object with full IRIs; several values are an array, in order.
+
+    Of several values literals in other languages than :data:`LABEL_LANGUAGES` are left out. A blank node
+    stands as what is said of it, a bag as the set of its members.
+    """
+    o, bag, kind = F.col("o"), f"<{T.PREFIXES['rdf']}Bag>", f"<{T.PREFIXES['rdf']}type>"
     lang = F.when(T.lang(o) != "", T.lang(o))
-    value = F.to_json(F.struct(F.when(~o.startswith('"'), F.when(o.startswith("_:"), o).otherwise(T.lex(o))).alias("@id"), F.when(o.startswith('"'), T.lex(o)).alias("@value"), lang.alias("@language")))
-    by = triples.groupBy("s", "p").agg(F.array_sort(F.collect_set(value)).alias("vs"))
-    many = F.when(F.size("vs") == 1, F.col("vs")[0]).otherwise(F.concat(F.lit("["), F.array_join("vs", ","), F.lit("]")))
-    pair = F.concat(F.to_json(F.array(F.expr("substring(p, 2, length(p) - 2)"))), F.lit(":"), many)
-    pair = F.regexp_replace(pair, r'^\["([^"]*)"\]:', '"$1":')
-    body = by.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("body"))
-    return body.select("s", F.concat(F.lit('{"@id":"'), T.lex(F.col("s")), F.lit('",'), F.col("body"), F.lit("}")).alias("doc"))
+    typed = F.when(o.contains('"^^<'), T.datatype(o))
+    plain = F.to_json(F.struct(F.when(~o.startswith('"'), F.when(o.startswith("_:"), o).otherwise(T.lex(o))).alias("@id"), F.when(o.startswith('"'), T.lex(o)).alias("@value"), lang.alias("@language"), typed.alias("@type")))
+    told = F.coalesce(lang.isNull() | lang.isin(*LABEL_LANGUAGES), F.lit(True))
+
+    def objects(rows: DataFrame) -> DataFrame:
+        """(s, body): the properties of (s, p, value, told)."""
+        by = rows.groupBy("s", "p").agg(F.array_sort(F.collect_set("value")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("told"), F.col("value")))).alias("some"))
+        many = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.concat(F.lit("["), F.array_join("some", ","), F.lit("]")))
+        key = F.to_json(F.struct(T.lex(F.col("p")).alias("k")))
+        pair = F.concat(F.regexp_replace(key, r'^\{"k":(.*)\}$', "$1"), F.lit(":"), many)
+        return by.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("body"))
+
+    inner = triples.where(F.col("s").startswith("_:"))
+    bags = inner.where((F.col("p") == kind) & (o == bag)).select("s").distinct()
+    members = inner.join(bags, "s", "left_semi").where(F.col("p").startswith(f"<{T.PREFIXES['rdf']}_")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct(F.regexp_extract("p", r"_(\d+)>$", 1).cast("long").alias("n"), plain.alias("v")))).alias("m"))
+    sets = members.select(F.col("s").alias("o"), F.concat(F.lit('{"@set":['), F.array_join(F.transform("m", lambda m: m["v"]), ","), F.lit("]}")).alias("node"))
+    nodes = objects(inner.join(bags, "s", "left_anti").select("s", "p", plain.alias("value"), told.alias("told"))).select(F.col("s").alias("o"), F.concat(F.lit("{"), F.col("body"), F.lit("}")).alias("node"))
+    outer = triples.where(~F.col("s").startswith("_:")).join(sets.unionByName(nodes), "o", "left").select("s", "p", F.coalesce("node", plain).alias("value"), told.alias("told"))
+    return objects(outer).select("s", F.concat(F.lit('{"@id":"'), T.lex(F.col("s")), F.lit('",'), F.col("body"), F.lit("}")).alias("doc"))
