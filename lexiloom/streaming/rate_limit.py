@@ -77,7 +77,7 @@ class _Counters(StatefulProcessor):
             first = frame["t"].min() if first is None else min(first, frame["t"].min())
         if first is not None:
             self.handle.registerTimer(math.ceil(first * 1000))
-        yield pd.DataFrame({"key": [], "event_id": [], "allowed": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
@@ -96,7 +96,7 @@ class _Counters(StatefulProcessor):
             self.counter.update((count, -1.0 if expiry is None else expiry))
             if not later:
                 self.handle.registerTimer(math.floor(expiry * 1000) + 1)
-        yield pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [i for _, i in ready], "allowed": allowed})
+        return iter([pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [i for _, i in ready], "allowed": allowed})] if ready else [])
 
     def close(self) -> None:
         pass

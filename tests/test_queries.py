@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lexiloom.plans.exchange import ORACLES, QUERIES
+from lexiloom.plans import exchange, lexical, reports
+
+ORACLES, QUERIES = exchange.ORACLES, exchange.QUERIES
+assert lexical.QUERIES is QUERIES and reports.QUERIES is QUERIES  # one register
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()

@@ -33,4 +33,4 @@ def test_stream_tells_what_the_table_does(spark, tmp_path):
     want = {tuple(r) for r in rate_limit(spark.createDataFrame(rows, EVENTS), limit=4, seconds=30).collect()}
     assert got == want and {a for _, _, a in got} == {True, False}
     sizes = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
-    assert max(sizes) > 100 and sizes[-1] < 12, sizes
+    assert max(sizes) >= 6 and sizes[-1] <= 2, sizes  # a row for the counter of a key, one for what waits
