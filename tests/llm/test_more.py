@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.shipping import ship_package
-from lexiloom.llm import lm_score, merkle, periodic_runs
+from lexiloom.llm import language_id, lm_score, merkle, periodic_runs, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, leaf string, n double"
 
@@ -272,3 +272,75 @@ def test_lm_score(spark):
     assert lm_score.lm_score(odd_table(spark).limit(0), held).count() == 0
     nothing = lm_score.lm_score(table(spark, ["a b", None]), F.lit(True)).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in nothing] == [3, 1] and all(r["train_tokens"] == r["n_known"] == r["base_score"] == 0 for r in nothing)
+
+
+def test_language_scores_against_dense_kernel_ridge():
+    """With every text a landmark the folded matrix gives what kernel ridge regression on the whole kernel gives, text by text."""
+    rng = random.Random(3)
+    alphabets = {"a": "abcdef ", "b": "efghij ", "c": "klmabc "}
+    make = lambda lang: "".join(rng.choice(alphabets[lang]) for _ in range(80))
+    langs = [rng.choice("aaabbc") for _ in range(60)]
+    texts = [make(x) for x in langs]
+    strings = lambda t: {" ".join(t.split())[i : i + n] for n in range(1, language_id.MAX_N + 1) for i in range(len(" ".join(t.split())) - n + 1)}
+    slots = lambda t: set(language_id.ngram_slots(t).tolist())
+    x = np.zeros((60, language_id.DIMS), np.uint8)
+    for i, t in enumerate(texts):
+        x[i, language_id.ngram_slots(t)] = 1
+    names, matrix = language_id.fit(x, langs, landmarks=60, ridge=1e-2)
+    fresh = [make(k) for k in "abcabc"] + texts[:5]
+    got = []
+    for t in fresh:
+        own = np.zeros(language_id.DIMS, np.float32)
+        own[language_id.ngram_slots(t)] = 1
+        got.append(own @ matrix / math.sqrt(own.sum()))
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
+    w = 1.0 / np.array([langs.count(a) for a in langs])
+    w = np.diag(w / w.mean())
+    # the kernel: shared n-grams over the root of the product of both counts; n-grams told by their slots, and by themselves
+    for grams, most in ((slots, 1e-3), (strings, 0.06)):
+        sets = [grams(t) for t in texts]
+        near = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+        alpha = np.linalg.solve(w @ np.array([[near(a, b) for b in sets] for a in sets]) + 1e-2 * np.eye(60), w @ y)
+        want = np.array([[near(grams(t), s) for s in sets] for t in fresh]) @ alpha
+        assert np.abs(np.array(got) - want).max() < most, grams
+
+
+def test_toxicity_scores_against_plain_loops(spark):
+    """Passages by trying every segment, their chance and the score, for a model that was learned."""
+    rng = random.Random(5)
+    clean = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    rows, labels = [], []
+    for i in range(240):
+        words = clean(60)
+        if i % 3 == 0:
+            at = rng.randrange(50)
+            words[at : at + 6] = [f"bad{rng.randrange(5)}" for _ in range(6)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    extra = docs.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "bad1 " * 30_000), (1, rows[1][1])], "doc_id long, text string"))
+    got = [(r["doc_id"], r["score"], r["n_passages"], r["predicted"]) for r in toxicity.score(extra.withColumn("n_passages", F.lit("clash")), model).collect()]
+    assert len(got) == 244 and [g for g in got if g[0] == 1][0] == [g for g in got if g[0] == 1][1]
+
+    def score_of(token):
+        forms = [token, *(token[:n] + "~" for n in range(4, min(9, len(token))))]
+        return max(model.words.get(f, model.rest) for f in forms)
+
+    def maximal(s):
+        """The best segment, then the best ones left and right of it."""
+        best = max(((sum(s[i:j]), i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0, 0))
+        if best[0] <= 1e-12:
+            return []
+        _, _, i, j = best
+        return [(a, b, v) for a, b, v in maximal(s[:i])] + [(i, j, best[0])] + [(a + j, b + j, v) for a, b, v in maximal(s[j:])]
+
+    seen = {d: (s, n, p) for d, s, n, p in got}
+    for i in list(range(0, 30)) + [900, 901]:
+        tokens = (dict(rows).get(i) or "").split()
+        chances = [model.k * len(tokens) * math.exp(-model.scale * v) for _, _, v in maximal([score_of(t) for t in tokens])]
+        found = [e for e in chances if e <= model.e_value]
+        evidence = sum(-math.log(-math.expm1(-e)) for e in found)
+        want = 1 / (1 + math.exp(-(model.slope * math.log1p(evidence) + model.offset)))
+        assert abs(seen[i][0] - want) < 1e-9 and seen[i][1] == len(found) and seen[i][2] == int(want >= 0.5)
+    assert seen[902][2] == 1 and seen[900][2] == 0
