@@ -161,8 +161,15 @@ def _digests(h: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(_mix(h * _K1)).astype(np.int64)), int(np.add.reduce(_mix(h ^ _K3)).astype(np.int64))
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """Parities of the elements by bit, at least two bits an element: sets that differ in x elements differ in at most x bits, also when folded to fewer."""
+    bits = 1 << max(6, (2 * len(h) - 1).bit_length())
+    place = ((h >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(uid, doc_id, text_hash, n_shingles, c1, c2, n_keys, sketch) of (doc_id, text_hash, text): a number of its own, set size, digest, parity sketch."""
+    """(uid, doc_id, text_hash, n_shingles, c1, c2, n_keys, sketch, parity) of (doc_id, text_hash, text): a number of its own, set size, digest, a short and a long parity sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan, uid = scheme(percent), TaskContext.get().partitionId() << 36
@@ -170,13 +177,13 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 h = shingle_hashes(text, n)
-                rows.append((uid, len(h), *_digests(h), plan.written(len(h)), _sketch(h)) if len(h) else (uid, 0, 0, 0, 0, [0] * (SKETCH // 64)))
+                rows.append((uid, len(h), *_digests(h), plan.written(len(h)), _sketch(h), _parity(h)) if len(h) else (uid, 0, 0, 0, 0, [0] * (SKETCH // 64), b""))
                 uid += 1
-            out = pd.DataFrame(rows, columns=["uid", "n_shingles", "c1", "c2", "n_keys", "sketch"], index=batch.index)
+            out = pd.DataFrame(rows, columns=["uid", "n_shingles", "c1", "c2", "n_keys", "sketch", "parity"], index=batch.index)
             yield out.assign(doc_id=batch["doc_id"], text_hash=batch["text_hash"])
 
     named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    out = named.mapInPandas(lean(run), "uid long, doc_id long, text_hash long, n_shingles long, c1 long, c2 long, n_keys long, sketch array<long>")
+    out = named.mapInPandas(lean(run), "uid long, doc_id long, text_hash long, n_shingles long, c1 long, c2 long, n_keys long, sketch array<long>, parity binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -246,8 +253,53 @@ def coded_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], int]:
     return [np.unique(ranks[x : x + max(0, k - n + 1)]) for x, k in zip(begin.tolist(), sizes.tolist(), strict=True)], int(ranks.max()) + 1
 
 
-def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
-    """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash, n_shingles), the text that stands for a node."""
+#: Shingles whose long sketches a task holds, and pairs that it compares.
+BLOCK_PARITIES, TASK_PAIRS = 32_000_000, 200_000
+
+
+def _by_parity(sets: DataFrame, percent: int):
+    """Pairs whose long sketches allow a link. ``sets``: (uid, n_shingles, parity). No linked pair is lost, and hardly a text is fetched in vain."""
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        held, pairs = frame[frame["b"] < 0], frame[frame["b"] >= 0]
+        own = {a: (np.frombuffer(x, np.uint64), size) for a, x, size in zip(held["a"].tolist(), held["parity"], held["n_shingles"].tolist(), strict=True)}
+        good = []
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+            (x, size), (y, other) = own[a], own[b]
+            if len(x) < len(y):
+                x, y = y, x
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            if int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (size + other) * (100 - percent):
+                good.append((a, b))
+        return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select("a", "b"), "pairs")
+        ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        told = maybe_in(sets.select(F.col("uid").alias("node"), "n_shingles", "parity"), "node", ends, ends.count()).where("_maybe").drop("_maybe")
+        told = materialise(told.join(ends, "node", "left_semi"), "parities")
+        groups = components(pairs)
+        own = told.select("node", "n_shingles").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        sizes = own.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_PARITIES).alias("blocks"))
+        own = own.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        own = materialise(own, "blocks")
+        end = lambda c: own.select(F.col("node").alias(c), "group", F.col("block").alias(f"block_{c}"))
+        met = pairs.join(end("a"), "a").join(end("b").drop("group"), "b").withColumn("low", F.least("block_a", "block_b")).withColumn("high", F.greatest("block_a", "block_b"))
+        many = met.groupBy("group", "low", "high").agg(F.ceil(F.count(F.lit(1)) / TASK_PAIRS).alias("parts"))
+        met = met.join(many, ["group", "low", "high"]).select(F.xxhash64("group", "low", "high", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task"), "a", "b")
+        met = materialise(met, "met")
+        needed = met.select("task", "a").union(met.select("task", "b")).distinct()
+        held = needed.join(told.withColumnRenamed("node", "a"), "a").select("task", "a", F.lit(-1).cast("long").alias("b"), "n_shingles", "parity")
+        rows = held.unionByName(met, allowMissingColumns=True)
+        return materialise(rows.groupBy("task").applyInPandas(lean(near), "a long, b long"), "near")
+
+    return pruned
+
+
+def _verifier(docs: DataFrame, nodes: DataFrame, sets: DataFrame, n: int, percent: int):
+    """``docs``: (doc_id, text_hash, text); ``nodes``: (node, doc_id, text_hash, n_shingles), the text that stands for a node; ``sets`` as in :func:`_by_parity`."""
+    pruned = _by_parity(sets, percent)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         held, pairs = frame[frame["b"] < 0], frame[frame["b"] >= 0]  # nodes count from 0
@@ -266,6 +318,7 @@ def _verifier(docs: DataFrame, nodes: DataFrame, n: int, percent: int):
         return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = pruned(pairs)
         # texts meet in groups that no pair crosses, so a text goes to one task, or to one for each block of a group that it is compared with
         groups = components(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -317,7 +370,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tagged = materialise(classes.select("node", F.col("c1").alias("tag")).join(tagged, "tag", "left_semi"), "tagged")
     info = sets.join(tagged.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]).alias("info"))
     tagged = materialise(tagged.join(info, "node"), "nodes")
-    groups = linked_groups(found, tagged, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash", "n_shingles"), n, percent))
+    groups = linked_groups(found, tagged, *_can_link(percent), _verifier(docs, classes.select("node", "doc_id", "text_hash", "n_shingles"), sets, n, percent))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(F.struct(*digest).alias("digest"), "copies", "component_id")
