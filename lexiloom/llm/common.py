@@ -24,10 +24,10 @@ __all__ = ["components", "docs_of", "drop_table", "fetch", "join_hot", "lean", "
 _trimmed = 0.0
 
 
-def _trim() -> None:
-    """Give freed memory back to the system, at most a few times a second."""
+def _trim(now: bool = False) -> None:
+    """Give freed memory back to the system, at most a few times a second unless asked for ``now``."""
     global _trimmed
-    if time.monotonic() - _trimmed > 0.3:
+    if now or time.monotonic() - _trimmed > 0.2:
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:
@@ -47,7 +47,7 @@ def lean(work: Callable) -> Callable:
                 yield out
                 del out
                 _trim()
-            _trim()
+            _trim(now=True)
 
         return of_batches
 

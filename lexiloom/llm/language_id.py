@@ -31,8 +31,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import lean
-
 DIMS, MAX_N = 2**15, 4
 #: ``known`` looks at n-grams from KNOWN_N characters, usual in USUAL of a language's texts; the lowest LOW of learned texts set the mark.
 KNOWN_N, USUAL, LOW = 3, 0.02, 0.005

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialise
+from lexiloom.llm.common import lean, materialise
 from lexiloom.llm.tokens import coder, default_vocabulary
 
 CAPACITY, END = 1024, 2
@@ -56,7 +56,7 @@ def tokenize_pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield frame
 
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInPandas(lean(cut), PIECES + (", ids binary" if with_ids else ""))
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -164,7 +164,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, items_per_partit
 
         schema = f"{kinds}, sequence_id long, `offset` long, fill long, bound long, bins long"
         spread = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(parts)).cast("int")
-        packed = todo.withColumn("part", spread).groupBy("part").applyInPandas(_packer(names, turn, capacity), schema)
+        packed = todo.withColumn("part", spread).groupBy("part").applyInPandas(lean(_packer(names, turn, capacity)), schema)
         packed = materialise(packed, "packed") if parts > 1 or turn else packed
         # sequences at most half full, of which a partition has one or so, are also worth an exchange
         loose = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (2 * F.col("fill") <= capacity))

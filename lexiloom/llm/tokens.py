@@ -65,7 +65,7 @@ class _Words(dict):
 class TokenCoder:
     """``coder(text)`` gives the identifiers of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached_words: int = 1_000_000, added_tokens: bool = False):
+    def __init__(self, path: str, cached_words: int = 300_000, added_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
