@@ -191,6 +191,21 @@ def test_closures_of_random_graphs(spark, few, seed):
     assert {(n, m) for n, m, d in sets(closure.distances(df, few=few)) if d} == {(a, b) for a, bs in reach.items() for b in bs - {a} if a in out}
 
 
+def test_large_graphs_are_settled_by_levels(spark, monkeypatch):
+    """What the seeds don't lead to is left out, an acyclic graph needs no search by rounds, and long lists are split."""
+    edges = [(f"t{i}", f"t{i // d}") for i in range(1, 40) for d in (2, 3) if i // d != i]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    monkeypatch.setattr(closure, "LIST_ROW", 4)
+    _, reach = brute_reach(edges)
+    lists, left = closure._lists(closure._clean(df), 100)
+    assert left.isEmpty() and lists.count() > lists.select("node").distinct().count()
+    near = {(n, a): d for n, a, d in sets(closure._walk(closure._clean(df), df.select(F.col("src").alias("node")).distinct()))}
+    assert {(n, a): d for n, a, d in sets(closure.distances(df, few=0))} == near
+    few = closure._ahead(closure._clean(df), spark.createDataFrame([("t5",)], "node string"))
+    assert {s for s, _ in sets(few)} == {"t5", "t2", "t1"}
+    assert sets(closure.reachable(df, spark.createDataFrame([("t7",)], "node string"), few=0)) == {("t7", b) for b in reach["t7"]}
+
+
 def test_large_cycles_are_refused(spark):
     ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 20}") for i in range(20)], "src string, dst string")
     with pytest.raises(Exception, match="cyclic component of 20"):
