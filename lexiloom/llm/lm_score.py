@@ -13,8 +13,8 @@
 4. Every text is written once as the numbers of its leaves, two bytes a token, with what
    doesn't depend on the model, for training and for scoring.
 5. Training goes once over all training texts, in ``ROUNDS`` jobs over disjoint parts of them. A task
-   makes gradient steps on its own copy of the weights over small batches; of a row that
-   several tokens of a batch share, the last one's gradient counts. Spark averages the
+   makes gradient steps on its own copy of the weights over small batches; the gradients of all
+   tokens of a batch count, those of a shared row summed over the root of their number. Spark averages the
    changes of each row by the number of batches that made one, and the next job goes on from there.
 6. Every text is scored whole.
 
@@ -49,6 +49,8 @@ BATCH, RATE, ROUNDS = 1024, 0.03, 2
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _LOG10 = math.log10(math.e)
 _ONES = np.ones(BRANCH, np.float32)
+#: Summands of a row that are added one by one.
+FEW_SUMMANDS = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -173,13 +175,12 @@ class Model:
             x = (hashes ^ (node.astype(np.uint64) + np.uint64(k + 1)) * np.uint64(_MIX[k])) * np.uint64(_MIX[3 - k])
             yield k, node, branch, (x >> np.uint64(40)).astype(np.int64) & (len(self.weights[k]) - 1)
 
-    def _terms(self, k: int, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Exponents of all branches (bounded, so that none overflows), and the rows of weights in them."""
-        got = [self.weights[k].take(r, axis=0) for r in rows]
+    def _terms(self, k: int, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exponents of all branches, bounded, so that none overflows."""
         logits = self.bias[k].take(node, axis=0)
-        for g in got:
-            logits += g
-        return np.minimum(logits, 80, out=logits), got
+        for r in rows:
+            logits += self.weights[k].take(r, axis=0)
+        return np.minimum(logits, 80, out=logits)
 
     def log_prob(self, leaf: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Natural log probability of each leaf."""
@@ -187,25 +188,47 @@ class Model:
         for a in range(0, len(leaf), BATCH):
             own, at = leaf[a : a + BATCH], np.arange(min(BATCH, len(leaf) - a))
             for k, node, branch, rows in self._levels(own, hashes[:, a : a + BATCH]):
-                logits = self._terms(k, node, rows)[0]
+                logits = self._terms(k, node, rows)
                 out[a : a + BATCH] += logits[at, branch]
                 out[a : a + BATCH] -= np.log(np.exp(logits, out=logits) @ _ONES)
         return out
 
     def learn(self, leaf: np.ndarray, hashes: np.ndarray, rate: float = RATE) -> None:
-        """One gradient step for each batch."""
+        """One gradient step for each batch; a row that n tokens of it share changes by the sum of their gradients over the root of n."""
         for a in range(0, len(leaf), BATCH):
             own = leaf[a : a + BATCH]
             at = np.arange(len(own))
             for k, node, branch, rows in self._levels(own, hashes[:, a : a + BATCH]):
-                slope, got = self._terms(k, node, rows)
+                slope = self._terms(k, node, rows)
                 np.exp(slope, out=slope)
                 slope *= (-rate / (slope @ _ONES))[:, None]
                 slope[at, branch] += rate
-                for r, g in zip(rows, got, strict=True):
-                    g += slope
-                    self.weights[k][r] = g
-                    self.steps[k][r] += 1
+                row, change = shared_sums(rows.ravel(), slope)
+                self.weights[k][row] += change
+                self.steps[k][row] += 1
+
+
+def shared_sums(rows: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums over the root of the number of summands); ``rows`` goes over the lines of ``slope`` several times."""
+    flat = rows.astype(np.uint16)  # sorted by digits, as there are at most 2**16 rows
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    count = np.diff(np.append(first, len(flat)))
+    line = order % len(slope)
+    out = slope.take(line[first], axis=0)
+    live = np.flatnonzero(count > 1)
+    # most rows have few summands, for which sums by segments are slow
+    for j in range(1, FEW_SUMMANDS):
+        out[live] += slope.take(line[first[live] + j], axis=0)
+        live = live[count[live] > j + 1]
+    if len(live):
+        rest = count[live] - FEW_SUMMANDS
+        start = np.cumsum(rest) - rest
+        place = np.arange(rest.sum()) + np.repeat(first[live] + FEW_SUMMANDS - start, rest)
+        out[live] += np.add.reduceat(slope.take(line[place], axis=0), start, axis=0)
+    out /= np.sqrt(count.astype(np.float32))[:, None]
+    return flat[first], out
 
 
 def count_words(texts: DataFrame, most: int = 500_000) -> DataFrame:

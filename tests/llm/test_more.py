@@ -344,3 +344,22 @@ def test_toxicity_scores_against_plain_loops(spark):
         want = 1 / (1 + math.exp(-(model.slope * math.log1p(evidence) + model.offset)))
         assert abs(seen[i][0] - want) < 1e-9 and seen[i][1] == len(found) and seen[i][2] == int(want >= 0.5)
     assert seen[902][2] == 1 and seen[900][2] == 0
+
+
+def test_all_tokens_of_a_batch_count_for_a_shared_row():
+    import numpy as np
+
+    from lexiloom.llm import lm_score
+
+    rng = np.random.default_rng(1)
+    rows, slope = rng.integers(0, 9, 4 * 50), rng.normal(size=(50, 4)).astype(np.float32)
+    row, change = lm_score.shared_sums(rows, slope)
+    for r, own in zip(row.tolist(), change, strict=True):
+        lines = np.flatnonzero(rows == r) % 50
+        assert np.allclose(own, slope[lines].sum(0) / np.sqrt(len(lines)), atol=1e-5)
+    # two tokens after the same word: both branches gain, not the last one's alone
+    model = lm_score.Model([np.zeros((lm_score.BRANCH**k, lm_score.BRANCH), np.float32) for k in range(lm_score.LEVELS)])
+    leaf = np.array([0, 5 * lm_score.BRANCH**2])
+    model.learn(leaf, np.full((4, 2), 7, np.uint64))
+    made = model.weights[0][np.flatnonzero(model.steps[0])]
+    assert (made[:, 0] > 0).all() and np.allclose(made[:, 0], made[:, 5])
