@@ -363,3 +363,15 @@ def test_all_tokens_of_a_batch_count_for_a_shared_row():
     model.learn(leaf, np.full((4, 2), 7, np.uint64))
     made = model.weights[0][np.flatnonzero(model.steps[0])]
     assert (made[:, 0] > 0).all() and np.allclose(made[:, 0], made[:, 5])
+
+
+def test_members_of_a_large_key_that_miss_its_first_node_are_linked(spark):
+    from lexiloom.llm.linking import linked_groups
+
+    n = 40
+    found = spark.createDataFrame([(1, i, True) for i in range(n)], "key long, tag long, large boolean")
+    nodes = spark.createDataFrame([(i, i, (1,)) for i in range(n)], "tag long, node long, info struct<x:int>")
+    # 20 pairs of neighbours, of which at most one has the node that all meet first
+    verify = lambda pairs: pairs.where("b = a + 1 and a % 2 = 0").select("a", "b")
+    groups = linked_groups(found, nodes, lambda x, y: x["x"] == y["x"], lambda x, y: x[:, 0] == y[:, 0], verify, spread=True)
+    assert {(r["node"], r["component"]) for r in groups.collect()} == {(i + 1, i) for i in range(0, n, 2)}
