@@ -57,7 +57,7 @@ def supplemented_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT a.s, string_agg(DISTINCT f.o, ' | ' ORDER BY f.o) AS forms FROM t a JOIN t f ON f.s = a.o AND f.{p('otherForm')} WHERE a.{p('sameAs')} GROUP BY a.s"))
 def supplemented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lexicon.supplement_word(view_triples(spark, sf_dir), ex("sameAs"), ex("otherForm"), f"{EX}entry-")
+    out = lexicon.supplement_word(view_triples(spark, sf_dir, only=[ex("sameAs"), ex("otherForm")]), ex("sameAs"), ex("otherForm"), f"{EX}entry-")
     return out.select("s", F.array_join("forms", " | ").alias("forms"))
 
 
@@ -99,13 +99,13 @@ def displayed_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def truncated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = taxonomy.weighted_relations(view_triples(spark, sf_dir).where(F.col("p") == ex("supplies")), _indegree(spark, sf_dir))
+    rows = taxonomy.weighted_relations(view_triples(spark, sf_dir, only=[ex("supplies")]), _indegree(spark, sf_dir))
     return lexicon.truncated_values(rows, 20).select("s", "p", F.array_join("kept", " ").alias("kept"), F.array_join("deferred", " ").alias("deferred"))
 
 
 @query(sql(f"SELECT s, p, string_agg(o, ' ' ORDER BY o) AS os FROM t WHERE {p('supplies')} GROUP BY s, p"))
 def merged_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view_triples(spark, sf_dir).where(F.col("p") == ex("supplies")).select("s", "p", "o", F.lit(0).alias("indegree"))
+    rows = view_triples(spark, sf_dir, only=[ex("supplies")]).select("s", "p", "o", F.lit(0).alias("indegree"))
     rows = taxonomy.weighted_relations(rows.select("s", "p", "o"), spark.createDataFrame([], "node string, indegree long"))
     cut = lexicon.truncated_values(rows, 20)
     return lexicon.merge_deferred(cut.select("s", "p", F.col("kept").alias("os")), cut.select("s", "p", F.col("deferred").alias("os"))).select("s", "p", F.array_join("os", " ").alias("os"))
@@ -176,7 +176,7 @@ def cloud_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.search_forms(view_triples(spark, sf_dir), '"red widgets"@en', [ex("rep")], [ex("canonicalForm"), ex("otherForm")], ex("sameAs"), ex("evokes"))
+    return lexicon.search_forms(view_triples(spark, sf_dir, only=[ex(n) for n in ("rep", "canonicalForm", "otherForm", "sameAs", "evokes")]), '"red widgets"@en', [ex("rep")], [ex("canonicalForm"), ex("otherForm")], ex("sameAs"), ex("evokes"))
 
 
 @query(
@@ -188,7 +188,7 @@ def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def completion_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lexicon.completion_index(view_triples(spark, sf_dir), ex("writtenRep"), ex("otherForm"), ex("rep"), ex("sameAs"))
+    out = lexicon.completion_index(view_triples(spark, sf_dir, only=[ex(n) for n in ("writtenRep", "otherForm", "rep", "sameAs")]), ex("writtenRep"), ex("otherForm"), ex("rep"), ex("sameAs"))
     return out.select("key", "form", F.array_join("lemmas", "|").alias("lemmas"))
 
 
@@ -202,7 +202,7 @@ _POS_OF = (
 
 @query(sql("SELECT node, pos FROM pos", _POS_OF))
 def node_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.node_pos(view_triples(spark, sf_dir), ex("lexfile"), ex("evokes"), ex("partOfSpeech"))
+    return lexicon.node_pos(view_triples(spark, sf_dir, only=[ex("lexfile"), ex("evokes"), ex("partOfSpeech")]), ex("lexfile"), ex("evokes"), ex("partOfSpeech"))
 
 
 _SEED = ex("part-1999")
@@ -242,7 +242,7 @@ _KINDS = f"k2 AS (SELECT a.o AS node, {_LEX('f.o')} AS pos FROM t a JOIN t f ON
 
 
 def _file_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("lexicalizedSense"), ex("lexfile")])
     return _of(t, "lexicalizedSense", "synset", "node").join(_of(t, "lexfile", "synset", "file"), "synset").select("node", T.lex(F.col("file")).alias("pos"))
 
 
@@ -259,7 +259,7 @@ def supported_hypernyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT s AS synset, o AS ili FROM (SELECT *, count(*) OVER (PARTITION BY o) AS n FROM t WHERE {p('eqHypernym')} OR {p('ili')}) WHERE n = 1"))
 def single_ili_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir).where(F.col("p").isin(ex("eqHypernym"), ex("ili")))
+    t = view_triples(spark, sf_dir, only=[ex("eqHypernym"), ex("ili")])
     return lexicon.single_claims(t.select(F.col("s").alias("synset"), F.col("o").alias("ili")), "ili")
 
 
@@ -325,7 +325,7 @@ _EVOKED = f"e AS (SELECT o AS node, count(*) AS n FROM t WHERE {p('evokes')} GRO
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("lexicalizedSense"), LABEL, ex("evokes")])
     senses = _of(t, "lexicalizedSense", "synset", "sense").join(t.where(F.col("p") == LABEL).select(F.col("s").alias("sense"), T.lex(F.col("o")).alias("label")), "sense")
     degrees = _of(t, "evokes", "word", "node").groupBy("node").agg(F.count(F.lit(1)).alias("indegree"))
     return write_table(lexicon.member_order(senses, degrees), "members")
@@ -345,7 +345,7 @@ def member_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     center = ex("synset-Brand5_SMALL")
-    pairs = _of(view_triples(spark, sf_dir), "variant", "a", "x").where(F.col("a") != center).select("a", F.lit(center).alias("b"))
+    pairs = _of(view_triples(spark, sf_dir, only=[ex("variant")]), "variant", "a", "x").where(F.col("a") != center).select("a", F.lit(center).alias("b"))
     return lexicon.relation_members(pairs, _ordered(spark, sf_dir), "sibling", "first", "second").withColumn("listing_order", F.col("listing_order").cast("long"))
 
 
@@ -359,7 +359,7 @@ def synonym_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT e.o AS synset, '{{' || string_agg(DISTINCT {_LEX('w.o')}, '; ' ORDER BY {_LEX('w.o')}) || '}}' AS label FROM t e JOIN t w ON w.s = e.s AND w.{p('writtenRep')} WHERE e.{p('evokes')} GROUP BY e.o"))
 def lemma_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("evokes"), ex("writtenRep")])
     return etl.lemma_labels(_of(t, "evokes", "word", "synset").join(_of(t, "writtenRep", "word", "w"), "word").select("synset", T.lex(F.col("w")).alias("lemma")))
 
 
@@ -370,21 +370,21 @@ def in_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT DISTINCT s, p, replace(o, '<https://old.example.org/', '<https://words.example.org/') AS o FROM t WHERE {p('source')}"))
 def rewritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir).where(F.col("p") == ex("source"))
+    t = view_triples(spark, sf_dir, only=[ex("source")])
     once = etl.rewrite_prefix(t, ex("source"), "https://old.example.org/", "https://words.example.org/")
     return etl.rewrite_prefix(once, ex("source"), "https://old.example.org/", "https://words.example.org/")
 
 
 @query(sql(f"SELECT DISTINCT a.o AS s, '{ex('source')}' AS p, replace(a.o, '<{EX}part-', '<https://new.example.org/') AS o FROM t a WHERE a.{p('sense')} AND a.o NOT IN (SELECT s FROM t WHERE {p('source')})"))
 def minted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("sense"), ex("source")])
     senses = t.where(F.col("p") == ex("sense")).select(F.col("o").alias("s")).distinct()
     return etl.minted(senses, t, ex("source"), F.replace("s", F.lit(f"<{EX}part-"), F.lit("<https://new.example.org/")))
 
 
 @query(sql(f"SELECT DISTINCT a.o AS s, '{ex('rep')}' AS p, l.o FROM t a JOIN t l ON l.s = a.s AND l.p = '{LABEL}' WHERE a.{p('canonicalForm')} AND a.o NOT IN (SELECT s FROM t WHERE {p('rep')})"))
 def recovered_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("canonicalForm"), LABEL, ex("rep")])
     forms = _of(t, "canonicalForm", "word", "s").join(t.where(F.col("p") == LABEL).select(F.col("s").alias("word"), F.col("o").alias("label")), "word")
     return etl.minted(forms, t, ex("rep"), F.col("label"))
 
@@ -410,7 +410,7 @@ _SAME = f"g AS (SELECT s, string_agg(p || ' ' || o, '|' ORDER BY p, o) AS x FROM
 
 @query(sql("SELECT s AS loser, winner FROM h3 WHERE s <> winner", _SAME))
 def merge_defined_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.merge_duplicates(view_triples(spark, sf_dir), [ex("ptype"), ex("size")], ex("source"))
+    return etl.merge_duplicates(view_triples(spark, sf_dir, only=[ex("ptype"), ex("size"), ex("source")]), [ex("ptype"), ex("size")], ex("source"))
 
 
 @query(
@@ -421,7 +421,7 @@ def merge_defined_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def merged_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view_triples(spark, sf_dir)
+    t = view_triples(spark, sf_dir, only=[ex("ptype"), ex("size"), ex("source"), HYPER, ex("example")])
     names = etl.merge_duplicates(t, [ex("ptype"), ex("size")], ex("source")).select(F.col("loser").alias("old"), F.col("winner").alias("new"))
     return etl.merge_resources(t.where(F.col("p").isin(HYPER, ex("example"))), names, [ex("example")])
 
@@ -440,6 +440,6 @@ def rebuilt_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(f"SELECT DISTINCT s, p, o FROM t WHERE {p('partOf')} AND s <> '{ex('nation-3')}' UNION ALL SELECT '{ex('nation-3')}', '{ex('partOf')}', '{ex('region-9')}'"))
 def replaced_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.createDataFrame([(ex("nation-3"), ex("partOf"), ex("region-9"))], "s string, p string, o string")
-    return etl.replace_subjects(view_triples(spark, sf_dir).where(F.col("p") == ex("partOf")), new)
+    return etl.replace_subjects(view_triples(spark, sf_dir, only=[ex("partOf")]), new)
 
 
