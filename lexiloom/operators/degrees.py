@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.tables import write_table
-from lexiloom.operators.etl import update_triples
+from lexiloom.functions.tables import semi_join, write_table
+from lexiloom.operators.etl import remove
 
 BUCKETS = 64
 _TRIPLE = ["s", "p", "o"]
@@ -39,26 +39,35 @@ def degree_changes(base: DataFrame, after: DataFrame, adds: DataFrame, gone: Dat
     """
     is_type = (F.col("p") == type_predicate) & (F.col("o") == concept)
     members = lambda t: t.where(is_type).select(F.col("s").alias("c")).distinct()
-    touched = adds.unionByName(gone).where(is_type).select(F.col("s").alias("c")).distinct()  # of types added or gone
-    ends = lambda t: t.join(touched.withColumnRenamed("c", "s"), "s", "left_semi").unionByName(t.join(touched.withColumnRenamed("c", "o"), "o", "left_semi").select(_TRIPLE))
-    asked = write_table(adds.unionByName(gone).unionByName(ends(base).select(_TRIPLE)).unionByName(ends(after).select(_TRIPLE)).distinct(), "asked")
-
-    def counted(t: DataFrame, sign: int) -> DataFrame:
-        own = asked.join(t, _TRIPLE, "left_semi")
+    state = lambda t, was, stays: t.select(*_TRIPLE, F.lit(was).alias("was"), F.lit(stays).alias("stays"))
+    changed = state(adds, False, True).unionByName(state(gone, True, False))
+    touched = write_table(changed.where(is_type).select(F.col("s").alias("c")).distinct(), "touched")  # of types added or gone
+    if not touched.isEmpty():  # what is at their ends and not in the base was added
+        ends = base.join(touched.withColumnRenamed("c", "s"), "s", "left_semi").select(_TRIPLE).unionByName(semi_join(base, "o", touched).select(_TRIPLE))
+        changed = changed.unionByName(state(ends, True, True))
+    asked = write_table(changed.groupBy(*_TRIPLE).agg(F.max("was").alias("was"), F.min("stays").alias("stays")), "asked")
+
+    def counted(t: DataFrame, flag: str, sign: int) -> DataFrame:
         c = members(t)
-        own = own.join(c.withColumnRenamed("c", "s"), "s", "left_semi").join(c.withColumnRenamed("c", "o"), "o", "left_semi")
-        return own.select(F.col("o").alias("node"), F.lit(sign).alias("d"))
+        own = asked.where(flag).join(c.withColumnRenamed("c", "s"), "s", "left_semi")
+        by = own.groupBy(F.col("o").alias("node")).agg((F.count(F.lit(1)) * sign).alias("d"))  # a row for each object, before these are joined
+        return by.join(c.withColumnRenamed("c", "node"), "node", "left_semi")
 
-    return counted(after, 1).unionByName(counted(base, -1)).groupBy("node").agg(F.sum("d").alias("change")).where("change <> 0")
+    return counted(after, "stays", 1).unionByName(counted(base, "was", -1)).groupBy("node").agg(F.sum("d").alias("change")).where("change <> 0")
 
 
 def update_with_degrees(path: str, base: DataFrame, adds: DataFrame | None, removals: DataFrame | None, type_predicate: str, concept: str) -> DataFrame:
     """The updated triples; the kept indegrees at ``path`` get the difference, in the buckets that have one."""
     spark = base.sparkSession
-    before = base.select(_TRIPLE).distinct()
-    after = write_table(update_triples(before, adds, removals), "updated")
-    new = write_table(after.join(before, _TRIPLE, "left_anti"), "added")
-    gone = write_table(before.join(after, _TRIPLE, "left_anti"), "gone")
+    before = write_table(base.select(_TRIPLE).distinct(), "before")
+    left = before if removals is None else remove(before, removals)
+    if adds is None:
+        after, new = write_table(left, "updated"), before.limit(0)
+    else:
+        wanted = write_table(adds.select(_TRIPLE).distinct().join(left, _TRIPLE, "left_anti"), "wanted")
+        after = write_table(left.unionByName(wanted), "updated")
+        new = wanted if removals is None else write_table(wanted.join(before, _TRIPLE, "left_anti"), "added")
+    gone = before.limit(0) if removals is None else write_table(before.join(after, _TRIPLE, "left_anti"), "gone")
     changes = write_table(_bucketed(degree_changes(before, after, new, gone, type_predicate, concept).withColumnRenamed("change", "indegree")), "changes")
     hit = F.broadcast(changes.select("bucket").distinct())  # at most BUCKETS rows
     old = spark.read.schema("node string, indegree long, bucket int").parquet(path).where("node is not null").join(hit, "bucket", "left_semi").select("node", "indegree", "bucket")

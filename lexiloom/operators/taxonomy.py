@@ -95,8 +95,8 @@ def indegree(triples: DataFrame, type_predicate: str, concept: str) -> DataFrame
     """(node, indegree): triples of any predicate from a concept into a concept."""
     concepts = triples.where((F.col("p") == type_predicate) & (F.col("o") == concept)).select(F.col("s").alias("c")).distinct()
     inner = triples.join(concepts, triples["s"] == concepts["c"], "left_semi")
-    inner = inner.join(concepts, inner["o"] == concepts["c"], "left_semi")
-    return inner.groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
+    counted = inner.groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
+    return counted.join(concepts.withColumnRenamed("c", "node"), "node", "left_semi")  # a row for each object: a class that most statements name is one
 
 
 def weighted_relations(triples: DataFrame, degrees: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import semi_join, write_table
 from lexiloom.operators import closure, degrees, entity, mentions, search, taxonomy
 from lexiloom.plans.lower import Lowering
 from lexiloom.plans.parser import parse
@@ -325,6 +326,27 @@ def test_degrees_after_changes(spark, tmp_path):
         assert sets(degrees.read_degrees(spark, path)) == sets(taxonomy.indegree(t, "<a>", "<C>"))
 
 
+def test_classes_are_counted_before_they_are_joined(spark):
+    """A class that most statements name is one row of the join on objects, not a task of its own."""
+    t = spark.createDataFrame([(f"<{i}>", "<a>", "<C>") for i in range(50)] + [("<1>", "<r>", "<2>"), ("<3>", "<r>", "<2>"), ("<C>", "<a>", "<C>")], "s string, p string, o string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = taxonomy.indegree(t, "<a>", "<C>")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") < plan.index("Aggregate [o")
+        assert sets(found) == {("<2>", 2), ("<C>", 51)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_semi_join_with_frequent_values(spark):
+    data = [("hot", i) for i in range(3000)] + [("warm", i) for i in range(20)] + [(f"v{i}", i) for i in range(2000)] + [(None, 1)]
+    rows = write_table(spark.createDataFrame(data, "k string, i long").repartition(3), "rows")
+    for wanted in (["hot", "v7"], ["warm", "v1999", "none"], ["v3"], []):
+        members = spark.createDataFrame([(w,) for w in wanted], "c string")
+        assert sorted(map(tuple, semi_join(rows, "k", members).collect())) == sorted(r for r in data if r[0] in wanted)
+
+
 def test_store_replaces_a_graph(spark, tmp_path):
     path = str(tmp_path / "q")
     tables.write_quads(spark.createDataFrame([("<g>", "<a>", "<p>", "<b>"), ("<g>", "<a>", "<q>", "<b>"), ("<h>", "<a>", "<p>", "<b>")], tables.QUADS), path)
