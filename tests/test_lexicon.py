@@ -1,5 +1,9 @@
 """Dictionary operators, labels, rewriting and closures on small hand-made rows."""
 
+import os
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +11,10 @@ from lexiloom.functions import labels as L
 from lexiloom.functions.tables import scratch, write_table
 from lexiloom.operators import etl, lexicon
 from lexiloom.operators.closure import distances, longest_depths, reachable
+from lexiloom.plans import registry
 from lexiloom.plans.lower import Lowering
 from lexiloom.plans.parser import parse
+from lexiloom.sources.relational import view_triples
 
 
 def rows(df):
@@ -88,3 +94,23 @@ def test_scratch_deletes(spark):
     assert stays.count() == 3
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_clones_as_often_as_their_rows(spark):
+    """Against all pairs of rows, with names that share members, repeated rows, nulls and pieces."""
+    rng = random.Random(3)
+    data = [(rng.choice("st"), f"n{rng.randrange(5)}", f"m{rng.randrange(9)}") for _ in range(70)] + [("u", "n1", "m1")] * 3 + [("u", "n2", "m2")] * 400 + [("u", "n3", "m3")] * 300 + [("u", None, "m4"), ("u", "n4", None)]
+    rows = spark.createDataFrame(data, "s string, a string, x string")
+    want = Counter((a, b) for s, a, x in data for t, b, y in data if s == t and None not in (a, b, x, y) and a != b and x != y)
+    assert want["n2", "n3"] > lexicon.PAIR_ROWS
+    found = lexicon.clones(rows, ["s"], "a", "x")
+    assert {(r.a, r.b): r["count"] for r in found.groupBy("a", "b").count().collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_clones_as_the_pattern_says(spark):
+    t = view_triples(spark, "/root/testdata/sf0.001")
+    text = "SELECT ?a ?b WHERE { ?a ex:sense ?x . ?b ex:sense ?y . ?s ex:lexicalizedSense ?x, ?y . ex:part-7 ex:brand ?brand . ?x ex:brand ?brand . ?y ex:brand ?brand FILTER(?a != ?b && ?x != ?y) }"
+    want = Lowering(t).run(parse(text))
+    found = registry.filter_neq_clones(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
