@@ -254,6 +254,42 @@ def test_near_lines_against_edit_similarity_alone(spark):
     assert {r["doc_id"] for r in got} == near
 
 
+def test_outliers_of_a_family_of_lines(spark, monkeypatch):
+    """Lines that share keys and are mostly apart: found as by brute force, and their pairs become no rows."""
+    rng = random.Random(29)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(45)]
+    lines = []
+    for k in range(160):
+        own = list(lines[k - 1].split() if k % 4 == 3 else base)
+        for i in rng.sample(range(45), 1 if k % 4 == 3 else 6):
+            own[i] = rng.choice(words)
+        lines.append(" ".join(own))
+    near = lambda x, y: line_dedup.edit_distance(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9)
+    group = list(range(len(lines)))
+    for j, y in enumerate(lines):
+        for i in range(j):
+            if near(lines[i], y):
+                group = [group[i] if g == group[j] else g for g in group]
+    first = {g: group.index(g) for g in group}
+    made, write = [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name, **options: made.append((name, write(df, name, **options))) or made[-1][1])
+    monkeypatch.setattr(linking, "BLOCK", 50, raising=False)
+    counted = []
+    groups = linking.linked_groups
+
+    def counting(*args, **options):
+        out = groups(*args, **options)
+        counted.extend((name, df.count()) for name, df in made)
+        return out
+
+    monkeypatch.setattr(line_dedup, "linked_groups", counting)
+    got = line_dedup.line_dedup(table(spark, lines)).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in got} == {j for j in range(len(lines)) if first[group[j]] != j} and 30 < len(got) < 150
+    assert "mixed" in dict(counted)
+    assert [name for name, _ in counted].count("pairs") == 1  # of small keys and of the first meetings only
+
+
 def test_within_edits():
     rng = random.Random(23)
     pairs = [tuple("".join(rng.choice("abcé日") for _ in range(rng.randint(0, 25))) for _ in range(2)) for _ in range(500)]
