@@ -9,7 +9,8 @@ bytes from the first of these windows to the end of the last.
    of its anchors; those met in no other document need not be exchanged further.
 2. The remaining suffixes of a unit are sorted into runs, front-coded (length of
    the common prefix with the predecessor, and the rest) and dealt by range. Each
-   range merges its runs with a loser tree that carries common-prefix lengths, so
+   range brings its runs together by their anchors and, where the suffixes of an anchor
+   differ, merges these with a loser tree that carries common-prefix lengths, so
    known prefixes are never compared again.
 3. Merged neighbours with one anchor are compared. Equal suffixes settle by the
    smallest doc_id; where different suffixes share an anchor their windows are
@@ -26,6 +27,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -87,6 +89,19 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(h) - width + 1], have[width - size : width - size + len(h) - width + 1])
 
 
+#: Windows whose hashes are made at a time, so that they stay in a core's cache.
+CHUNK = 1 << 15
+
+
+def anchors(x: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The least hash of a ``gram`` bytes in each window of ``length`` bytes."""
+    n = len(x) - length + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, CHUNK):
+        out[a : a + CHUNK] = sliding_min(gram_hashes(x[a : a + CHUNK + length - 1], gram), length - gram + 1)
+    return out
+
+
 class Unit:
     """Texts of a few documents as bytes, with the runs of windows that share an anchor."""
 
@@ -99,7 +114,7 @@ class Unit:
         if len(data) < length:
             return
         x = np.frombuffer(data, np.uint8)
-        m = sliding_min(gram_hashes(x, gram), length - gram + 1)
+        m = anchors(x, length, gram)
         n = len(m)  # windows
         valid = np.zeros(n, bool)
         for b, e in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
@@ -119,7 +134,15 @@ class Unit:
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct fingerprints, whether two doc_ids of the unit have one, and each run's place among them."""
         fp = self.anchor >> np.uint64(64 - _FP_BITS)
-        distinct, place = np.unique(fp, return_inverse=True)
+        if len(fp) < 1 << (64 - _FP_BITS):  # a fingerprint and its run's number are one number to sort
+            both = np.sort((fp << np.uint64(64 - _FP_BITS)) | np.arange(len(fp), dtype=np.uint64))
+            run = (both & np.uint64((1 << (64 - _FP_BITS)) - 1)).astype(np.int64)
+            both >>= np.uint64(64 - _FP_BITS)
+            new = np.append(True, both[1:] != both[:-1])[: len(both)]
+            distinct, place = both[new], np.empty(len(fp), np.int64)
+            place[run] = np.cumsum(new) - 1
+        else:
+            distinct, place = np.unique(fp, return_inverse=True)
         low = np.full(len(distinct), NO_ID, np.int64)
         high = np.full(len(distinct), -(2**63), np.int64)
         own = self.ids[self.doc]
@@ -151,19 +174,23 @@ def _cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, bounds), [len(values)])).astype(np.int64)
 
 
+def _heads(keys: list[bytes]) -> np.ndarray:
+    """The anchors with which keys begin."""
+    return np.frombuffer(b"".join([k[:8] for k in keys]), ">u8").astype(np.uint64) if keys else np.zeros(0, np.uint64)
+
+
 def _head_cuts(keys: list[bytes], buckets: int) -> np.ndarray:
-    heads = np.frombuffer(b"".join(k[:8] for k in keys), ">u8").astype(np.uint64) if keys else np.zeros(0, np.uint64)
-    return _cuts(heads, buckets, 64)
+    return _cuts(_heads(keys), buckets, 64)
 
 
 def front_code(keys: list[bytes], low: np.ndarray) -> bytes:
     """A sorted run: per key the common prefix with its predecessor, the rest, and the smallest doc_id."""
-    lcps, rests, last = [], [], b""
-    for k in keys:
-        n = common_prefix(last, k, 0)
-        lcps.append(n)
-        rests.append(k[n:])
-        last = k
+    heads = _heads(keys)
+    differ = heads[1:] ^ heads[:-1]
+    lcps = [0] * len(keys[:1]) + sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(0, 64, 8)).tolist()
+    for i in (np.flatnonzero(differ == 0) + 1).tolist():
+        lcps[i] = common_prefix(keys[i - 1], keys[i], 8)
+    rests = [k[n:] for k, n in zip(keys, lcps, strict=True)]
     sizes = np.array([len(r) for r in rests], np.uint32)
     head = np.array([len(keys)], np.uint32).tobytes()
     return _pack(head + np.array(lcps, np.uint32).tobytes() + sizes.tobytes() + low.astype(np.int64).tobytes() + b"".join(rests))
@@ -253,30 +280,26 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[byte
 
 
 def settle(group: list[tuple[bytes, int, int]], lows: list[list[int]], length: int) -> Iterator[tuple[int, int, np.ndarray | bool]]:
-    """(run, place, windows covered by a smaller doc_id) for the merged entries of one anchor."""
-    if group[0][0] == group[-1][0]:  # sorted, so all are equal
-        least = min(lows[r][i] for _, r, i in group)
-        for _, r, i in group:
-            yield r, i, lows[r][i] > least
-        return
-    best: dict[bytes, int] = {}
-    last, low = None, NO_ID
-    kinds: list[tuple[bytes, int]] = []
+    """(run, place, windows covered by a smaller doc_id) for the merged entries of one anchor; True or False where that is all or none."""
+    kinds: list[tuple[bytes, int, list[tuple[int, int]]]] = []
     for key, r, i in group:
-        if key == last:
-            kinds[-1] = (key, min(kinds[-1][1], lows[r][i]))
+        if kinds and key == kinds[-1][0]:
+            kinds[-1] = (key, min(kinds[-1][1], lows[r][i]), kinds[-1][2])
+            kinds[-1][2].append((r, i))
         else:
-            kinds.append((key, lows[r][i]))
-            last = key
-    del low
-    for key, least in kinds:
+            kinds.append((key, lows[r][i], [(r, i)]))
+    best: dict[bytes, int] = {}
+    for key, least, _ in kinds:
         for o in range(8, len(key) - length + 1):
             w = key[o : o + length]
-            if best.get(w, NO_ID) > least or w not in best:
+            if best.get(w, least) >= least:
                 best[w] = least
-    for key, r, i in group:
-        own = lows[r][i]
-        yield r, i, np.fromiter((best[key[o : o + length]] < own for o in range(8, len(key) - length + 1)), bool, len(key) - length - 7)
+    for key, _, members in kinds:
+        holders = [best[key[o : o + length]] for o in range(8, len(key) - length + 1)]
+        low, high = min(holders), max(holders)
+        for r, i in members:
+            own = lows[r][i]
+            yield r, i, (np.array(holders, np.int64) < own) if low < own <= high else high < own
 
 
 def _merge(length: int):
@@ -285,37 +308,63 @@ def _merge(length: int):
         bucket = int(frame["bucket"].iloc[0])
         read = [read_run(b) for b in frame["blob"]]
         lows = [r[2] for r in read]
-        codes = [np.zeros(len(r[0]), np.uint8) for r in read]
+        sizes = np.array([len(r[0]) for r in read], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        # runs meet by their anchors; entries of one anchor that aren't all the same are merged with their common prefixes
+        every = [k for r in read for k in r[0]]
+        low = np.concatenate([np.array(x, np.int64) for x in lows])
+        heads = _heads(every)
+        order = np.argsort(heads, kind="stable")
+        new = np.append(True, heads[order[1:]] != heads[order[:-1]])
+        first = np.flatnonzero(new)
+        same = np.fromiter((a is b or a == b for a, b in _neighbours(every, order.tolist())), bool, len(order) - 1)
+        differ = np.logical_or.reduceat(np.append(False, ~same) & ~new, first)
+        code = np.zeros(len(every), np.uint8)
+        code[order] = low[order] > np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.append(first, len(order))))
         masks: list[list[tuple[int, np.ndarray]]] = [[] for _ in read]
-        group: list[tuple[bytes, int, int]] = []
-
-        def close() -> None:
-            for r, i, covered in settle(group, lows, length):
-                if isinstance(covered, bool):
-                    codes[r][i] = covered
-                elif covered.all():
-                    codes[r][i] = 1
-                elif covered.any():
-                    codes[r][i] = 2
+        mixed = np.repeat(differ, np.diff(np.append(first, len(order))))
+        own, starts = order[mixed], new[mixed]
+        run_of = np.repeat(np.arange(len(read)), sizes)[own]
+        # parts: the entries that a run has of an anchor, which stand together
+        part = np.flatnonzero(starts | np.append(True, run_of[1:] != run_of[:-1])[: len(own)])
+        parts = zip(starts[part].tolist(), run_of[part].tolist(), (own[part] - begins[run_of[part]]).tolist(), np.diff(np.append(part, len(own))).tolist(), strict=True)
+        at: list[int] = []
+        what: list[int] = []
+
+        def close(group: list[tuple[int, int, int]]) -> None:
+            merged = merge_runs([(read[r][0][i : i + n], read[r][1][i : i + n]) for r, i, n in group])
+            for r, i, covered in settle([(key, group[p][0], group[p][1] + k) for key, p, k in merged], lows, length):
+                at.append(starts_of[r] + i)
+                if covered is True or covered is False:
+                    what.append(covered)
+                else:
+                    what.append(2)
                     masks[r].append((i, covered))
 
-        for item in merge_runs([(r[0], r[1]) for r in read]):
-            if group and group[-1][0][:8] != item[0][:8]:
-                close()
+        starts_of, group = begins.tolist(), []
+        for opens, r, i, n in parts:
+            if opens and group:
+                close(group)
                 group = []
-            group.append(item)
+            group.append((r, i, n))
         if group:
-            close()
+            close(group)
+        code[at] = what
         out = []
-        for unit, code, mask in zip(frame["unit"], codes, masks, strict=True):
+        for unit, begin, size, mask in zip(frame["unit"], begins.tolist(), sizes.tolist(), masks, strict=True):
             mask.sort(key=lambda x: x[0])
             bits = np.concatenate([m for _, m in mask]) if mask else np.zeros(0, bool)
-            out.append((unit, 2, bucket, _pack(code.tobytes() + np.packbits(bits).tobytes())))
+            out.append((unit, 2, bucket, _pack(code[begin : begin + size].tobytes() + np.packbits(bits).tobytes())))
         return pd.DataFrame(out, columns=["unit", "kind", "bucket", "reply"])
 
     return run
 
 
+def _neighbours(keys: list[bytes], order: list[int]) -> Iterator[tuple[bytes, bytes]]:
+    """Each key and the next one, in ``order``."""
+    return pairwise(map(keys.__getitem__, order))
+
+
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Which fingerprints of each unit are met in another unit, or in two documents of the unit."""
     read = []

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,47 @@ def test_near_lines_against_edit_similarity_alone(spark):
     assert {r["doc_id"] for r in got} == near
 
 
+def test_suffixes_of_one_anchor_that_are_equal_are_not_compared(monkeypatch):
+    """The tree gets the entries of anchors with different suffixes only; replies are those of all windows compared, in chunks as whole."""
+    rng = random.Random(31)
+    heads = sorted(rng.randrange(2**64).to_bytes(8, "big") for _ in range(40))
+    bodies = [[bytes(rng.choice(b"abc ") for _ in range(rng.randint(50, 70))) for _ in range(2 if k % 4 == 0 else 1)] for k in range(40)]
+    bodies = [[b[0], *(x + b[0] for x in b[1:])] for b in bodies]
+    runs, lows = [], []
+    for _ in range(5):
+        keys = sorted({h + rng.choice(b) for h, b in zip(heads, bodies, strict=True) if rng.random() < 0.8})
+        runs.append(keys)
+        lows.append(np.array([rng.randrange(30) for _ in keys], np.int64))
+    blobs = [suffix_dedup.front_code(k, low) for k, low in zip(runs, lows, strict=True)]
+    for keys, blob in zip(runs, blobs, strict=True):
+        got, prefixes, _ = suffix_dedup.read_run(blob)
+        assert got == keys and prefixes == [0, *(suffix_dedup.common_prefix(x, y, 0) for x, y in zip(keys, keys[1:], strict=False))]
+    seen, merge = [], suffix_dedup.merge_runs
+    monkeypatch.setattr(suffix_dedup, "merge_runs", lambda parts: (seen.append(x[0]) or x for x in merge(parts)))
+    out = suffix_dedup._merge(50)(pd.DataFrame({"unit": range(5), "bucket": 3, "blob": blobs}))
+    assert {k[:8] for k in seen} <= {h for k, h in enumerate(heads) if k % 4 == 0} and seen
+    best: dict = {}
+    for keys, low in zip(runs, lows, strict=True):
+        for key, own in zip(keys, low.tolist(), strict=True):
+            for o in range(8, len(key) - 49):
+                at = (key[:8], key[o : o + 50])
+                best[at] = min(best.get(at, own), own)
+    for keys, low, reply in zip(runs, lows, out["reply"], strict=True):
+        data, at = suffix_dedup._unpack(reply), 0
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, -1, len(keys)))
+        for key, own, code in zip(keys, low.tolist(), data[: len(keys)], strict=True):
+            want = [best[key[:8], key[o : o + 50]] < own for o in range(8, len(key) - 49)]
+            if code == 2:
+                assert bits[at : at + len(want)].tolist() == want
+                at += len(want)
+            else:
+                assert set(want) == {bool(code)}
+    x = np.frombuffer(bytes(rng.choice(b"abc ") for _ in range(3000)), np.uint8)
+    whole = suffix_dedup.anchors(x, 50, 24)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    assert (suffix_dedup.anchors(x, 50, 24) == whole).all()
+
+
 def test_outliers_of_a_family_of_lines(spark, monkeypatch):
     """Lines that share keys and are mostly apart: found as by brute force, and their pairs become no rows."""
     rng = random.Random(29)
