@@ -39,6 +39,7 @@ from lexiloom.llm.common import materialise, scratch
 
 END = b"\n"  # no word holds white space
 BRANCH, LEVELS = 32, 3
+BRANCH_BITS = BRANCH.bit_length() - 1
 LEAVES = BRANCH**LEVELS
 TAIL = 1024
 HEAD = LEAVES - TAIL
@@ -49,6 +50,7 @@ BATCH, RATE, ROUNDS = 1024, 0.03, 2
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _LOG10 = math.log10(math.e)
 _ONES = np.ones(BRANCH, np.float32)
+_ROW = np.dtype((np.void, 4 * BRANCH))
 #: Summands of a row that are added one by one.
 FEW_SUMMANDS = 4
 
@@ -170,8 +172,8 @@ class Model:
     def _levels(self, leaf: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(level, node, branch taken, (4, n) rows) from the root."""
         for k in range(LEVELS):
-            node = leaf // BRANCH ** (LEVELS - k)
-            branch = leaf // BRANCH ** (LEVELS - k - 1) % BRANCH
+            node = leaf >> BRANCH_BITS * (LEVELS - k)
+            branch = leaf >> BRANCH_BITS * (LEVELS - k - 1) & (BRANCH - 1)
             x = (hashes ^ (node.astype(np.uint64) + np.uint64(k + 1)) * np.uint64(_MIX[k])) * np.uint64(_MIX[3 - k])
             yield k, node, branch, (x >> np.uint64(40)).astype(np.int64) & (len(self.weights[k]) - 1)
 
@@ -202,9 +204,11 @@ class Model:
                 slope = self._terms(k, node, rows)
                 np.exp(slope, out=slope)
                 slope *= (-rate / (slope @ _ONES))[:, None]
-                slope[at, branch] += rate
+                slope.ravel()[at * BRANCH + branch] += rate
                 row, change = shared_sums(rows.ravel(), slope)
-                self.weights[k][row] += change
+                change += self.weights[k].take(row, axis=0)
+                # a row of weights as one item is copied in one go
+                self.weights[k].view(_ROW)[row, 0] = change.view(_ROW)[:, 0]
                 self.steps[k][row] += 1
 
 
@@ -215,20 +219,27 @@ def shared_sums(rows: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.nda
     flat = flat[order]
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     count = np.diff(np.append(first, len(flat)))
-    line = order % len(slope)
+    n = len(slope)
+    line = order % n if n & (n - 1) else order & (n - 1)
     out = slope.take(line[first], axis=0)
-    live = np.flatnonzero(count > 1)
-    # most rows have few summands, for which sums by segments are slow
-    for j in range(1, FEW_SUMMANDS):
-        out[live] += slope.take(line[first[live] + j], axis=0)
-        live = live[count[live] > j + 1]
-    if len(live):
-        rest = count[live] - FEW_SUMMANDS
-        start = np.cumsum(rest) - rest
-        place = np.arange(rest.sum()) + np.repeat(first[live] + FEW_SUMMANDS - start, rest)
-        out[live] += np.add.reduceat(slope.take(line[place], axis=0), start, axis=0)
-    out /= np.sqrt(count.astype(np.float32))[:, None]
-    return flat[first], out
+    # most rows have one summand and most others few, for which sums by segments are slow
+    several = np.flatnonzero(count > 1)
+    if len(several):
+        first_of, count_of = first[several], count[several]
+        sums = out.take(several, axis=0)
+        sums += slope.take(line[first_of + 1], axis=0)
+        live = np.flatnonzero(count_of > 2)
+        for j in range(2, FEW_SUMMANDS):
+            sums[live] += slope.take(line[first_of[live] + j], axis=0)
+            live = live[count_of[live] > j + 1]
+        if len(live):
+            rest = count_of[live] - FEW_SUMMANDS
+            start = np.cumsum(rest) - rest
+            place = np.arange(rest.sum()) + np.repeat(first_of[live] + FEW_SUMMANDS - start, rest)
+            sums[live] += np.add.reduceat(slope.take(line[place], axis=0), start, axis=0)
+        sums /= np.sqrt(count_of.astype(np.float32))[:, None]
+        out[several] = sums
+    return flat[first].astype(np.int64), out
 
 
 def count_words(texts: DataFrame, most: int = 500_000) -> DataFrame:

@@ -375,3 +375,28 @@ def test_members_of_a_large_key_that_miss_its_first_node_are_linked(spark):
     verify = lambda pairs: pairs.where("b = a + 1 and a % 2 = 0").select("a", "b")
     groups = linked_groups(found, nodes, lambda x, y: x["x"] == y["x"], lambda x, y: x[:, 0] == y[:, 0], verify, spread=True)
     assert {(r["node"], r["component"]) for r in groups.collect()} == {(i + 1, i) for i in range(0, n, 2)}
+
+
+def test_sums_of_a_batch_are_made_for_shared_rows_only(monkeypatch):
+    """Rows with one summand are copied; only the others are summed and divided, to the same steps as one by one."""
+    import numpy as np
+
+    from lexiloom.llm import lm_score
+
+    rng = np.random.default_rng(2)
+    rows = np.concatenate((np.arange(100, 260), rng.integers(0, 12, 80)))
+    slope = rng.normal(size=(60, lm_score.BRANCH)).astype(np.float32)
+    rooted, root = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda x: rooted.append(len(x)) or root(x))
+    row, change = lm_score.shared_sums(rows, slope)
+    monkeypatch.undo()
+    assert rooted == [len(np.unique(rows[160:]))]
+    assert row.tolist() == np.unique(rows).tolist()
+    for r, own in zip(row.tolist(), change, strict=True):
+        lines = np.flatnonzero(rows == r) % 60
+        assert np.allclose(own, slope[lines].sum(0) / np.sqrt(len(lines)), atol=1e-5)
+    model = lm_score.Model([np.zeros((lm_score.BRANCH**k, lm_score.BRANCH), np.float32) for k in range(lm_score.LEVELS)])
+    leaf = rng.integers(0, lm_score.LEAVES, 300)
+    for k, node, branch, _ in model._levels(leaf, np.zeros((4, 300), np.uint64)):
+        assert (node == leaf // lm_score.BRANCH ** (lm_score.LEVELS - k)).all()
+        assert (branch == leaf // lm_score.BRANCH ** (lm_score.LEVELS - k - 1) % lm_score.BRANCH).all()
