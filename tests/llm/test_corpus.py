@@ -163,6 +163,15 @@ def test_signatures_never_miss():
                     assert np.intersect1d(plan.signatures(a), plan.signatures(b)).size
 
 
+def test_signatures_of_others():
+    """Sets without a common element hardly share a key, as empty segments count for nothing."""
+    rng = np.random.default_rng(4)
+    plan = jaccard_join.scheme(80)
+    keys = [plan.signatures(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))) for size in rng.integers(30, 45, 300)]
+    _, count = np.unique(np.concatenate(keys), return_counts=True)
+    assert int((count * (count - 1) // 2).sum()) < 300
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
@@ -406,6 +415,39 @@ def test_near_line_keys_recall(low, high):
     assert len(pairs) > 200 and found >= (1 if high <= 20 else 0.9) * len(pairs), found / len(pairs)
 
 
+def test_banded_keys(spark):
+    """Tags of a key meet where they are in reach, and, if the key isn't a large one, hardly elsewhere."""
+    rng = random.Random(32)
+    tags = [(rng.choice([8, 15, 16, 27, 28, 29, 60, 67, 160, 320]) << linking.KEY_BITS) | rng.randrange(10**6) for _ in range(500)]
+    rows = [(rng.choice(tags), [rng.randrange(900) for _ in range(rng.randrange(4))] + [903 + rng.randrange(2)]) for _ in range(2500)]
+    df = spark.createDataFrame(rows, "tag long, keys array<long>").repartition(5)
+    spread = np.uint64(2**linking.KEY_BITS // 1000)
+
+    def keys_of(batch):
+        yield batch["tag"].to_numpy(), np.repeat(np.arange(len(batch)), [len(k) for k in batch["keys"]]), np.concatenate(list(batch["keys"])).astype(np.uint64) * spread
+
+    held = {}
+    for tag, keys in rows:
+        for k in keys:
+            held.setdefault(k, set()).add(tag)
+    step = lambda t: t >> linking.KEY_BITS
+    want = {(a, b) for own in held.values() for a in own for b in own if a < b and step(b) - step(a) <= linking.STEPS}
+    met = {}
+    got = linking.shared_keys(df, keys_of, 10_000, banded=True).collect()
+    for r in got:
+        met.setdefault(r["key"], set()).add(r["tag"])
+    pairs = {(a, b) for own in met.values() for a in own for b in own if a < b}
+    assert want <= pairs and all(step(b) - step(a) < 2 * linking.STEPS for a, b in pairs) and any(r["large"] for r in got) and not all(r["large"] for r in got)
+
+
+def test_length_steps():
+    for similarity in (0.5, 0.9, 0.95, 1.0):
+        chars = np.arange(1, 3000)
+        bands = line_dedup.length_steps(chars, similarity)
+        shortest = chars - np.array([line_dedup.most_edits(int(n), similarity) for n in chars])
+        assert (bands - line_dedup.length_steps(np.maximum(shortest, 1), similarity) <= linking.STEPS).all() and bands[-1] >= 80
+
+
 def test_shared_keys(spark):
     """Keys that two tags or more have, whatever unit they come in, and a key of all."""
     rng = random.Random(31)
