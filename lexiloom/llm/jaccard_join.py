@@ -5,9 +5,14 @@ ones. For a band, linked sets differ in at most H shingles. The universe is
 hashed into segments, and each segment is given a weight: 1 (the subset of the
 set in that segment must be equal) or 2 (it may differ by one shingle, found by
 its one-deletion neighbourhood). Weights that sum to H + 1 make it sure that
-linked sets agree on a segment. How many segments get weight 2 follows a cost
-model per band: signatures written against accidental agreements, which short
-segments of small sets invite. Signatures are made in a second pass over the texts
+linked sets agree on a segment. Agreements on nothing (two empty segments, or one
+element and none) would link most sets of a band by accident, the more the more
+sets there are. So the weights sum to more than that, by a slack, and a set whose
+segments without content weigh no more than the slack has no signatures of them:
+of two linked sets the segments that are so in both weigh no more than those of
+either, so they agree on another one, or both have all signatures. How many
+segments get weight 2, and the slack, follow a cost
+model per band: signatures written against accidental agreements. Signatures are made in a second pass over the texts
 and sent in packed runs (see ``linking``), so they are never written row by row.
 Candidates pass size and parity-sketch bounds, neither of which can drop a link,
 and are verified on the texts.
@@ -84,6 +89,15 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _poisson_above(mean: float, n: int) -> float:
+    """Probability of more than ``n`` where ``mean`` is expected."""
+    term = below = math.exp(-mean)
+    for i in range(1, n + 1):
+        term *= mean / i
+        below += term
+    return max(0.0, 1 - below)
+
+
 class Scheme:
     """Bands and, for each, the number of segments and how many have weight 2, for a threshold in percent."""
 
@@ -92,19 +106,29 @@ class Scheme:
         self.high: list[int] = []  # the largest size of each band
 
     @lru_cache(maxsize=None)  # noqa: B019  one scheme per process
-    def plan(self, band: int) -> tuple[int, int]:
-        """(segments, of which with weight 2) for pairs whose smaller set is in ``band``."""
-        high = self._upper(band)
+    def plan(self, band: int) -> tuple[int, int, int]:
+        """(segments, of which with weight 2, slack) for pairs whose smaller set is in ``band``: the weights sum to the slack and one more than such a pair may differ."""
+        high, low = self._upper(band), self._upper(band - 1) + 1 if band else 1
         total = high + high * 100 // self.percent
         differ = total * (100 - self.percent) // (100 + self.percent)
-        best = (math.inf, differ + 1, 0)
-        for double in range((differ + 1) // 2 + 1):
-            parts = differ + 1 - double
-            length = high / parts
-            written = parts - double + double * (1 + length)
-            accidents = 4e6 / high**2 * parts * math.exp(-0.5 * length)
-            best = min(best, (written + accidents, parts, double))
-        return best[1], best[2]
+        best = (math.inf, differ + 1, 0, 0)
+        for eighths in range(9):
+            for spread in range(-1, 6):
+                slack = 0
+                for _ in range(3 if spread >= 0 else 1):  # more slack, more segments, and more of them poor
+                    double = (differ + 1 + slack) // 2 * eighths // 8
+                    parts = differ + 1 + slack - double
+                    empty = math.exp(-low / parts)
+                    poor = (parts - double) * empty + 2 * double * empty * (1 + low / parts) if parts > 1 else 0.0
+                    if spread >= 0:
+                        slack = math.ceil(poor + spread * math.sqrt(poor))
+                double = (differ + 1 + slack) // 2 * eighths // 8
+                parts = differ + 1 + slack - double
+                length = high / parts
+                written = parts - double + double * (1 + length)
+                accidents = 1e4 * _poisson_above(poor, slack) ** 2 + 1e3 * math.exp(-2 * length)
+                best = min(best, (written + accidents, parts, double, slack))
+        return best[1:]
 
     def _upper(self, band: int) -> int:
         while len(self.high) <= band:
@@ -124,15 +148,19 @@ class Scheme:
         out = []
         with np.errstate(over="ignore"):
             for band in {own, max(0, own - 1)}:
-                parts, double = self.plan(band)
+                parts, double, slack = self.plan(band)
                 element = _mix(h * _K3)
                 place = ((h >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
                 sums = np.zeros(parts, np.uint64)
                 np.add.at(sums, place, element)
                 at = np.arange(parts, dtype=np.uint64)
                 salt = _mix(at * _K1 + np.uint64(band + 1) * _K3)
-                out.append(_mix(sums + salt))
-                near = place < double
+                # what is left of a segment of no element, or of one less that one, is nothing, which most sets share
+                count = np.bincount(place, minlength=parts)
+                poor = count <= (at < double)
+                keep = np.ones(parts, bool) if poor.sum() + poor[:double].sum() > slack else count > 0
+                out.append(_mix(sums + salt)[keep])
+                near = (place < double) & (keep.all() | (count[place] > 1))
                 if near.any():
                     spot = place[near]
                     out.append(_mix(sums[spot] - element[near] + salt[spot]))
@@ -142,7 +170,7 @@ class Scheme:
         """About how many keys a set of so many shingles has."""
         out, own = 0, self.band(size)
         for band in {own, max(0, own - 1)}:
-            parts, double = self.plan(band)
+            parts, double, _ = self.plan(band)
             out += parts + size * double // parts
         return out
 

@@ -26,6 +26,7 @@ from lexiloom.llm.common import materialise
 STEPS = 40
 NEW = ("n_tokens", "copies", "place")
 FEW = 10_000  # rows that are sent to all tasks
+FEW_BLOCKS = 200_000  # blocks, of some 100 bytes, that are sent to all tasks: those of about 48 sources
 
 
 def token_count(text: Column) -> Column:
@@ -121,10 +122,11 @@ def mix(
     inside = inside.join(F.broadcast(edge) if edge.count() <= FEW else edge, ["_source", "_block"])
     inside = inside.withColumn("_run", running).where("_run <= _room").select("_source", "_block", F.col("_key").alias("_key")).distinct()
     inside = materialise(inside, "edge")
-    # at most one row for each block of a source; salted by nothing, as blocks of the hot source are many
-    out = rows.join(spent.select("_source", "_block", "_passes", "_room", "_place", "_edge"), ["_source", "_block"], "left")
+    # at most one row for each block of a source; salted by nothing, as blocks of the hot source are many. Where they are few, no text is shuffled
+    few = lambda small, most: F.broadcast(small) if small.count() <= most else small
+    out = rows.join(few(spent.select("_source", "_block", "_passes", "_room", "_place", "_edge"), FEW_BLOCKS), ["_source", "_block"], "left")
     taken = inside.select("_source", "_block", "_key", F.lit(1).alias("_in"))
-    out = out.join(taken, ["_source", "_block", "_key"], "left")
+    out = out.join(few(taken, FEW_BLOCKS), ["_source", "_block", "_key"], "left")
     more = F.when(F.col("_edge"), F.coalesce("_in", F.lit(0))).otherwise(F.lit(1))
     copies = F.when(F.col("n_tokens") > 0, F.col("_passes") + more).otherwise(0)
     return finished(out, F.coalesce(copies, F.lit(0)), F.when(F.col("n_tokens") > 0, F.col("_place")))

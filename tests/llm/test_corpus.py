@@ -718,6 +718,18 @@ def test_stage_with_clashing_names(spark, tmp_path, stage):
     assert dict(corpus_pipeline.STAGES)[stage](spark, df.limit(0), str(tmp_path)).count() == 0
 
 
+def test_mixing_sends_no_text(spark):
+    """Where blocks are few, rows are joined with them in place."""
+    df = spark.createDataFrame([(i, f"s{i % 3}", "a b c " * (i % 5)) for i in range(60)], "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(df, blocks=16)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_mixing(spark):
     rows = [(i, "tok " * (1 + i % 7), "big" if i < 300 else f"small{i % 2}" if i < 340 else None) for i in range(345)]
     df = spark.createDataFrame([*rows, (900, None, "big"), (901, " ", None)], "doc_id long, text string, source string").withColumn("n_tokens", F.lit("clash"))
