@@ -415,6 +415,27 @@ def test_near_line_keys_recall(low, high):
     assert len(pairs) > 200 and found >= (1 if high <= 20 else 0.9) * len(pairs), found / len(pairs)
 
 
+def test_prose_lines_seldom_share_keys():
+    """Lines of the same few hundred words, in any order, share few keys by accident: rows of shared keys grow with the square of the lines."""
+    rng = random.Random(41)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    lines = [" ".join(vocabulary[int(300 * rng.random() ** 2)] for _ in range(rng.randint(30, 120))) for _ in range(1500)]
+    _, keys = line_dedup.line_keys(lines, 0.9)
+    _, counts = np.unique(keys, return_counts=True)
+    assert counts[counts > 1].sum() < 0.02 * len(keys)
+
+
+def test_each_key_has_one_turn():
+    rng = random.Random(42)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(8, 300))) for _ in range(200)]
+    blobs = line_dedup.signatures(lines, 0.9)
+    pairs = lambda where, keys: sorted(zip(where.tolist(), keys.tolist(), strict=True))
+    parts = [pairs(*line_dedup.keys_of_signatures(blobs, turn, line_dedup.TURNS)) for turn in range(line_dedup.TURNS)]
+    assert sorted(x for part in parts for x in part) == pairs(*line_dedup.keys_of_signatures(blobs))
+    seen = [{k for _, k in part} for part in parts]
+    assert all(seen) and not any(a & b for i, a in enumerate(seen) for b in seen[:i])
+
+
 def test_banded_keys(spark):
     """Tags of a key meet where they are in reach, and, if the key isn't a large one, hardly elsewhere."""
     rng = random.Random(32)
