@@ -83,12 +83,12 @@ def usual_slots(presence: np.ndarray, langs: list[str], heads: list[str]) -> tup
 def fit(presence: np.ndarray, langs: list[str], landmarks: int, ridge: float) -> tuple[list[str], np.ndarray]:
     """Languages and the folded matrix (dims x languages); ``presence`` is 0/1 by text and slot."""
     names = sorted(set(langs))
-    x = presence.astype(np.float32)
-    norm = np.sqrt(np.maximum(x.sum(1), 1))
+    norm = np.sqrt(np.maximum(presence.sum(1, dtype=np.int64), 1)).astype(np.float32)
     order = sorted(range(len(langs)), key=lambda i: (sum(1 for j in range(i) if langs[j] == langs[i]), langs[i]))
     marks = order[:landmarks]  # round robin over the languages
-    z = x[marks] / norm[marks, None]
-    k_xz = (x @ z.T) / norm[:, None]
+    z = presence[marks] / norm[marks, None]
+    # a few rows at a time, as the driver holds little
+    k_xz = np.concatenate([presence[at : at + 64].astype(np.float32) @ z.T for at in range(0, len(norm), 64)]) / norm[:, None]
     k_zz = (z @ z.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k_zz + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
@@ -97,7 +97,8 @@ def fit(presence: np.ndarray, langs: list[str], landmarks: int, ridge: float) ->
     weight = 1.0 / np.array([langs.count(a) for a in langs])  # languages count alike
     weight = (weight / weight.mean())[:, None]
     coefficients = np.linalg.solve(phi.T @ (weight * phi) + ridge * np.eye(len(marks)), phi.T @ (weight * target))
-    return names, (z.T.astype(np.float64) @ (root @ coefficients)).astype(np.float32)
+    folded = root @ coefficients
+    return names, np.concatenate([(z[:, at : at + 4096].T.astype(np.float64) @ folded).astype(np.float32) for at in range(0, z.shape[1], 4096)])
 
 
 def identify(

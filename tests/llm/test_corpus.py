@@ -830,3 +830,16 @@ def test_pipeline(spark, corpus, tmp_path):
     pieces = stages["packing"](spark, mixed, str(tmp_path)).collect()
     assert sum(r["piece"] == 0 for r in pieces) == mixed.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_language_model_is_fit_in_little_memory():
+    """The driver holds the landmarks and a few rows at a time, not all learned rows as floats."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    seen = (rng.random((400, language_id.DIMS)) < 0.02).astype(np.uint8)
+    tracemalloc.start()
+    names, matrix = language_id.fit(seen, [("da", "de", "en", "fr")[i % 4] for i in range(400)], 64, 1e-2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(names) == 4 and matrix.shape == (language_id.DIMS, 4) and peak < 3 * seen.nbytes
